@@ -2,7 +2,9 @@
 
 A text is compressed once for each language with a zstandard raw-content dictionary of that language; the language
 whose dictionary gives the fewest bytes wins. The text is cut into blocks, all of which are compressed, so that a long
-text weighs its whole content and memory stays bounded.
+text weighs its whole content and memory stays bounded. Each block follows a short primer of the same language, whose
+own size is taken off: without it the entropy stage leaves short blocks uncoded and they tie. A short text is measured
+after several primers, since the few bytes that it gives vary from one to the next.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is rejected; ties go to the language
 that sorts first; with no labelled row every text is ``und``; with one language that language always wins with score 1.
@@ -29,21 +31,23 @@ class LanguageModel:
     """Raw dictionary content by language, and how texts are compressed with it."""
 
     dictionaries: dict[str, bytes]
-    level: int = 3
+    primers: dict[str, list[bytes]]
     block_bytes: int = 4096
-    min_margin: float = 0.004
+    primed_bytes: int = 2048
+    min_margin: float = 0.002
 
 
 def normalised(text: Column) -> Column:
-    """Letters in lower case; every run of anything else is one space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    """Letters in lower case; every run of anything else is one space, every run of one word is that word."""
+    words = F.regexp_replace(F.concat(F.lower(text), F.lit(" ")), r"[^\p{L}]+", " ")
+    return F.regexp_replace(words, r"(?<!\p{L})(\p{L}++ )\1+", "$1")
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 600, bytes_per_row: int = 1024, dictionary_bytes: int = 112_640, **options) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 320, bytes_per_row: int = 160, dictionary_bytes: int = 16_384, primers: int = 8, primer_bytes: int = 512, **options) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
     The bound is ``rows_per_language`` rows in expectation, chosen by the hash of the text; of each, a window of
@@ -52,7 +56,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return LanguageModel({}, **options)
+        return LanguageModel({}, {}, **options)
     rate = F.lit(0.0)
     for name, n in counts.items():
         rate = F.when(F.col("lang") == F.lit(name), F.lit(min(1.0, rows_per_language / n))).otherwise(rate)
@@ -62,8 +66,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     parts: dict[str, dict[int, bytes]] = {name: {} for name in counts}
     for r in sample.distinct().collect():
         parts[r["lang"]][r["key"]] = r["part"].encode()
-    # the end of a raw dictionary is the cheapest to refer to; order by key only makes the result repeatable
-    return LanguageModel({name: b" ".join(own[k] for k in sorted(own))[-dictionary_bytes:] for name, own in sorted(parts.items())}, **options)
+    whole = {name: b" ".join(own[k] for k in sorted(own)) for name, own in parts.items()}  # by key, to be repeatable
+    step = {name: min(primer_bytes, len(x) // (4 * primers)) for name, x in whole.items()}
+    first = {name: [x[i * step[name] : (i + 1) * step[name]] for i in range(primers)] for name, x in whole.items()}
+    return LanguageModel({name: x[primers * step[name] :][-dictionary_bytes:] for name, x in whole.items()}, first, **options)
 
 
 class Sizes:
@@ -71,18 +77,22 @@ class Sizes:
 
     def __init__(self, model: LanguageModel):
         self.names = sorted(model.dictionaries)
-        self.block = model.block_bytes
-        params = zstandard.ZstdCompressionParameters.from_level(model.level, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.compressors = []
+        self.block, self.primed = model.block_bytes, model.primed_bytes
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=3, target_length=16, window_log=18, chain_log=16, hash_log=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.coders = []
         for name in self.names:
             content = zstandard.ZstdCompressionDict(model.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=params)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=content, compression_params=params))
+            coder = zstandard.ZstdCompressor(dict_data=content, compression_params=params)
+            self.coders.append((coder, [(p, len(coder.compress(p))) for p in model.primers[name]]))
 
-    def __call__(self, data: bytes) -> list[int]:
-        view, step = memoryview(data), self.block
-        parts = [view[i : i + step] for i in range(0, len(data), step)]
-        return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
+    def __call__(self, data: bytes) -> list[float]:
+        parts = [data[i : i + self.block] for i in range(0, len(data), self.block)]
+        out = []
+        for coder, primers in self.coders:
+            used = primers[: max(1, self.primed // len(data))]
+            out.append(sum(len(coder.compress(p + part)) - own for part in parts for p, own in used) / len(used))
+        return out
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -101,10 +111,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 got = sizes(data)
                 best = int(np.argmin(got))
                 rest = min((n for i, n in enumerate(got) if i != best), default=None)
-                gap = 1.0 if rest is None else (rest - got[best]) / rest
+                gap = 1.0 if rest is None else (rest - got[best]) / max(1.0, abs(rest))
                 lang.append(sizes.names[best])
                 margin.append(gap)
-                score.append(1.0 if rest is None else 1.0 - 2.0 ** -(min(50.0, rest - got[best]) / 2))
+                score.append(1.0 if rest is None else 1.0 - 2.0 ** -(min(100.0, rest - got[best]) / 2))
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["lang_pred", "score", "margin"])
 
     run = F.arrow_udf(guess, "struct<lang_pred:string,score:double,margin:double>", F.ArrowUDFType.SCALAR_ITER)

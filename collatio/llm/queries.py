@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality
 from .common import held_out
+from .near_dup import NearDuplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), g["lang_pred"].alias("lang_pred"), g["score"].alias("score"), g["margin"].alias("margin"), g["accepted"].alias("accepted"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(width=2)(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op7_language_id": op7_language_id,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
