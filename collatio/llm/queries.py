@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality
+from . import decontamination, language_id, quality, segmentation
 from .common import held_out
 from .near_dup import NearDuplicates
 
@@ -30,6 +30,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
+    back = segmentation.decode(coded, "segmentation.ids")
+    s = F.col("segmentation")
+    return back.select("doc_id", s["ids"].alias("ids"), F.size(s["ids"]).alias("n_pieces"), s["score"].alias("score"), s["n_best"].alias("n_best_scores"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 4)))
@@ -44,6 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -22,6 +22,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import count, islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ _READY: dict[str, Pieces] = {}
 class Pieces:
     """A piece vocabulary and the segmentation of texts over it."""
 
-    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 250_000):
+    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -65,15 +66,19 @@ class Pieces:
             self.content[i] = bytes([b])
         inner = any(MARK in names[i].lstrip(MARK) for i in plain)
         ends = any("\n" in names[i] for i in plain)
+        # neighbouring characters that some piece holds; between any others no piece goes on
+        self.joined = {MARK + MARK} | {names[i][j : j + 2] for i in plain for j in range(len(names[i]) - 1)}
         self.parts = re.compile(r"[\s\S]+") if inner else re.compile(r" *[^ ]+| +") if ends else re.compile(r" *[^ \n]+|\n| +")
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.older = remember, {}, {}
+
+    def _marked(self, part: str) -> str:
+        # a space mark that the text itself holds is no space: it has no piece and goes by bytes
+        return part.replace(MARK, "\n" if "\n" not in self.table else "\0").replace(" ", MARK)
 
     def _lattice(self, part: str) -> list[list[tuple[float, int, int]]]:
         """Edges into each position: (forward score through the edge, start, piece)."""
         into: list[list[tuple[float, int, int]]] = [[] for _ in range(len(part) + 1)]
-        # a space mark that the text itself holds is no space: it has no piece and goes by bytes
-        marked = part.replace(MARK, "\n" if "\n" not in self.table else "\0").replace(" ", MARK)
-        get, n, lost = self.table.get, len(part), self.lost
+        marked, get, n, lost = self._marked(part), self.table.get, len(part), self.lost
         for i in range(n):
             score = max(into[i])[0] if i else 0.0
             alone = True
@@ -97,20 +102,59 @@ class Pieces:
                 out.append(piece)
         return np.array(out, np.int32).tobytes()
 
+    def found(self, part: str) -> tuple[bytes, float, float]:
+        """``best`` of a part, remembered: the parts of late, and those of the time before that are met again."""
+        own = self.older.get(part)
+        if own is None:
+            marked, joined = self._marked(part), self.joined
+            cuts = [i for i, x in enumerate(map(add, marked, marked[1:]), 1) if x not in joined]
+            if cuts:  # smaller parts, each met in more words
+                own = b"", 0.0, NEVER
+                for i, j in zip([0, *cuts], [*cuts, len(part)]):
+                    ids, score, loss = self.known.get(part[i:j]) or self.found(part[i:j])
+                    own = own[0] + ids, own[1] + score, min(own[2], loss)
+            else:
+                own = self.best(part)
+        if len(part) <= 64:
+            if len(self.known) >= self.remember:
+                self.older, self.known = self.known, {}
+            self.known[part] = own
+        return own
+
     def best(self, part: str) -> tuple[bytes, float, float]:
         """Ids and score of the best segmentation, and how much the second best loses."""
-        into = self._lattice(part)
-        at, path, loss = len(part), [], NEVER
-        total = max(into[at])[0]
+        marked, get, n = self._marked(part), self.table.get, len(part)
+        ahead, second = [-NEVER] * (n + 1), [-NEVER] * (n + 1)
+        back: list[tuple[int, int] | None] = [None] * (n + 1)
+        ahead[0] = 0.0
+        for i in range(n):
+            score, j = ahead[i], i + 1
+            found = get(marked[i:j])
+            if found is None or found[0] < 0:
+                here = score + self.lost * len(part[i].encode("utf-8", "surrogatepass"))
+                if here >= ahead[j]:
+                    second[j], ahead[j], back[j] = ahead[j], here, (i, _BYTE)
+                elif here > second[j]:
+                    second[j] = here
+            while found:
+                piece, own = found
+                if piece >= 0:
+                    here = score + own
+                    if here >= ahead[j]:  # among equals the later start, as in the lattice's order
+                        second[j], ahead[j], back[j] = ahead[j], here, (i, piece)
+                    elif here > second[j]:
+                        second[j] = here
+                j += 1
+                if j > n:
+                    break
+                found = get(marked[i:j])
+        at, path, loss = n, [], NEVER
         while at:
-            edges = into[at]
-            top = max(edges)
-            if len(edges) > 1:
-                loss = min(loss, top[0] - sorted(edges)[-2][0])
-            path.append(top[1:])
-            at = top[1]
+            loss = min(loss, ahead[at] - second[at])
+            path.append(back[at])
+            at = back[at][0]
         path.reverse()
-        return self._ids(part, path), total, loss
+        return self._ids(part, path), ahead[n], loss
 
     def n_best(self, part: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations (score, ids), best first: backward A-star with the forward scores as heuristics."""
@@ -140,17 +184,11 @@ class Pieces:
         """The n best segmentations of a whole text as (score, int32 ids)."""
         if not text:
             return [(0.0, b"")]
-        parts, known = self.parts.findall(" " + text), self.known
-        if len(known) > self.remember:
-            known.clear()
-        try:
-            own = [known[p] for p in parts]
-        except KeyError:
-            for p in parts:
-                if p not in known:
-                    if len(p) <= 64:
-                        known[p] = self.best(p)
-            own = [known[p] if p in known else self.best(p) for p in parts]
+        parts = self.parts.findall(" " + text)
+        own = list(map(self.known.get, parts))
+        if None in own:
+            found = self.found
+            own = [x or self.known.get(p) or found(p) for x, p in zip(own, parts)]
         total = sum([x[1] for x in own])
         ids = [x[0] for x in own]
         out = [(total, b"".join(ids))]
