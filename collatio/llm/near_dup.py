@@ -7,8 +7,11 @@ registers propose pairs, a joint likelihood over the registers of both sides est
 that may pass are verified on the full sets.
 
 Documents with equal sets fold into one before anything is compared. Within a bucket of a band no pairs are listed:
-members are compared with the bucket's pivot, verified links are joined into components, and only members that ended in
-another component than their bucket's pivot are compared with the rest of that bucket.
+members are estimated against the bucket's pivot, and pairs that may pass join into families. Members of a bucket that
+belong to another family than its pivot are estimated against the bucket's members of further families, so every two
+sets that share a bucket are in one family or have been estimated. In a family each member is verified against one
+likely neighbour, and the members outside its largest component are then counted against all of it exactly, in blocks
+of bounded bytes that hold an inverted index, from which only links between components leave.
 
 Defined results: null or empty texts, and texts without a word, have an empty set, link with nothing and stay; a text
 with fewer words than a shingle is one shingle; repeated rows each get a row; rows with a null id are never linked and
@@ -189,42 +192,86 @@ class NearDuplicates:
                     out.append(s if (name[0], name[1]) == (s1, s2) else None)  # another row under the same id
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "elements"])
 
-        texts = docs.select(F.col(key).alias("node"), as_bytes(F.col(text)).alias("raw")).join(wanted.select("node", "s1", "s2"), "node").select("node", "raw", "s1", "s2")
+        residue = F.pmod(F.xxhash64("node"), F.lit(1 << 18))
+        # at most 2^18 numbers: a proven bound for the broadcast, which keeps most other texts out of the shuffle
+        some = F.broadcast(wanted.select(residue.alias("residue")).distinct())
+        texts = docs.select(F.col(key).alias("node"), as_bytes(F.col(text)).alias("raw")).join(some, residue == some["residue"], "left_semi")
+        texts = texts.join(wanted.select("node", "s1", "s2"), "node").select("node", "raw", "s1", "s2")
         return texts.mapInArrow(make, f"node {kind}, elements binary").where("elements is not null").dropDuplicates(["node"])
 
-    def links(self, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(node, component) of the nodes (node, n, s1, s2, regs) that are linked to another one."""
-        rows, m = self.rows, self.sketch.registers
-        bands = m // rows
+    def candidates(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Estimated pairs (u, v) that join all that may be linked into families, and (node, component) of the families."""
+        rows, bands = self.rows, self.sketch.registers // self.rows
         # a bucket is named by the number of the band and its registers
-        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.substring(F.col("regs"), i * rows + 1, F.lit(rows)).alias("r")))
-        entries = nodes.select("node", F.explode(keys).alias("b")).select("node", F.xxhash64("b.i", "b.r").alias("bucket"))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * rows + 1, F.lit(rows))))
+        entries = nodes.select("node", F.explode(keys).alias("bucket"))
         pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "pivot")
         shared = stored(entries.join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
+        near = stored(self.estimated(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), nodes), "pairs")
+        family = stored(connected_components(near), "families")
+
+        of = lambda c, name: family.select(F.col("node").alias(c), F.col("component").alias(name))
+        now = shared.join(of("node", "f"), "node", "left").join(of("pivot", "pf"), "pivot", "left").select("bucket", "node", F.coalesce("f", "node").alias("f"), F.coalesce("pf", "pivot").alias("pf"))
+        strays = stored(now.where("f <> pf").select("bucket", F.col("node").alias("a"), F.col("f").alias("fa")), "strays")
+        mates = now.join(strays.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("f").alias("fb"))
+        across = strays.join(mates, "bucket").where("fa <> fb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        more = self.estimated(across.join(near, ["u", "v"], "left_anti"), nodes)
+        near = stored(near.union(more), "pairs")
+        return near, stored(connected_components(near), "families")
 
-        first = shared.groupBy("node").agg(F.min("pivot").alias("v")).where("node <> v").select(F.col("node").alias("u"), "v")
-        tested = stored(self.estimated(first, nodes), "pairs")
-        seen = shared.select("node").distinct()
-        full = stored(self.full_sets(docs, nodes.join(seen, "node", "left_semi"), key, text), "sets")
-        good = stored(self.verified(tested, full), "links")
-        component = stored(connected_components(good), "components")
-
-        for round_ in ("pivots", "rest"):
-            now = shared.join(component, "node", "left").select("bucket", "node", "pivot", F.coalesce("component", "node").alias("c"))
-            of_pivot = component.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-            strays = now.join(of_pivot, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot")).where("c <> pc")
-            if round_ == "pivots":
-                pairs = strays.select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-            else:
-                strays = stored(strays.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")), "strays")
-                mates = now.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
-                pairs = strays.join(mates, "bucket").where("ca <> cb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-            pairs = pairs.distinct().join(tested, ["u", "v"], "left_anti")
-            more = stored(self.estimated(pairs, nodes), "pairs")
-            tested = tested.union(more)
-            good = good.union(stored(self.verified(more, full), "links"))
-            component = stored(connected_components(good), "components")
-        return component
+    def links(self, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """(node, component) of the nodes (node, n, s1, s2, regs) that are linked to another one."""
+        near, family = self.candidates(nodes)
+        full = stored(self.full_sets(docs, nodes.join(family, "node", "left_semi"), key, text), "sets")
+        star = near.union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
+        good = stored(self.verified(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), full), "links")
+        good = good.union(stored(self.within(family, connected_components(good), nodes, full), "links"))
+        return connected_components(good)
+
+    def within(self, family: DataFrame, component: DataFrame, nodes: DataFrame, full: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+        """Links (u, v) between components of one family, enough to join all that are linked.
+
+        The members outside a family's largest component are counted against all its members.
+        """
+        percent = self.percent
+        member = family.select("node", F.col("component").alias("f")).join(component, "node", "left").join(nodes.select("node", "n"), "node").select("node", "f", F.coalesce("component", "node").alias("c"), "n")
+        member = stored(member, "members")
+        part = member.groupBy("f", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+        whole = part.groupBy("f").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        pieces = lambda n: F.ceil(n * 8 / block_bytes)
+        plan = whole.select("f", F.col("top.c").alias("main"), pieces(F.col("n") - F.col("top.n")).alias("nx"), pieces(F.col("n")).alias("nm"))
+        own = member.join(plan, "f").join(full, "node")
+        salt = lambda n: F.pmod(F.xxhash64("node"), n)
+        left = own.where("c <> main").select("f", salt(F.col("nx")).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("m"), "node", "c", "elements")
+        anew = lambda c: F.col(c).alias(c)  # noqa: E731  else both sides of the cogroup hold the same columns
+        right = own.select(anew("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)).alias("x"), salt(F.col("nm")).alias("m"), anew("node"), anew("c"), anew("elements"))
+        kind = dict(family.dtypes)["node"]
+
+        def count(ours, theirs):
+            sets = [np.frombuffer(e, np.uint64) for e in theirs.column("elements").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            ids, parts = theirs.column("node").to_pylist(), theirs.column("c").to_pylist()
+            number = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+            part_of = np.array([number[c] for c in parts])
+            u, v = [], []
+            if len(sets):
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                for node, c, e in zip(ours.column("node").to_pylist(), ours.column("c").to_pylist(), ours.column("elements").to_pylist(), strict=True):
+                    e = np.frombuffer(e, np.uint64)
+                    lo, hi = np.searchsorted(flat, e, "left"), np.searchsorted(flat, e, "right")
+                    spans = hi - lo
+                    at = np.repeat(lo - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
+                    both = np.bincount(owner[at], minlength=len(sets))
+                    passed = np.flatnonzero((100 * both >= percent * (len(e) + sizes - both)) & (part_of != number.get(c, -1)))
+                    _, first = np.unique(part_of[passed], return_index=True)  # one link for each component reached
+                    for i in passed[first]:
+                        u.append(max(node, ids[i])), v.append(min(node, ids[i]))
+            return pa.table({"u": pa.array(u, ours.schema.field("node").type), "v": pa.array(v, ours.schema.field("node").type)})
+
+        block = ["f", "x", "m"]
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(count, f"u {kind}, v {kind}").distinct()
 
     def __call__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row: (key), n_shingles, component_id (the smallest id reachable), kept."""
@@ -238,3 +285,11 @@ class NearDuplicates:
         shape = lambda df, c: df.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(F.col("id") == c, F.lit(True)).alias("kept"))
         apart = shape(sets.where("n = 0 or id is null"), F.col("id"))
         return shape(linked.join(named, ["s1", "s2"], "left"), F.col("component_id")).union(apart)
+
+    def kept(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The rows of docs that stay, one of each group, with their columns as they are; a row repeated whole stays once."""
+        found = stored(self(docs, key, text), "groups")
+        gone = found.where("not kept").select(F.col(key).alias("__gone")).distinct()
+        left = docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+        repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+        return left if repeated.isEmpty() else left.dropDuplicates([key, text])
