@@ -95,8 +95,8 @@ class Sizes:
         return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with ``language_guess``: struct(lang_pred, score, margin, accepted); other columns stay as they are."""
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", column: str = "language_guess") -> DataFrame:
+    """docs with a column of struct(lang_pred, score, margin, accepted); other columns stay as they are."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x dictionary_bytes
 
@@ -119,7 +119,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     run = F.arrow_udf(guess, "struct<lang_pred:string,score:double,margin:double>", F.ArrowUDFType.SCALAR_ITER)
     raw = F.when(has_letter(F.col(text)), F.encode(normalised(F.col(text)), "UTF-8"))
-    out = docs.withColumn("language_guess", run(raw))
-    g = F.col("language_guess")
+    out = docs.withColumn(column, run(raw))
+    g = F.col(column)
     accepted = (g["lang_pred"] != UNDETERMINED) & (g["margin"] >= model.min_margin)
-    return out.withColumn("language_guess", g.withField("accepted", accepted))
+    return out.withColumn(column, g.withField("accepted", accepted))

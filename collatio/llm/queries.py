@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality, segmentation
+from . import decontamination, html_text, language_id, license_scan, quality, segmentation
 from .common import held_out
 from .near_dup import NearDuplicates
 
@@ -44,6 +44,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), g["lang_pred"].alias("lang_pred"), g["score"].alias("score"), g["margin"].alias("margin"), g["accepted"].alias("accepted"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), column="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(width=2)(table(spark, sf_dir, "documents"))
 
@@ -53,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_license_scan": op9_license_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

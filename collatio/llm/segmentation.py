@@ -22,7 +22,6 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import count, islice
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from .common import bounded_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = float("inf")
+_EDGE = re.compile(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)")
 _BYTE = -1
 _READY: dict[str, Pieces] = {}
 
@@ -58,12 +58,23 @@ class Pieces:
                 self.table.setdefault(names[i][:j], (-1, 0.0))
         for i in plain:
             self.table[names[i]] = (i, sp.get_score(i))
+        # the same as a tree of characters; under None the piece that ends there
+        self.tree: dict = {}
+        for name, (piece, score) in self.table.items():
+            node = self.tree
+            for c in name:
+                node = node.setdefault(c, {})
+            if piece >= 0:
+                node[None] = (piece, score)
         self.lost = min(sp.get_score(i) for i in plain) - unknown
         self.content = [b""] * size
         for i in plain:
             self.content[i] = names[i].replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.content[i] = bytes([b])
+        self.sizes = np.array([len(c) for c in self.content], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.flat = np.frombuffer(b"".join(self.content), np.uint8)
         inner = any(MARK in names[i].lstrip(MARK) for i in plain)
         ends = any("\n" in names[i] for i in plain)
         # neighbouring characters that some piece holds; between any others no piece goes on
@@ -106,8 +117,7 @@ class Pieces:
         """``best`` of a part, remembered: the parts of late, and those of the time before that are met again."""
         own = self.older.get(part)
         if own is None:
-            marked, joined = self._marked(part), self.joined
-            cuts = [i for i, x in enumerate(map(add, marked, marked[1:]), 1) if x not in joined]
+            cuts = not part.lstrip(" ").isalnum() and [i for i in (m.start() for m in _EDGE.finditer(part)) if part[i - 1 : i + 1].replace(" ", MARK) not in self.joined]
             if cuts:  # smaller parts, each met in more words
                 own = b"", 0.0, NEVER
                 for i, j in zip([0, *cuts], [*cuts, len(part)]):
@@ -123,31 +133,30 @@ class Pieces:
 
     def best(self, part: str) -> tuple[bytes, float, float]:
         """Ids and score of the best segmentation, and how much the second best loses."""
-        marked, get, n = self._marked(part), self.table.get, len(part)
+        marked, tree, n = self._marked(part), self.tree, len(part)
         ahead, second = [-NEVER] * (n + 1), [-NEVER] * (n + 1)
         back: list[tuple[int, int] | None] = [None] * (n + 1)
         ahead[0] = 0.0
         for i in range(n):
-            score, j = ahead[i], i + 1
-            found = get(marked[i:j])
-            if found is None or found[0] < 0:
+            score, j, node = ahead[i], i, tree
+            if None not in tree.get(marked[i], ()):
                 here = score + self.lost * len(part[i].encode("utf-8", "surrogatepass"))
-                if here >= ahead[j]:
-                    second[j], ahead[j], back[j] = ahead[j], here, (i, _BYTE)
-                elif here > second[j]:
-                    second[j] = here
-            while found:
-                piece, own = found
-                if piece >= 0:
+                if here >= ahead[j + 1]:
+                    second[j + 1], ahead[j + 1], back[j + 1] = ahead[j + 1], here, (i, _BYTE)
+                elif here > second[j + 1]:
+                    second[j + 1] = here
+            for c in marked[i:]:
+                if c not in node:
+                    break
+                node = node[c]
+                j += 1
+                if None in node:
+                    piece, own = node[None]
                     here = score + own
                     if here >= ahead[j]:  # among equals the later start, as in the lattice's order
                         second[j], ahead[j], back[j] = ahead[j], here, (i, piece)
                     elif here > second[j]:
                         second[j] = here
-                j += 1
-                if j > n:
-                    break
-                found = get(marked[i:j])
         at, path, loss = n, [], NEVER
         while at:
             loss = min(loss, ahead[at] - second[at])
@@ -180,8 +189,8 @@ class Pieces:
                 # later pushes first among equals: the search goes deep before it goes wide
                 heapq.heappush(heap, (-(here + ahead[start]), -next(order), start, here, ((start, piece), path)))
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a whole text as (score, int32 ids)."""
+    def encode(self, text: str, n: int = 1, all_ids: bool = True) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a whole text as (score, int32 ids); without ``all_ids`` only the best has ids."""
         if not text:
             return [(0.0, b"")]
         parts = self.parts.findall(" " + text)
@@ -202,6 +211,9 @@ class Pieces:
         for choice in options:
             sums = heapq.nsmallest(n, ((loss + more, picks + (k,)) for loss, picks in sums for k, (more, _) in enumerate(choice)))
         for loss, picks in sums[1:]:
+            if not all_ids:
+                out.append((total - loss, b""))
+                continue
             new = list(ids)
             for i, k, choice in zip(free, picks, options, strict=True):
                 new[i] = choice[k][1]
@@ -209,8 +221,16 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        content = self.content
-        return b"".join([content[i] for i in ids])[1:]
+        return self.decode_many(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_many(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Texts of the ids between each two offsets; the space put before every text is taken off again."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(ends[-1], dtype=np.int64) + np.repeat(self.starts[ids] - ends[:-1], sizes)
+        flat = self.flat[at].tobytes()
+        cuts = ends[offsets].tolist()
+        return [flat[i + 1 : j] for i, j in zip(cuts, cuts[1:])]
 
 
 def pieces(proto: bytes) -> Pieces:
@@ -246,7 +266,7 @@ def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, c
     def run(batches):
         vocabulary = pieces(shared.value)
         for b in batches:
-            got = [None if raw is None else vocabulary.encode(raw.decode("utf-8", "replace"), n) for raw in b.to_pylist()]
+            got = [None if raw is None else vocabulary.encode(raw.decode("utf-8", "replace"), n, all_ids) for raw in b.to_pylist()]
             first = lists([None if g is None else g[0][1] for g in got])
             scores = pa.array([None if g is None else g[0][0] for g in got], pa.float64())
             if all_ids:
@@ -272,7 +292,9 @@ def decode(docs: DataFrame, ids: str, path: str = MODEL, column: str = "decoded"
     def run(batches):
         vocabulary = pieces(shared.value)
         for b in batches:
-            yield pa.array([None if x is None else vocabulary.decode(x) for x in b.to_pylist()], pa.binary())
+            offsets = b.offsets.to_numpy().astype(np.int64)
+            got = vocabulary.decode_many(b.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+            yield pa.array(got, pa.binary(), mask=b.is_null().to_numpy(zero_copy_only=False))
 
     udf = F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(column, udf(F.col(ids)).cast("string"))
