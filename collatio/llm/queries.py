@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, license_scan, quality, segmentation, warc
+from . import decontamination, graph_index, html_text, language_id, license_scan, quality, segmentation, warc
 from .common import held_out
 from .near_dup import NearDuplicates
 
@@ -27,6 +27,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph_index.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     latent = decontamination.fit(docs, items)
@@ -64,6 +69,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
