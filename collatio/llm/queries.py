@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, graph_index, html_text, language_id, license_scan, quality, segmentation, warc
+from . import decontamination, graph_index, html_text, language_id, license_scan, lm_score, quality, segmentation, warc
 from .common import held_out
 from .near_dup import NearDuplicates
 
@@ -39,6 +39,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 7)
+    scored = lm_score.score(table(spark, sf_dir, "documents"), train=~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
     back = segmentation.decode(coded, "segmentation.ids")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_html_extraction": op8_html_extraction,
