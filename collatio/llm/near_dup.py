@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, mix64, stored
@@ -134,7 +134,7 @@ class NearDuplicates:
     sketch: SetSketch = SetSketch()
 
     def sets(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(id, n, s1, s2, regs) of each row: size of its set, a 128-bit name of the set, its registers."""
+        """(id, n, s1, s2, regs, lanes) of each row: size of its set, a 128-bit name of the set, its registers as bytes and as longs."""
         width, sketch = self.width, self.sketch
         kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
 
@@ -144,9 +144,9 @@ class NearDuplicates:
                 sets = [shingles(raw) for raw in b.column(1).to_pylist()]
                 names = np.array([list(divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 regs = sketch(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "s1", "s2", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(regs.view(np.int64)), pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "regs", "lanes"])
 
-        return docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).mapInArrow(make, f"id {kind}, n bigint, s1 bigint, s2 bigint, regs binary")
+        return docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).mapInArrow(make, f"id {kind}, n bigint, s1 bigint, s2 bigint, regs binary, lanes array<bigint>")
 
     def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) whose registers allow the threshold."""
@@ -199,6 +199,19 @@ class NearDuplicates:
         texts = texts.join(wanted.select("node", "s1", "s2"), "node").select("node", "raw", "s1", "s2")
         return texts.mapInArrow(make, f"node {kind}, elements binary").where("elements is not null").dropDuplicates(["node"])
 
+    def alike(self, a: str, b: str) -> Column:
+        """Whether sizes and equal registers of two nodes allow the threshold: the same bound as ``estimated``, in the join."""
+        def unequal_bytes(x: Column) -> Column:
+            for k in (4, 2, 1):  # the lowest bit of each byte: whether any of its bits is set
+                x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+            return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+        differing = F.transform(F.zip_with(f"l{a}", f"l{b}", lambda x, y: x.bitwiseXOR(y)), unequal_bytes)
+        same = self.sketch.registers - F.aggregate(differing, F.lit(0), lambda x, y: x + y)
+        j, base = self.percent / 100 - self.slack, self.sketch.base
+        least = math.log(1 + j * (base - 1)) / math.log(base) * self.sketch.registers
+        return (F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * self.percent) & (same >= int(least) - 1)
+
     def candidates(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Estimated pairs (u, v) that join all that may be linked into families, and (node, component) of the families."""
         rows, bands = self.rows, self.sketch.registers // self.rows
@@ -213,8 +226,9 @@ class NearDuplicates:
         of = lambda c, name: family.select(F.col("node").alias(c), F.col("component").alias(name))
         now = shared.join(of("node", "f"), "node", "left").join(of("pivot", "pf"), "pivot", "left").select("bucket", "node", F.coalesce("f", "node").alias("f"), F.coalesce("pf", "pivot").alias("pf"))
         strays = stored(now.where("f <> pf").select("bucket", F.col("node").alias("a"), F.col("f").alias("fa")), "strays")
-        mates = now.join(strays.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("f").alias("fb"))
-        across = strays.join(mates, "bucket").where("fa <> fb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        mates = now.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(F.col("bucket").alias("sb"), F.col("node").alias("b"), F.col("f").alias("fb"))
+        known = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("lanes").alias(f"l{c}")), c)
+        across = known(strays, "a").join(known(mates, "b"), (F.col("fa") != F.col("fb")) & self.alike("a", "b") & (F.col("sb") == F.col("bucket"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
         more = self.estimated(across.join(near, ["u", "v"], "left_anti"), nodes)
         near = stored(near.union(more), "pairs")
         return near, stored(connected_components(near), "families")
@@ -278,7 +292,7 @@ class NearDuplicates:
         bounded_batches(docs.sparkSession)
         sets = stored(self.sets(docs, key, text), "sketches")
         linked = sets.where("n > 0 and id is not null")
-        nodes = stored(linked.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+        nodes = stored(linked.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("lanes").alias("lanes")), "nodes")
         component = self.links(nodes, docs, key, text)
         # a node is the smallest id of its set, so the smallest node of a component is the smallest id in it
         named = nodes.select("s1", "s2", "node").join(component, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
