@@ -1,0 +1 @@
+"""Empty on purpose: the comparison is a batch job, and no operator of it works on streams."""
