@@ -151,7 +151,7 @@ class Inflated:
 
     def records(self, wanted) -> Iterator[tuple[dict, bytes | None]]:
         """(headers, block or None): ``wanted`` says by the headers 0 to drop a record, 1 for headers alone, 2 for its block."""
-        while self._fill(1):
+        while self._fill(2) or self.buffer:
             yield from self._member(wanted) if self.buffer[:2] == b"\x1f\x8b" else self._plain(wanted)
 
     def _plain(self, wanted) -> Iterator[tuple[dict, bytes | None]]:
@@ -265,7 +265,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             out[-1].names.append(f"{root}/{name}")
             size += listed[name].size
-        return out
+        return out or [Files([])]  # without any partition Spark would read one of its own making
 
     def _wanted(self, headers: dict[str, str]) -> int:
         for name, values in self.tests:

@@ -1,0 +1,244 @@
+"""Near duplicates, decontamination, nearest neighbours against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from collatio.llm import decontamination, graph_index
+from collatio.llm.components import connected_components
+from collatio.llm.near_dup import NearDuplicates, SetSketch, Shingles
+from collatio.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def groups_of(sets, percent=80):
+    """Smallest id reachable by links of at least that similarity, by comparing all."""
+    parent = {i: i for i in range(len(sets))}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(sets))]
+
+
+def shingles(text, width):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + min(width, len(words))]) for i in range(len(words) - min(width, len(words)) + 1)} if words else set()
+
+
+def family(rng, size, copies, changes):
+    words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+    out = []
+    for _ in range(copies):
+        own = list(words)
+        for _ in range(rng.randrange(changes + 1)):
+            own[rng.randrange(size)] = f"x{rng.randrange(5000)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_groups_are_those_of_all_pairs(spark, width):
+    rng = random.Random(5)
+    texts = family(rng, 60, 90, 7) + family(rng, 12, 40, 2) + family(rng, 200, 30, 30) + ["one", "One", "two words", "two  WORDS", "", None, " ", "solo"] + family(rng, 40, 1, 0) * 20
+    rng.shuffle(texts)
+    got = NearDuplicates(width=width)(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    sets = [shingles(t, width) for t in texts]
+    expected = groups_of(sets)
+    assert len(got) == len(texts)
+    for r in got:
+        i = r["doc_id"]
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), expected[i], expected[i] == i), (i, texts[i])
+
+
+def test_blocks_of_a_family_give_the_same(spark):
+    rng = random.Random(6)
+    texts = family(rng, 50, 120, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = NearDuplicates(width=2)
+
+    class Small(NearDuplicates):
+        def within(self, *args):
+            return super().within(*args, block_bytes=4096)
+
+    assert sorted(Small(width=2)(docs).collect()) == sorted(own(docs).collect())
+
+
+def test_groups_of_odd_rows(spark):
+    rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (4, ""), (5, "word " * 40000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("id", "n", "regs", "node", "component", "kept_", "f")})
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in NearDuplicates(width=2)(docs).collect())
+    assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True)]
+    left = NearDuplicates(width=2).kept(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 3, 4, 5]
+    assert NearDuplicates()(docs.limit(0)).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    sketch, shingle = SetSketch(), Shingles(1)
+    texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 400), (40, 440), (100, 500), (0, 3), (0, 1))]
+    sets = [shingle(t.encode()) for t in texts]
+    regs = sketch(sets)
+    assert (sketch([np.union1d(sets[0], sets[1])])[0] == np.maximum(regs[0], regs[1])).mean() > 0.97
+    assert (sketch([sets[0]])[0] == regs[0]).all()
+    for i, j, true in ((0, 1, 360 / 440), (0, 2, 300 / 500), (0, 0, 1.0)):
+        got = sketch.similarity(regs[[i]], regs[[j]], np.array([400.0]), np.array([400.0]))[0]
+        assert abs(got - true) < 0.12
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)] + [(200, 200 + i) for i in range(1, 50)]
+    parent = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
+    assert got == {x: root(x) for x in linked}
+    assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+# decontamination
+
+
+def test_lcs_is_the_longest_common_subsequence():
+    rng = random.Random(0)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        assert decontamination.lcs_length(decontamination.masks_of(a), len(a), b) == row[-1]
+
+
+def planted(spark):
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(40)]
+    sentence = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(4000)}" for _ in range(n)) + "."
+    items = [(i, sentence(20) + " " + sentence(8)) for i in range(30)]
+    docs, leaks = [], set()
+    for d in range(200):
+        parts = [sentence(rng.randrange(5, 120)) for _ in range(3)]
+        if d % 5 == 0:
+            item = rng.randrange(30)
+            words = items[item][1].split()
+            if d % 10 == 0:  # paraphrased: some words replaced, one left out
+                for _ in range(4):
+                    words[rng.randrange(len(words))] = f"p{rng.randrange(999)}"
+                del words[rng.randrange(len(words))]
+            parts.insert(rng.randrange(4), " ".join(words).upper() if d % 15 == 0 else " ".join(words))
+            leaks.add((d, item))
+        docs.append((d, " ".join(parts)))
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), leaks
+
+
+def test_planted_passages_are_found_and_nothing_else(spark):
+    docs, items, leaks = planted(spark)
+    found = decontamination.find(docs.repartition(3), items, decontamination.fit(docs, items))
+    got = {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]}
+    assert got == leaks
+    blocks = decontamination.Settings(block_bytes=1500)
+    again = decontamination.find(docs, items, decontamination.fit(docs, items, settings=blocks))
+    assert {(r["doc_id"], x["item_id"]) for r in again.collect() for x in r["leaks"]} == leaks
+
+
+def test_a_leak_that_is_everywhere_is_still_found(spark):
+    docs, items, _ = planted(spark)
+    item = items.where("item_id = 3").first()["text"]
+    many = docs.withColumn("text", F.concat("text", F.lit(" " + item)))
+    found = decontamination.find(many, items, decontamination.fit(many, items))
+    assert found.where(F.exists("leaks", lambda x: x["item_id"] == 3)).count() == 200
+
+
+def test_exact_passages_of_the_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    true = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in (d["text"] or "")}
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
+    assert true and true <= got and len(got - true) <= 2
+
+
+def test_leaks_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, "a b c d e f g"), (4, "a b c d e f g"), (5, "q " * 50000)], "doc_id bigint, text string").withColumn("leaks", F.lit(1))
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g")], "item_id bigint, text string")
+    rows = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in decontamination.find(docs, items, decontamination.fit(docs, items)).collect()}
+    assert rows == {1: [], 2: [], 3: [], 4: [4, 5], 5: []}
+    for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.limit(0), items.limit(0))):
+        assert decontamination.find(d, i, decontamination.fit(d, i)).where(F.size("leaks") > 0).count() == 0
+
+
+# nearest neighbours
+
+
+def exact(rows, k):
+    usable = [(i, np.array(v)) for i, v in rows if v]
+    out = {}
+    for i, v in usable:
+        if i % 20 == 0:
+            best = sorted(((-float(sum(a * b for a, b in zip(v, w))), j) for j, w in usable if j != i))[:k]
+            out[i] = [(j, -s) for s, j in best]
+    return out
+
+
+def test_recall_and_scores(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = QUERIES["op3_nearest_neighbours"](spark, sf).collect()
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    found = hits = 0
+    for q in {r["query_id"] for r in got}:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        true = set(ids[np.argsort(-s)[:20]].tolist())
+        mine = {r["vec_id"] for r in got if r["query_id"] == q}
+        found += len(mine)
+        hits += len(mine & true)
+    assert found == 20 * sum(i % 20 == 0 for i, _ in rows) and hits >= 0.95 * found
+    assert [r["rank"] for r in sorted(got) if r["query_id"] == 0] == list(range(1, 21))
+
+
+def test_small_shards_copies_and_norms(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) * rng.uniform(0.5, 3)).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[7][1]) for i in range(200)]  # one vector many times over
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    index = graph_index.GraphIndex(shard_rows=400, query_rows=16)
+    got = graph_index.nearest(frame, frame.where("vec_id % 20 = 0"), 10, index=index).collect()
+    true = exact(rows, 10)
+    hits = sum(r["vec_id"] in {j for j, _ in true[r["query_id"]]} for r in got)
+    assert len(got) == 10 * len(true) and hits >= 0.95 * len(got)
+    for r in got:
+        v, w = dict(rows)[r["query_id"]], dict(rows)[r["vec_id"]]
+        total = 0.0
+        for a, b in zip(v, w):
+            total += a * b
+        assert r["score"] == total
+
+
+def test_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (10, [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "v", "shard", "score", "rank")})
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in graph_index.nearest(frame, frame.where("vec_id % 20 = 0")).collect())
+    assert got == [(0, 1, 20, 1.0), (0, 2, 10, 0.5), (20, 1, 0, 1.0), (20, 2, 10, 0.5)]
+    assert graph_index.nearest(frame.limit(0), frame.limit(0)).count() == 0
