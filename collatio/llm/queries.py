@@ -46,10 +46,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4)
-    back = segmentation.decode(coded, "segmentation.ids")
+    coded = segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, verify=True)
     s = F.col("segmentation")
-    return back.select("doc_id", s["ids"].alias("ids"), F.size(s["ids"]).alias("n_pieces"), s["score"].alias("score"), s["n_best"].alias("n_best_scores"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return coded.select("doc_id", s["ids"].alias("ids"), F.size(s["ids"]).alias("n_pieces"), s["score"].alias("score"), s["n_best"].alias("n_best_scores"), s["round_trip"].alias("round_trip"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {text in license_scan.PHRASES}, string_split('{text}', ' '))" for i, (text, label) in enumerate((license_scan.PHRASES | license_scan.NOTICES).items())
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
@@ -92,4 +96,24 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to,
                url
         FROM pages WINDOW same AS (PARTITION BY sha1(coalesce(html, '')))""",
+    "op9_license_scan": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        tp AS (SELECT template, label, phrase, len(w) - 1 AS pairs, unnest(range(len(w) - 1)) AS pos, w FROM (VALUES {_TEMPLATES}) AS t(template, label, phrase, w)),
+        dp AS (SELECT r, place, w[place + 1] || ' ' || w[place + 2] AS pair FROM (SELECT r, w, unnest(range(len(w) - 1)) AS place FROM d)),
+        g AS (SELECT r, template, label, phrase, pairs, place - pos AS diagonal, list(DISTINCT pos) AS seen FROM dp JOIN tp ON dp.pair = tp.w[pos + 1] || ' ' || tp.w[pos + 2] GROUP BY ALL),
+        k AS (SELECT * FROM g WHERE NOT phrase OR len(seen) = pairs),
+        m AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o > 3, TRUE) THEN 1 ELSE 0 END AS new FROM k WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+        n AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS grp FROM m),
+        s AS (SELECT r, label, phrase, greatest(min(diagonal) + list_min(flatten(list(seen))), 0) AS first_word, len(list_distinct(flatten(list(seen)))) / pairs AS score FROM n GROUP BY r, template, label, phrase, pairs, grp),
+        f AS (SELECT r, count(*) FILTER (WHERE phrase) AS n_base, min(first_word) FILTER (WHERE phrase) AS first_word, max(first_word) FILTER (WHERE phrase) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM s WHERE score >= 0.7 GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM d LEFT JOIN f USING (r)""",
+    "op10_minhash_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        h AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM h),
+        l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        c AS (SELECT doc_id AS u, doc_id AS v FROM h UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u)
+        SELECT h.doc_id, len(s)::BIGINT AS n_shingles, min(c.v) AS component_id, h.doc_id = min(c.v) AS kept FROM h JOIN c ON h.doc_id = c.u GROUP BY h.doc_id, s""",
 }
