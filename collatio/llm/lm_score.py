@@ -94,7 +94,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, train: Column, own: Settings
             arrow = b.schema.field(0).type
             for id_, raw, flag in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = raw.lower().split()
-                if len(known) > 400_000:
+                if len(known) > 150_000:
                     known.clear()
                 try:
                     own_keys = [known[w] for w in words]

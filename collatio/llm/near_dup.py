@@ -99,7 +99,7 @@ class SetSketch:
 class Shingles:
     """Distinct word shingles of a text as sorted 64-bit keys."""
 
-    def __init__(self, width: int, remember: int = 400_000):
+    def __init__(self, width: int, remember: int = 150_000):
         self.width, self.remember, self.known = width, remember, {}
 
     def __call__(self, raw: bytes) -> np.ndarray:

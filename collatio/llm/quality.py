@@ -41,7 +41,7 @@ _REPEATS = re.compile(rb"(\S+)(?:\s+\1(?=\s|$))+")
 class Featurizer:
     """Sparse features of texts; remembers the hashes of words it has met, up to a bound."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, remember: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.remember = remember
 

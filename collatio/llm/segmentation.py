@@ -41,7 +41,7 @@ _READY: dict[str, Pieces] = {}
 class Pieces:
     """A piece vocabulary and the segmentation of texts over it."""
 
-    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 300_000):
+    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 120_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -246,10 +246,11 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, column: str = "segmentation", all_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, column: str = "segmentation", all_ids: bool = False, verify: bool = False) -> DataFrame:
     """docs with struct(ids, score, n_best): the best segmentation and the scores of the n best.
 
-    With ``all_ids`` n_best holds (score, ids) of each instead of the scores alone.
+    With ``all_ids`` n_best holds (score, ids) of each instead of the scores alone. With ``verify`` the ids are decoded
+    where they were made, and a further field ``round_trip`` says whether that gives the bytes of the text.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -265,21 +266,31 @@ def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, c
 
     def run(batches):
         vocabulary = pieces(shared.value)
-        for b in batches:
-            got = [None if raw is None else vocabulary.encode(raw.decode("utf-8", "replace"), n, all_ids) for raw in b.to_pylist()]
-            first = lists([None if g is None else g[0][1] for g in got])
-            scores = pa.array([None if g is None else g[0][0] for g in got], pa.float64())
-            if all_ids:
-                flat = [x for g in got if g for x in g]
-                each = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), lists([x[1] for x in flat])], ["score", "ids"])
-                offsets = np.concatenate(([0], np.cumsum([len(g or ()) for g in got]))).astype(np.int32)
-                more = pa.ListArray.from_arrays(pa.array(offsets), each, mask=pa.array([g is None for g in got], pa.bool_()))
-            else:
-                more = pa.array([None if g is None else [s for s, _ in g] for g in got], pa.list_(pa.float64()))
-            yield pa.StructArray.from_arrays([first.cast(ints), scores, more], ["ids", "score", "n_best"])
+        try:
+            for b in batches:
+                texts = b.to_pylist()
+                got = [None if raw is None else vocabulary.encode(raw.decode("utf-8", "replace"), n, all_ids) for raw in texts]
+                first = lists([None if g is None else g[0][1] for g in got])
+                scores = pa.array([None if g is None else g[0][0] for g in got], pa.float64())
+                if all_ids:
+                    flat = [x for g in got if g for x in g]
+                    each = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), lists([x[1] for x in flat])], ["score", "ids"])
+                    offsets = np.concatenate(([0], np.cumsum([len(g or ()) for g in got]))).astype(np.int32)
+                    more = pa.ListArray.from_arrays(pa.array(offsets), each, mask=pa.array([g is None for g in got], pa.bool_()))
+                else:
+                    more = pa.array([None if g is None else [s for s, _ in g] for g in got], pa.list_(pa.float64()))
+                fields, names = [first.cast(ints), scores, more], ["ids", "score", "n_best"]
+                if verify:
+                    offsets = first.offsets.to_numpy().astype(np.int64)
+                    back = vocabulary.decode_many(first.values.to_numpy().astype(np.int64), offsets)
+                    fields.append(pa.array([None if raw is None else raw == x for raw, x in zip(texts, back, strict=True)], pa.bool_()))
+                    names.append("round_trip")
+                yield pa.StructArray.from_arrays(fields, names)
+        finally:  # a worker lives on; what this task has learnt of words would stay in its memory
+            vocabulary.known, vocabulary.older = {}, {}
 
     inner = "array<struct<score:double,ids:array<int>>>" if all_ids else "array<double>"
-    udf = F.arrow_udf(run, f"struct<ids:array<int>,score:double,n_best:{inner}>", F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(run, f"struct<ids:array<int>,score:double,n_best:{inner}{',round_trip:boolean' if verify else ''}>", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(column, udf(F.col(text).cast("binary")))
 
 
