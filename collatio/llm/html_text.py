@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. A line weighs its characters, but nothing inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, and only its characters outside links where
+headers, footers, sidebars, notices, adverts, forms, reader comments and unseen elements, and only its characters outside links where
 the page marks no article. Weights are summed over sliding windows of lines; text surges at the first line of a window
 whose sum reaches the threshold and dives after the last weighty line before a window without any. The lines between
 surge and dive that are not part of such furniture are the text. Where the page marks its article, only its lines weigh
@@ -46,6 +46,7 @@ _COMMENTS = frozenset("comment comments disqus respond replies".split())
 _MAIN = frozenset("article main".split())
 _MAIN_NAMES = frozenset("articlebody".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true|(?:^|\s)hidden(?=\s|/|$|=\s*[\"']{2})", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -75,11 +76,11 @@ def _names(attrs: str) -> tuple[set[str], set[str]]:
 def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is furniture, and whether it marks the article."""
     names, roles = _names(attrs) if attrs else (set(), set())
-    furniture = tag in _FURNITURE and not (tag == "header" and in_main) or bool(roles & _ROLES)
+    furniture = tag in _FURNITURE and not (tag == "header" and in_main) or bool(roles & _ROLES) or bool(attrs and _UNSEEN.search(attrs))
     if tag in ("html", "body", "main"):
         furniture = False
     elif tag == "article":
-        furniture = bool(names & _COMMENTS)
+        furniture = furniture or bool(names & _COMMENTS)
     elif tag not in _HEADINGS and tag != "header":
         furniture = furniture or bool(names & _NAMES)
     return furniture, not furniture and (tag in _MAIN or "main" in roles or bool(names & _MAIN_NAMES))

@@ -114,6 +114,7 @@ LONG = "A paragraph that is long enough to be told from the menus and other smal
         (f"<article><p>{LONG}</p><script>if (a<b) '</p>'</script><style>p{{}}</style><!-- <p>no</p> --><p>z</p>", f"{LONG}\nz"),
         ("<article><p>cut of", "cut of"), ("<article><p>a</p></article><foot", "a"), ("<article><p>a<!-- open", "a"), ("<article><p title='x>y\">a</p>", 'y">a'), ("<p class=\"a>b\">c</p>", "c"),
         ("<article><P>One\n  two</P><ul><li>three</li><li><a href=x>four</a></li></ul></article>", "One two\nthree\nfour"), ("<article></article>", ""),
+        ("<article><p>a</p><p hidden>b</p><div style='display: none'>c</div><p class='hidden-gem'>d</p><p aria-hidden=true>e</p></article>", "a\nd"),
     ],
 )
 def test_main_text(page, text):
