@@ -4,7 +4,7 @@ Within a partition rows stand in clustering order and are compared in step: from
 both sides differ nothing more is compared, and the partition is a mismatch. As the clusterings of a side are sorted
 and unique, that place is the least clustering that one side alone has; so the comparison is relational:
 
-1. both sides, tagged, are grouped by (partition key, clustering): which sides have the row, how many values agree;
+1. both sides are matched by (partition key, clustering): which sides have the row, how many values agree;
 2. the least one-sided clustering of each partition bounds what counts;
 3. rows that both sides have under that bound are summed by partition.
 
@@ -78,6 +78,24 @@ def _order_key(table: DataFrame, spec: TableSpec) -> tuple[Column | None, bool]:
     return F.struct(*parts), False
 
 
+def _joined(source: DataFrame, target: DataFrame, spec: TableSpec, strict_float: bool) -> tuple[DataFrame, bool]:
+    """The same as ``_rows`` by a full outer join: each side is dealt and sorted by (key, clustering) once."""
+    sides, backwards = [], False
+    keys = [f"p{i}" for i in range(len(spec.partition_key))]
+    for side, table in (("s", source), ("t", target)):
+        order, backwards = _order_key(table, spec)
+        own = [F.col(quoted(c)).alias(f"{side}_{k}") for k, c in zip(keys, spec.partition_key, strict=True)]
+        sides.append(table.select(F.lit(True).alias(f"in_{side}"), *own, order.alias(f"{side}_ck"), _values(table, spec, strict_float).alias(f"{side}_v")))
+    on = reduce(lambda x, y: x & y, [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in keys])
+    if spec.clustering:
+        on = on & (F.col("s_ck") == F.col("t_ck"))  # never null itself; nulls inside are equal
+    both = sides[0].join(sides[1], on, "full")
+    here = {n: F.coalesce(F.col(n), F.lit(False)) for n in ("in_s", "in_t")}
+    equal = reduce(lambda x, y: x + y, [same(F.col(f"s_v.v{i}"), F.col(f"t_v.v{i}")) for i in range(len(spec.regular))])
+    pick = lambda c: F.when(F.col("in_s").isNotNull(), F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c)
+    return both.select(*[pick(k) for k in keys], pick("ck"), *[c.alias(n) for n, c in here.items()], F.when(here["in_s"] & here["in_t"], equal).alias("equal")), backwards
+
+
 def _tagged(source: DataFrame, target: DataFrame, spec: TableSpec, strict_float: bool) -> tuple[DataFrame, bool]:
     """Both sides as (side, p0.., ck, v)."""
     sides, backwards = [], False
@@ -119,8 +137,7 @@ def _summed(rows: DataFrame, keys: Sequence[str], spec: TableSpec, counted: Colu
     )
 
 
-def _spread(tagged: DataFrame, keys: Sequence[str], spec: TableSpec, backwards: Column) -> DataFrame:
-    rows = _rows(tagged, keys, spec)
+def _spread(rows: DataFrame, keys: Sequence[str], spec: TableSpec, backwards: Column) -> DataFrame:
     both = F.col("in_s") & F.col("in_t")
     if not spec.clustering:  # one row for each key: nothing can stop a comparison halfway
         return _summed(rows, keys, spec, both, F.lit(False))
@@ -191,9 +208,10 @@ def partition_stats(
     if plan == "positional" or _order_key(source, spec)[0] is None:
         summed = _positional(source, target, spec, reverse_probability, job_id, strict_float)
     else:
-        tagged, falling = _tagged(source, target, spec, strict_float)
+        how, deal = {"spread": (_spread, _joined), "colocated": (_colocated, _tagged)}[plan]
+        dealt, falling = deal(source, target, spec, strict_float)
         back = _reversed(keys, reverse_probability, job_id) if spec.clustering else F.lit(False)
-        summed = {"spread": _spread, "colocated": _colocated}[plan](tagged, keys, spec, ~back if falling else back)
+        summed = how(dealt, keys, spec, ~back if falling else back)
     both = F.col("has_s") & F.col("has_t")
     found = summed.withColumn("token", token([F.col(k) for k in keys], domain))
     found = found.where(~both | sampled([F.col(k) for k in keys], sampling, job_id))
