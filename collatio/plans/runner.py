@@ -8,6 +8,7 @@ a job again with tokens to accept reads the splits that hold them anew and repla
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ from ..operators.compare import mismatches, partition_stats, repeated_keys
 from ..operators.filters import open_splits
 from ..operators.keys import key_columns
 from ..operators.schema import common_tables
-from ..operators.splits import filter_splits, split_of, splits_frame, calculate_splits
+from ..operators.splits import calculate_splits, filter_splits, split_of, splits_frame
 from ..operators.stats import COUNTERS, RangeStats, by_split
 from ..sources.providers import Provider, SideError, load_provider, side_of
 from ..spec import JobConfig, Modifier, Side, TableName, TableSpec
@@ -41,12 +42,18 @@ class DiffJob:
     after: list[Callable[[JobConfig, Results], None]] = field(default_factory=list)
     source: Provider | None = None
     target: Provider | None = None
+    metrics: list[dict] = field(default_factory=list)
+    tag: str = field(default_factory=lambda: f"collatio-{new_id()}")
 
     def __post_init__(self):
         clusters = self.config.cluster_config
         self.source = self.source or load_provider(clusters.get("source", {}), "source")
         self.target = self.target or load_provider(clusters.get("target", {}), "target")
 
+    def stop(self) -> None:
+        """Cancels what the job has running, from another thread; its run then fails, and can be resumed."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
     def tables(self) -> list[TableName]:
         if not self.config.auto_discovery:
             return self.config.tables
@@ -72,6 +79,7 @@ class DiffJob:
             job_id, buckets=params["buckets"], qualified_table_names=[str(t) for t in params["tables"]], source_cluster_name=getattr(self.source, "name", "source"), source_cluster_desc=self.source.description(),
             target_cluster_name=getattr(self.target, "name", "target"), target_cluster_desc=self.target.description(), total_tasks=params["splits"],
         )
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
             for hook in self.before:
                 hook(self.config)
@@ -87,6 +95,7 @@ class DiffJob:
         except Exception as error:
             raise RuntimeError("Diff job failed") from error
         finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
             self.journal.stop(job_id)
 
     def _side(self, side: Side, provider: Provider, table: TableName) -> DataFrame:
@@ -130,6 +139,7 @@ class DiffJob:
         if not whole:
             inside = split_of(token(key_columns(spec), domain), n, domain).isin(wave)
             source, target = source.where(inside), target.where(inside)
+        began = time.monotonic()
         name = {"job_id": F.lit(job_id), "qualified_table_name": F.lit(str(table))}
         text = lambda c: F.col(c).cast("string").alias(c)
         try:
@@ -143,12 +153,17 @@ class DiffJob:
                 found = mismatches(stats).withColumn("split", split_of(F.col("token"), n, domain)).join(mine.select("split", "bucket"), "split")
                 self.journal.append("mismatches", found.select("bucket", F.col("token").cast("string").alias("mismatching_token"), "mismatch_type").withColumns(name))
                 self.journal.append("task_status", status.withColumns(name))  # last: a wave without it is done again
+                self.metrics.append({"table": str(table), "splits": len(wave), "seconds": time.monotonic() - began})
+                log.info("%s: %d splits in %.1f s", table, len(wave), self.metrics[-1]["seconds"])
             finally:
                 stats.unpersist()
         except Exception as error:
-            bad = mine.select("bucket", text("start_token"), text("end_token")).withColumns(name)
-            self.journal.append("task_errors", bad)
-            self.journal.append("partition_errors", bad.withColumns({"error_token": F.col("start_token"), "error_source": F.lit(side_of(error))}))
+            try:  # a journal that cannot be written must not hide what went wrong
+                bad = mine.select("bucket", text("start_token"), text("end_token")).withColumns(name)
+                self.journal.append("task_errors", bad)
+                self.journal.append("partition_errors", bad.withColumns({"error_token": F.col("start_token"), "error_source": F.lit(side_of(error))}))
+            except Exception:  # noqa: BLE001
+                log.exception("the errors of %s cannot be filed", table)
             raise
 
 

@@ -171,6 +171,7 @@ def test_a_job_from_end_to_end(spark, sides, waves):
     stats = job.run()["ks.t"]
     assert (stats.matched_partitions, stats.mismatched_partitions, stats.only_in_source, stats.matched_rows) == (170, 10, 20, 180)
     assert len(seen) == 2 and journal.read("running_jobs").count() == 0
+    assert len(job.metrics) == waves and sum(m["splits"] for m in job.metrics) == 10
     read = journal.read
     assert read("mismatches").count() == 30 and {r["completed"] for r in report.completed(read("task_status"), job_id).collect()} == {10}
     again = DiffJob(spark, config(sides, job_id=job_id, splits=77), journal).run()["ks.t"]  # nothing left; the filed splits hold
@@ -216,6 +217,25 @@ def test_discovery_conflict_and_failure(spark, sides):
     assert side_of(error.value) == "SOURCE" and journal.read("running_jobs").count() == 0
 
 
+class Broken(FormatProvider):
+    """A side whose rows cannot be read."""
+
+    def table(self, spark, name):
+        frame = super().table(spark, name)
+        return frame.withColumn("v", F.expr("CASE WHEN pk = 7 THEN raise_error('broken row') ELSE v END").cast("bigint"))
+
+
+def test_errors_are_filed_and_the_job_can_go_on(spark, sides):
+    journal, job_id = Journal(spark, f"{sides}/journal", MetadataOptions()), str(uuid.uuid4())
+    good = config(sides, job_id=job_id, waves=2)
+    sources = {**good.cluster_config, "source": {**good.cluster_config["source"], "impl": f"{__name__}.Broken"}}
+    with pytest.raises(RuntimeError, match="Diff job failed"):
+        DiffJob(spark, config(sides, job_id=job_id, waves=2, cluster_config=sources), journal).run()
+    errors = report.error_summary(journal.read("task_errors"), job_id).first()
+    assert errors["errors"] == 5 and len(report.error_tokens(journal.read("task_errors"), journal.read("partition_errors"), job_id).first()["tokens"]) == 5
+    assert DiffJob(spark, good, journal).run()["ks.t"].matched_partitions == 170
+
+
 def test_recent_jobs_widen(spark):
     days = [1, 2, 40, 41, 42, 43, 44, 45, 46, 47, 70, 200]
     rows = spark.createDataFrame([(f"j{d}", d) for d in days], "job_id string, d int").select("job_id", F.expr("cast(date_sub(date'2024-12-31', d) as timestamp)").alias("job_start_time"))
