@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +68,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """In a Python worker: returns freed memory to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Scratch:
+    """Intermediate tables of one run of an operator, dropped together when its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.number = spark, shared_path(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.release()
+        self.number += 1
+        path = f"{self.root}/{self.number}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffles of tables that are stored by now; else they stay until the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self) -> None:
+        _remove(self.spark, self.root)
+        self.release()
+
+
 def held_out(key: Column, modulus: int, remainder: int = 2) -> Column:
     """True for the rows kept from learning: crc32 of the key as text leaves the remainder; a null key is never held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _finger(pairs: DataFrame) -> tuple[int, int]:
@@ -17,12 +17,13 @@ def _finger(pairs: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"] or 0
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node in ``pairs`` (columns u, v); component is the smallest node of it.
 
     Null ends and self-links are ignored; repeated pairs count once; no pairs give no rows.
     """
-    now = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(pairs.sparkSession, "components")
+    now = scratch.stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _finger(now)
     if not mark[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -32,7 +33,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
-        now = stored(small, "links")
+        now = scratch.stored(small, "links")
         before, mark = mark, _finger(now)
         if mark == before:
             break

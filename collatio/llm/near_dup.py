@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, mix64, stored
+from .common import Scratch, as_bytes, bounded_batches, mix64, stored
 from .components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -134,7 +134,7 @@ class NearDuplicates:
     sketch: SetSketch = SetSketch()
 
     def sets(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(id, n, s1, s2, regs, lanes) of each row: size of its set, a 128-bit name of the set, its registers as bytes and as longs."""
+        """(id, n, s1, s2, regs) of each row: size of its set, a 128-bit name of the set, its registers."""
         width, sketch = self.width, self.sketch
         kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
 
@@ -144,9 +144,9 @@ class NearDuplicates:
                 sets = [shingles(raw) for raw in b.column(1).to_pylist()]
                 names = np.array([list(divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 regs = sketch(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(regs.view(np.int64)), pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "regs", "lanes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "s1", "s2", "regs"])
 
-        return docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).mapInArrow(make, f"id {kind}, n bigint, s1 bigint, s2 bigint, regs binary, lanes array<bigint>")
+        return docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).mapInArrow(make, f"id {kind}, n bigint, s1 bigint, s2 bigint, regs binary")
 
     def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) whose registers allow the threshold."""
@@ -212,44 +212,47 @@ class NearDuplicates:
         least = math.log(1 + j * (base - 1)) / math.log(base) * self.sketch.registers
         return (F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * self.percent) & (same >= int(least) - 1)
 
-    def candidates(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def candidates(self, nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         """Estimated pairs (u, v) that join all that may be linked into families, and (node, component) of the families."""
         rows, bands = self.rows, self.sketch.registers // self.rows
         # a bucket is named by the number of the band and its registers
         keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * rows + 1, F.lit(rows))))
         entries = nodes.select("node", F.explode(keys).alias("bucket"))
-        pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "pivot")
-        shared = stored(entries.join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
-        near = stored(self.estimated(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), nodes), "pairs")
-        family = stored(connected_components(near), "families")
+        pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        shared = scratch.stored(entries.join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
+        near = scratch.stored(self.estimated(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), nodes), "pairs")
+        family = scratch.stored(connected_components(near, scratch), "families")
 
+        # every member has been estimated against its pivot; what is left are pairs without the pivot, in buckets of three or more
         of = lambda c, name: family.select(F.col("node").alias(c), F.col("component").alias(name))
-        now = shared.join(of("node", "f"), "node", "left").join(of("pivot", "pf"), "pivot", "left").select("bucket", "node", F.coalesce("f", "node").alias("f"), F.coalesce("pf", "pivot").alias("pf"))
-        strays = stored(now.where("f <> pf").select("bucket", F.col("node").alias("a"), F.col("f").alias("fa")), "strays")
+        now = shared.where("k > 2 and node <> pivot").join(of("node", "f"), "node", "left").join(of("pivot", "pf"), "pivot", "left").select("bucket", "node", F.coalesce("f", "node").alias("f"), F.coalesce("pf", "pivot").alias("pf"))
+        now = scratch.stored(now, "members")
+        strays = now.where("f <> pf").select("bucket", F.col("node").alias("a"), F.col("f").alias("fa"))
         mates = now.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(F.col("bucket").alias("sb"), F.col("node").alias("b"), F.col("f").alias("fb"))
-        known = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("lanes").alias(f"l{c}")), c)
-        across = known(strays, "a").join(known(mates, "b"), (F.col("fa") != F.col("fb")) & self.alike("a", "b") & (F.col("sb") == F.col("bucket"))).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        more = self.estimated(across.join(near, ["u", "v"], "left_anti"), nodes)
-        near = stored(near.union(more), "pairs")
-        return near, stored(connected_components(near), "families")
-
-    def links(self, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+        lanes = F.array(*[F.conv(F.hex(F.substring("regs", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(self.sketch.registers // 8)])
+        known = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), lanes.alias(f"l{c}")), c)
+        across = known(strays, "a").join(known(mates, "b"), (F.col("fa") != F.col("fb")) & self.alike("a", "b") & (F.col("sb") == F.col("bucket")))
+        more = self.estimated(across.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().join(near, ["u", "v"], "left_anti"), nodes)
+        near = scratch.stored(near.union(more), "pairs")
+        return near, scratch.stored(connected_components(near, scratch), "families")
+
+    def links(self, nodes: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
         """(node, component) of the nodes (node, n, s1, s2, regs) that are linked to another one."""
-        near, family = self.candidates(nodes)
-        full = stored(self.full_sets(docs, nodes.join(family, "node", "left_semi"), key, text), "sets")
+        near, family = self.candidates(nodes, scratch)
+        full = scratch.stored(self.full_sets(docs, nodes.join(family, "node", "left_semi"), key, text), "sets")
         star = near.union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
-        good = stored(self.verified(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), full), "links")
-        good = good.union(stored(self.within(family, connected_components(good), nodes, full), "links"))
-        return connected_components(good)
+        good = scratch.stored(self.verified(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), full), "links")
+        member = family.select("node", F.col("component").alias("f")).join(connected_components(good, scratch), "node", "left").join(nodes.select("node", "n"), "node")
+        member = scratch.stored(member.select("node", "f", F.coalesce("component", "node").alias("c"), "n"), "members")
+        good = good.union(scratch.stored(self.within(member, full), "links"))
+        return connected_components(good, scratch)
 
-    def within(self, family: DataFrame, component: DataFrame, nodes: DataFrame, full: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-        """Links (u, v) between components of one family, enough to join all that are linked.
+    def within(self, member: DataFrame, full: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+        """Links (u, v) between components (c) of one family (f), enough to join all that are linked.
 
-        The members outside a family's largest component are counted against all its members.
+        The members (node, f, c, n) outside a family's largest component are counted against all its members.
         """
         percent = self.percent
-        member = family.select("node", F.col("component").alias("f")).join(component, "node", "left").join(nodes.select("node", "n"), "node").select("node", "f", F.coalesce("component", "node").alias("c"), "n")
-        member = stored(member, "members")
         part = member.groupBy("f", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
         whole = part.groupBy("f").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         pieces = lambda n: F.ceil(n * 8 / block_bytes)
@@ -259,7 +262,7 @@ class NearDuplicates:
         left = own.where("c <> main").select("f", salt(F.col("nx")).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("m"), "node", "c", "elements")
         anew = lambda c: F.col(c).alias(c)  # noqa: E731  else both sides of the cogroup hold the same columns
         right = own.select(anew("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)).alias("x"), salt(F.col("nm")).alias("m"), anew("node"), anew("c"), anew("elements"))
-        kind = dict(family.dtypes)["node"]
+        kind = dict(member.dtypes)["node"]
 
         def count(ours, theirs):
             sets = [np.frombuffer(e, np.uint64) for e in theirs.column("elements").to_pylist()]
@@ -290,20 +293,29 @@ class NearDuplicates:
     def __call__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row: (key), n_shingles, component_id (the smallest id reachable), kept."""
         bounded_batches(docs.sparkSession)
-        sets = stored(self.sets(docs, key, text), "sketches")
+        scratch = Scratch(docs.sparkSession, "near-duplicates")
+        sets = scratch.stored(self.sets(docs, key, text), "sketches")
         linked = sets.where("n > 0 and id is not null")
-        nodes = stored(linked.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("lanes").alias("lanes")), "nodes")
-        component = self.links(nodes, docs, key, text)
+        nodes = scratch.stored(linked.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+        component = self.links(nodes, docs, key, text, scratch)
         # a node is the smallest id of its set, so the smallest node of a component is the smallest id in it
         named = nodes.select("s1", "s2", "node").join(component, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
         shape = lambda df, c: df.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(F.col("id") == c, F.lit(True)).alias("kept"))
         apart = shape(sets.where("n = 0 or id is null"), F.col("id"))
-        return shape(linked.join(named, ["s1", "s2"], "left"), F.col("component_id")).union(apart)
+        result = stored(shape(linked.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left"), F.col("component_id")).union(apart), "groups")
+        del sets, linked, nodes, component, named, apart
+        scratch.drop()
+        return result
 
     def kept(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """The rows of docs that stay, one of each group, with their columns as they are; a row repeated whole stays once."""
-        found = stored(self(docs, key, text), "groups")
+        found = self(docs, key, text)
         gone = found.where("not kept").select(F.col(key).alias("__gone")).distinct()
-        left = docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+        residue = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18))
+        # at most 2^18 numbers: a proven bound for the broadcast. Rows whose number no lost id has stay where they are
+        some = F.broadcast(gone.select(residue("__gone").alias("__residue")).distinct())
+        sure = docs.join(some, residue(key) == some["__residue"], "left_anti")
+        rest = docs.join(some, residue(key) == some["__residue"], "left_semi")
+        left = sure.union(rest.join(gone, rest[key] == gone["__gone"], "left_anti"))
         repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
         return left if repeated.isEmpty() else left.dropDuplicates([key, text])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -41,7 +41,7 @@ _READY: dict[str, Pieces] = {}
 class Pieces:
     """A piece vocabulary and the segmentation of texts over it."""
 
-    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 120_000):
+    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -80,7 +80,7 @@ class Pieces:
         # neighbouring characters that some piece holds; between any others no piece goes on
         self.joined = {MARK + MARK} | {names[i][j : j + 2] for i in plain for j in range(len(names[i]) - 1)}
         self.parts = re.compile(r"[\s\S]+") if inner else re.compile(r" *[^ ]+| +") if ends else re.compile(r" *[^ \n]+|\n| +")
-        self.remember, self.known, self.older = remember, {}, {}
+        self.remember, self.known, self.older, self.near = remember, {}, {}, {}
 
     def _marked(self, part: str) -> str:
         # a space mark that the text itself holds is no space: it has no piece and goes by bytes
@@ -169,6 +169,17 @@ class Pieces:
         """The n best segmentations (score, ids), best first: backward A-star with the forward scores as heuristics."""
         return list(islice(self.segmentations(part), n))
 
+    def others(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """``n_best`` of a part, remembered: the parts that lose least are often the same."""
+        own = self.near.get((part, n))
+        if own is None:
+            if len(self.near) >= 20_000:
+                self.near.clear()
+            own = self.n_best(part, n)
+            if len(part) <= 64:
+                self.near[part, n] = own
+        return own
+
     def segmentations(self, part: str) -> Iterator[tuple[float, bytes]]:
         """All segmentations of a part, best first."""
         into, order = self._lattice(part), count()
@@ -198,15 +209,15 @@ class Pieces:
         if None in own:
             found = self.found
             own = [x or self.known.get(p) or found(p) for x, p in zip(own, parts)]
-        total = sum([x[1] for x in own])
-        ids = [x[0] for x in own]
+        ids, scores, losses = zip(*own)
+        total = sum(scores)
         out = [(total, b"".join(ids))]
         if n == 1:
             return out
-        losses = [x[2] for x in own]
         # a part outside the n - 1 smallest losses cannot change: each of those n - 1 alone does better
-        free = [i for loss, i in heapq.nsmallest(n - 1, zip(losses, count())) if loss < NEVER]
-        options = [[(own[i][1] - s, b) for s, b in self.n_best(parts[i], n)] for i in free]
+        lost = np.array(losses)
+        free = [i for i in np.argsort(lost, kind="stable")[: n - 1].tolist() if losses[i] < NEVER]
+        options = [[(scores[i] - s, b) for s, b in self.others(parts[i], n)] for i in free]
         sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for choice in options:
             sums = heapq.nsmallest(n, ((loss + more, picks + (k,)) for loss, picks in sums for k, (more, _) in enumerate(choice)))
@@ -287,7 +298,8 @@ def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, c
                     names.append("round_trip")
                 yield pa.StructArray.from_arrays(fields, names)
         finally:  # a worker lives on; what this task has learnt of words would stay in its memory
-            vocabulary.known, vocabulary.older = {}, {}
+            vocabulary.known, vocabulary.older, vocabulary.near = {}, {}, {}
+            give_back()
 
     inner = "array<struct<score:double,ids:array<int>>>" if all_ids else "array<double>"
     udf = F.arrow_udf(run, f"struct<ids:array<int>,score:double,n_best:{inner}{',round_trip:boolean' if verify else ''}>", F.ArrowUDFType.SCALAR_ITER)
