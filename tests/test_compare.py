@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from collatio.functions.tokens import PORTABLE
 from collatio.operators.compare import mismatches, partition_stats, repeated_keys
@@ -198,4 +197,3 @@ def test_plan_reads_only_compared_columns_and_no_python(spark):
 def test_empty_sides(spark):
     a = spark.createDataFrame([], "pk int, c int, v int")
     assert aggregate(partition_stats(a, a, TableSpec.of(a.columns, ["pk"], ["c"]))).first()["matched_rows"] == 0
-    assert F is not None
