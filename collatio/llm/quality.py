@@ -16,7 +16,6 @@ columns are read, so further columns of any name pass untouched.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -35,7 +34,6 @@ MAX_METADATA = 4
 FEATURES = WORDS + BINS * (len(STATISTICS) + MAX_METADATA)
 _LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS = b"#$%&*@^~=+<>{}[]\\/_"
-_REPEATS = re.compile(rb"(\S+)(?:\s+\1(?=\s|$))+")
 
 
 class Featurizer:
