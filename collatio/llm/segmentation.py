@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import count, islice
 
@@ -41,7 +42,7 @@ _READY: dict[str, Pieces] = {}
 class Pieces:
     """A piece vocabulary and the segmentation of texts over it."""
 
-    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 200_000):
+    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -111,7 +112,7 @@ class Pieces:
                 out += [self.bytes[b] for b in part[start].encode("utf-8", "surrogatepass")]
             else:
                 out.append(piece)
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()  # 32 bits wherever Spark runs
 
     def found(self, part: str) -> tuple[bytes, float, float]:
         """``best`` of a part, remembered: the parts of late, and those of the time before that are met again."""
@@ -139,24 +140,23 @@ class Pieces:
         ahead[0] = 0.0
         for i in range(n):
             score, j, node = ahead[i], i, tree
-            if None not in tree.get(marked[i], ()):
-                here = score + self.lost * len(part[i].encode("utf-8", "surrogatepass"))
-                if here >= ahead[j + 1]:
-                    second[j + 1], ahead[j + 1], back[j + 1] = ahead[j + 1], here, (i, _BYTE)
-                elif here > second[j + 1]:
-                    second[j + 1] = here
             for c in marked[i:]:
-                if c not in node:
-                    break
-                node = node[c]
                 j += 1
-                if None in node:
-                    piece, own = node[None]
-                    here = score + own
-                    if here >= ahead[j]:  # among equals the later start, as in the lattice's order
-                        second[j], ahead[j], back[j] = ahead[j], here, (i, piece)
-                    elif here > second[j]:
-                        second[j] = here
+                node = node.get(c)
+                found = node.get(None) if node else None
+                if found is None:
+                    if j > i + 1:  # no piece ends here; one may go on
+                        if node:
+                            continue
+                        break
+                    found = _BYTE, self.lost * len(part[i].encode("utf-8", "surrogatepass"))
+                here = score + found[1]
+                if here >= ahead[j]:  # among equals the later start, as in the lattice's order
+                    second[j], ahead[j], back[j] = ahead[j], here, (i, found[0])
+                elif here > second[j]:
+                    second[j] = here
+                if not node:
+                    break
         at, path, loss = n, [], NEVER
         while at:
             loss = min(loss, ahead[at] - second[at])
