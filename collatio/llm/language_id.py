@@ -13,7 +13,9 @@ Repeated rows get equal rows. Only the named columns are read, so further column
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,12 @@ class LanguageModel:
     min_margin: float = 0.002
 
 
-def normalised(text: Column) -> Column:
-    """Letters in lower case; every run of anything else is one space, every run of one word is that word."""
-    words = F.regexp_replace(F.concat(F.lower(text), F.lit(" ")), r"[^\p{L}]+", " ")
-    return F.regexp_replace(words, r"(?<!\p{L})(\p{L}++ )\1+", "$1")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The words of letters in lower case; a run of one word is that word."""
+    return b" ".join([w.encode() for w, _ in groupby(_WORD.findall(text.lower()))])
 
 
 def has_letter(text: Column) -> Column:
@@ -60,12 +64,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
     rate = F.lit(0.0)
     for name, n in counts.items():
         rate = F.when(F.col("lang") == F.lit(name), F.lit(min(1.0, rows_per_language / n))).otherwise(rate)
-    letters, key = normalised(F.col("text")), F.xxhash64("text")
-    start = F.pmod(key, F.greatest(F.lit(1), F.length(letters) - bytes_per_row)).cast("int") + 1  # anywhere in the text
-    sample = rows.where(hash_below(F.col("text"), rate)).select("lang", key.alias("key"), letters.substr(start, F.lit(bytes_per_row)).alias("part"))
+    key = F.xxhash64("text")
+    start = F.pmod(key, F.greatest(F.lit(1), F.length("text") - bytes_per_row)).cast("int") + 1  # anywhere in the text
+    sample = rows.where(hash_below(F.col("text"), rate)).select("lang", key.alias("key"), F.col("text").substr(start, F.lit(bytes_per_row)).alias("part"))
     parts: dict[str, dict[int, bytes]] = {name: {} for name in counts}
     for r in sample.distinct().collect():
-        parts[r["lang"]][r["key"]] = r["part"].encode()
+        parts[r["lang"]][r["key"]] = letters(r["part"])
     whole = {name: b" ".join(own[k] for k in sorted(own)) for name, own in parts.items()}  # by key, to be repeatable
     step = {name: min(primer_bytes, len(x) // (4 * primers)) for name, x in whole.items()}
     first = {name: [x[i * step[name] : (i + 1) * step[name]] for i in range(primers)] for name, x in whole.items()}
@@ -104,8 +108,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", column: s
         sizes = Sizes(shared.value)
         for batch in batches:
             lang, score, margin = [], [], []
-            for data in batch.to_pylist():
-                if data is None or not sizes.names:
+            for raw in batch.to_pylist():
+                data = letters(raw) if raw is not None else b""
+                if not data or not sizes.names:
                     lang.append(UNDETERMINED), score.append(0.0), margin.append(0.0)
                     continue
                 got = sizes(data)
@@ -118,8 +123,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", column: s
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["lang_pred", "score", "margin"])
 
     run = F.arrow_udf(guess, "struct<lang_pred:string,score:double,margin:double>", F.ArrowUDFType.SCALAR_ITER)
-    raw = F.when(has_letter(F.col(text)), F.encode(normalised(F.col(text)), "UTF-8"))
-    out = docs.withColumn(column, run(raw))
+    out = docs.withColumn(column, run(F.when(has_letter(F.col(text)), F.col(text))))
     g = F.col(column)
     accepted = (g["lang_pred"] != UNDETERMINED) & (g["margin"] >= model.min_margin)
     return out.withColumn(column, g.withField("accepted", accepted))
