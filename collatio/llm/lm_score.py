@@ -1,20 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts of all words come from the whole corpus, those of longer n-grams for the words and n-grams whose share
-of the training tokens reaches ``word_share`` and ``ngram_share``: at most 1/share of them can, so the automaton has a
-size bound that holds for any corpus. States are histories; an arc reads a word, a failure arc shortens the history and
-weighs what smoothing leaves to it. One traversal from left to right carries the state and adds log-probabilities.
+Every word and n-gram of the training rows counts and has its state and arc, however large the corpus: nothing is left
+out by frequency, unless ``word_share`` or ``ngram_share`` ask for it. States are histories; an arc reads a word, a
+failure arc shortens the history and weighs what smoothing leaves to it. The automaton is a distributed table by ranges
+of keys; each block of texts gets the weights of the states and arcs on its way, and scores all its places at once.
 
 Smoothing: words by add-one over the training vocabulary and one unknown word; longer histories by interpolated
 absolute discounting. All probabilities of a history sum to one.
 
-The corpus is read once and kept as blocks: per block the distinct words as sorted 64-bit keys with their training
-counts, and the texts as indexes into them. Keys and counts are packed and dealt by key range, summed, and the totals go
-back to the blocks in the order of their keys; so a word costs a few bytes for each block that has it, however often it
-occurs, and no word is ever a hot key.
+The corpus is read once and kept as blocks: per block the distinct words as sorted 64-bit keys, and the texts as indexes
+into them. From the longest n-grams to the words, the distinct keys of a block and their training counts are packed and
+dealt by key range, summed, and the totals go back to the blocks in the order of their keys. Each distinct n-gram has one
+owner among its blocks; the owner adds it to what goes on from its history, and that is dealt and summed with the counts
+of the history. So a key costs a few bytes for each block that has it, and no word or history is ever a hot key.
 
-Words are told apart by 64-bit hashes. Defined results: null texts count as empty; an empty text is its end token;
-without training rows every word is unknown and has probability one; repeated rows are each counted and scored; an
+Words and n-grams are told apart by 64-bit hashes. Defined results: null texts count as empty; an empty text is its end
+token; without training rows every word is unknown and has probability one; repeated rows are each counted and scored; an
 empty table gives no rows; null ids are kept. Only the named columns are read.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +32,18 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, mix64, stored
+from .common import Scratch, as_bytes, bounded_batches, mix64
 
 END = xxhash.xxh3_64_intdigest(b" end")  # has a space, so no word has its text
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
     order: int = 3
     discount: float = 0.75
-    word_share: float = 2e-5
-    ngram_share: float = 4e-6
+    word_share: float = 0.0  # of the training tokens; rarer words have no state. The default leaves out none
+    ngram_share: float = 0.0  # the same for longer n-grams
     block_tokens: int = 1_000_000
     bucket_keys: int = 1_500_000  # keys of all blocks that meet in one group, about
 
@@ -67,7 +70,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, key: str, text: str, train: Column, own: Settings) -> DataFrame:
-    """(block, ids, train, sizes, tokens, keys, counts, n_keys, n_train), one row for about ``block_tokens`` tokens."""
+    """(block, ids, train, sizes, tokens, keys, n_tokens, n_keys, n_train), one row for about ``block_tokens`` tokens."""
     kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
 
     def make(batches):
@@ -82,13 +85,12 @@ def blocks_of(docs: DataFrame, key: str, text: str, train: Column, own: Settings
             sizes = np.array([len(t) for t in texts])
             keys, index = np.unique(np.concatenate(texts), return_inverse=True)
             learn = np.repeat(np.array(flags, bool), sizes)
-            counts = np.bincount(index[learn], minlength=len(keys))
             row = {
                 "block": [(TaskContext.get().partitionId() << 32) + number], "ids": [ids], "train": [np.array(flags, np.uint8).tobytes()], "sizes": [sizes.astype(np.int64).tobytes()],
-                "tokens": [squeeze(index)], "keys": [pack(keys)], "counts": [squeeze(counts)], "n_keys": [len(keys)], "n_train": [int(learn.sum())],
+                "tokens": [squeeze(index)], "keys": [pack(keys)], "n_tokens": [len(index)], "n_keys": [len(keys)], "n_train": [int(learn.sum())],
             }
             ids, flags, texts, size, number = [], [], [], 0, number + 1
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(arrow)), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), ("n_train", pa.int64())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(arrow)), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("keys", pa.binary()), ("n_tokens", pa.int64()), ("n_keys", pa.int64()), ("n_train", pa.int64())]))
 
         for b in batches:
             arrow = b.schema.field(0).type
@@ -112,212 +114,160 @@ def blocks_of(docs: DataFrame, key: str, text: str, train: Column, own: Settings
             yield flush()
 
     rows = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw"), F.coalesce(train, F.lit(False)).alias("flag"))
-    return rows.mapInArrow(make, f"block bigint, ids array<{kind}>, train binary, sizes binary, tokens binary, keys binary, counts binary, n_keys bigint, n_train bigint")
+    return rows.mapInArrow(make, f"block bigint, ids array<{kind}>, train binary, sizes binary, tokens binary, keys binary, n_tokens bigint, n_keys bigint, n_train bigint")
 
 
 def _power(n: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n))))
 
 
-def count_words(blocks: DataFrame, bits: int, least: int) -> DataFrame:
-    """For each block and range of keys (bucket) the total training counts of its keys in order, and the ranks (among the
-    bucket's frequent keys) of those that reach ``least``; in rows with a null block the frequent keys of a bucket,
-    their counts, and the number of distinct training words."""
+class Block:
+    """The texts of one block, and the distinct n-grams in them in the order of their keys."""
+
+    def __init__(self, row: dict, frequent: np.ndarray | None):
+        self.keys, self.tokens = unpack(row["keys"]), unsqueeze(row["tokens"]).astype(np.int64)
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.learn = np.repeat(np.frombuffer(row["train"], np.uint8) > 0, self.sizes)
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.sizes)
+        self.usable = np.ones(len(self.tokens), bool) if frequent is None else np.isin(self.keys, frequent)[self.tokens]
+
+    def grams(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for each place the number of the n-gram that ends there, or -1."""
+        if length == 1:
+            return self.keys, self.tokens
+        words = self.keys[self.tokens]
+        code, whole = words, self.usable
+        for _ in range(length - 1):
+            longer = np.zeros_like(code)
+            longer[1:] = mix64(code[:-1] * MULTIPLIER + words[1:])
+            code, whole = longer, self.usable & np.concatenate(([False], whole[:-1]))
+        at = np.flatnonzero(whole & (self.place >= length - 1))
+        keys, index = np.unique(code[at], return_inverse=True)
+        number = np.full(len(code), -1, np.int64)
+        number[at] = index
+        return keys, number
+
+    def counts(self, number: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(number[self.learn & (number >= 0)], minlength=n)
+
+
+def dealt_keys(block: int, keys: np.ndarray, values: np.ndarray, bits: int) -> dict:
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)] if bits else [0, len(keys)]
+    some = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+    return {"bucket": pa.array([i for i, _, _ in some], pa.int32()), "block": pa.array([block] * len(some), pa.int64()), "keys": pa.array([pack(keys[lo:hi]) for _, lo, hi in some], pa.binary()), "sums": pa.array([squeeze(values[:, lo:hi].reshape(-1)) for _, lo, hi in some], pa.binary())}
+
+
+DEALT = "bucket int, block bigint, keys binary, sums binary"
+
+
+def deal_longest(blocks: DataFrame, length: int, bits: int, frequent) -> DataFrame:
+    """For each block and range of keys (bucket) the n-grams and their training counts; nothing goes on from them."""
 
     def deal(batches):
         for b in batches:
-            for block, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                keys, counts = unpack(keys), unsqueeze(counts)
-                cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)] if bits else [0, len(keys)]
-                some = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(keys[lo:hi]) for _, lo, hi in some], pa.binary()), pa.array([squeeze(counts[lo:hi]) for _, lo, hi in some], pa.binary())], ["bucket", "block", "keys", "counts"])
+            for row in b.to_pylist():
+                block = Block(row, frequent and frequent.value)
+                keys, number = block.grams(length)
+                values = np.zeros((3, len(keys)), np.int64)
+                values[0] = block.counts(number, len(keys))
+                yield pa.RecordBatch.from_pydict(dealt_keys(row["block"], keys, values, bits))
+
+    return blocks.select("block", "train", "sizes", "tokens", "keys").mapInArrow(deal, DEALT)
+
+
+def deal_shorter(blocks: DataFrame, longer: DataFrame, length: int, bits: int, frequent) -> DataFrame:
+    """The same with, for each n-gram, the number and the counts of those one word longer that the block owns."""
+
+    def deal(texts, found):
+        row = texts.to_pylist()[0]
+        block = Block(row, frequent and frequent.value)
+        keys, number = block.grams(length)
+        values = np.zeros((3, len(keys)), np.int64)
+        values[0] = block.counts(number, len(keys))
+        long_keys, long_number = block.grams(length + 1)
+        if len(long_keys):
+            counts, owned, _, _ = returned(found)
+            at = np.flatnonzero(long_number >= 0)
+            history = np.zeros(len(long_keys), np.int64)
+            history[long_number[at]] = number[at - 1]
+            owned = owned > 0
+            values[1] = np.bincount(history[owned], minlength=len(keys))
+            values[2] = np.bincount(history[owned], counts[owned], len(keys))
+        return pa.table(dealt_keys(row["block"], keys, values, bits))
+
+    texts = blocks.select("block", "train", "sizes", "tokens", "keys")
+    return texts.groupBy("block").cogroup(longer.groupBy("block")).applyInArrow(deal, DEALT)
+
+
+def totals_of(dealt: DataFrame, length: int, least: int) -> DataFrame:
+    """For each block and bucket, in the order of the block's keys: training counts of the whole corpus (0 for n-grams
+    that do not reach ``least``), whether the block owns the n-gram, how many n-grams go on from it, and how much of its
+    count does not; for words, in rows with a null block, the number of distinct training words."""
 
     def total(key, table):
         parts = [unpack(k) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([unsqueeze(c) for c in table.column("counts").to_pylist()])
-        keys, index = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(index, counts, len(keys)).astype(np.int64)
-        frequent = sums >= least
-        rank = np.cumsum(frequent) - 1
-        ends = np.cumsum([len(p) for p in parts])
-        mine = [index[e - len(p) : e] for p, e in zip(parts, ends, strict=True)]
-        n = len(parts)
-        return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()), "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-            "counts": pa.array([*(squeeze(sums[m]) for m in mine), sums[frequent].tobytes()], pa.binary()),
-            "ranks": pa.array([*(squeeze(rank[m[frequent[m]]]) for m in mine), keys[frequent].tobytes()], pa.binary()),
-            "distinct_words": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()),
-        })
-
-    dealt = blocks.select("block", "keys", "counts").mapInArrow(deal, "bucket int, block bigint, keys binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(total, "block bigint, bucket int, counts binary, ranks binary, distinct_words bigint")
-
-
-@dataclass
-class Model:
-    """Frequent words (sorted keys), their counts, and the frequent n-grams by length as (codes, counts).
-
-    The code of an n-gram is (number of its first n-1 words among those n-grams) * words + last word.
-    """
-
-    settings: Settings
-    tokens: int
-    vocabulary: int
-    keys: np.ndarray
-    counts: np.ndarray
-    firsts: list[int]  # number of frequent keys under each bucket of keys
-    ngrams: list[tuple[np.ndarray, np.ndarray]]
-
-    def word(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of words by their training counts."""
-        return np.log10((counts + 1.0) / (self.tokens + self.vocabulary + 1.0))
-
-    def codes(self, tokens: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-        """At each place the number of the n-gram of that length that ends there, or -1. tokens: frequent words or -1."""
-        out = tokens
-        for n in range(2, length + 1):
-            code = self.next_codes(out, tokens, begins)
-            known = self.ngrams[n - 2][0]
-            if not len(known):
-                return np.full(len(tokens), -1, np.int64)
-            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            out = np.where((code >= 0) & (known[at] == code), at, -1)
-        return out
-
-    def next_codes(self, before: np.ndarray, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        code = np.full(len(tokens), -1, np.int64)
-        code[1:] = np.where((before[:-1] >= 0) & (tokens[1:] >= 0) & ~begins[1:], before[:-1] * np.int64(len(self.keys)) + tokens[1:], -1)
-        return code
-
-
-def _frequent(keys: np.ndarray, model: Model) -> np.ndarray:
-    """Number of each key among the frequent words, or -1."""
-    if not len(model.keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    return np.where(model.keys[at] == keys, at, -1)
-
-
-def count_ngrams(blocks: DataFrame, model: Model, length: int, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and training counts of the n-grams that reach ``least``, sorted by code.
-
-    One longer than a pair is only looked at where its last words are a frequent n-gram too, as its count needs that.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(model)  # bounded: 1 / share n-grams of each length
-
-    def deal(batches):
-        own = shared.value
-        for b in batches:
-            for train, sizes, tokens, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sizes = np.frombuffer(sizes, np.int64)
-                words = _frequent(unpack(keys), own)[unsqueeze(tokens)]
-                begins = np.zeros(len(words), bool)
-                begins[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
-                before = own.codes(words, begins, length - 1)
-                code = own.next_codes(before, words, begins)
-                if length > 2:
-                    code[own.codes(words, begins, length - 1) < 0] = -1
-                code = code[(code >= 0) & np.repeat(np.frombuffer(train, np.uint8) > 0, sizes)]
-                code, counts = np.unique(code, return_counts=True)
-                bucket = (mix64(code.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(code), np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                some = [(i, order[lo:hi]) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([pack(code[o]) for _, o in some], pa.binary()), pa.array([squeeze(counts[o]) for _, o in some], pa.binary())], ["bucket", "codes", "counts"])
+        values = np.concatenate([unsqueeze(x).reshape(3, -1) for x in table.column("sums").to_pylist()], axis=1)
+        keys, first, index = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        counts, following, used = (np.bincount(index, x, len(keys)).astype(np.int64) for x in values)
+        if length > 1:
+            counts[counts < least] = 0
+        owned = np.zeros(len(index), np.int64)
+        owned[first] = counts > 0
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        sums = []
+        for end, part in zip(ends, parts, strict=True):
+            mine = index[end - len(part) : end]
+            sums.append(squeeze(np.concatenate((counts[mine], owned[end - len(part) : end], following[mine], (counts - used)[mine]))))
+        blocks, distinct = table.column("block").to_pylist(), [0] * len(parts)
+        if length == 1:
+            blocks, sums, distinct = [*blocks, None], [*sums, b""], [*distinct, int((counts > 0).sum())]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int32()), "sums": pa.array(sums, pa.binary()), "distinct_words": pa.array(distinct, pa.int64())})
+
+    return dealt.groupBy("bucket").applyInArrow(total, "block bigint, bucket int, sums binary, distinct_words bigint")
+
+
+def returned(found: pa.Table) -> np.ndarray:
+    """The four rows of totals of one block and length, over all buckets."""
+    parts = sorted(zip(found.column("bucket").to_pylist(), found.column("sums").to_pylist(), strict=True))
+    return np.concatenate([unsqueeze(s).reshape(4, -1) for _, s in parts], axis=1).astype(np.int64) if parts else np.zeros((4, 0), np.int64)
+
+
+def frequent_words(blocks: DataFrame, bits: int, least: int, share: float):
+    """Where ``share`` is positive, the keys of the words that reach ``least`` as a broadcast: at most 1/share."""
+    if share <= 0:
+        return None
 
     def total(key, table):
-        codes = np.concatenate([unpack(c) for c in table.column("codes").to_pylist()]).astype(np.int64)
-        counts = np.concatenate([unsqueeze(c) for c in table.column("counts").to_pylist()])
-        codes, index = np.unique(codes, return_inverse=True)
-        sums = np.bincount(index, counts, len(codes)).astype(np.int64)
-        kept = sums >= least
-        return pa.table({"codes": pa.array([codes[kept].tobytes()], pa.binary()), "counts": pa.array([sums[kept].tobytes()], pa.binary())})
-
-    dealt = blocks.select("train", "sizes", "tokens", "keys").mapInArrow(deal, "bucket int, codes binary, counts binary")
-    got = dealt.groupBy("bucket").applyInArrow(total, "codes binary, counts binary").collect()
-    codes = np.concatenate([np.frombuffer(r["codes"], np.int64) for r in got] or [np.zeros(0, np.int64)])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in got] or [np.zeros(0, np.int64)])
-    order = np.argsort(codes)
-    return codes[order], counts[order]
-
-
-class Automaton:
-    """States: 0 the empty history, then the frequent words, then the frequent n-grams by length."""
-
-    def __init__(self, model: Model):
-        words, d = len(model.keys), model.settings.discount
-        self.words = words
-        self.root = model.word(model.counts).tolist()
-        first = [1]  # of the states of each length
-        for codes, _ in [(model.keys, None), *model.ngrams]:
-            first.append(first[-1] + len(codes))
-        self.fail = [0] * first[-1]
-        self.lost = [0.0] * first[-1]
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.next: list[int] = []
-        before_counts, lower = model.counts, 10.0 ** model.word(model.counts)
-        for n, (codes, counts) in enumerate(model.ngrams, 2):
-            if not len(codes):
-                break
-            history, last = codes // words, codes % words
-            direct = (counts - d) / before_counts[history]
-            kept = np.bincount(history, direct, len(before_counts))
-            left = np.maximum(1.0 - kept, 1e-12)
-            # the shorter n-gram that ends here: without its first word
-            if n == 2:
-                shorter = last
-                tail = np.zeros(0, np.int64)
-            else:
-                previous = model.ngrams[n - 3][0]
-                tail = self._tails[history]  # of each history: the number of its last n - 2 words
-                shorter = np.searchsorted(previous, tail * words + last)
-            p = direct + left[history] * lower[shorter]
-            goes_on = np.zeros(len(codes), bool)
-            if n - 1 < len(model.ngrams):
-                goes_on[model.ngrams[n - 1][0] // words] = True
-            weights = np.log10(p).tolist()
-            states = np.where(goes_on, first[n - 1] + np.arange(len(codes)), first[n - 2] + shorter)
-            if n > 2:  # a state without arcs is the next shorter one that has some
-                states = np.where(goes_on, states, np.array(self._lands)[shorter])
-            base = len(self.weight)
-            self.arcs.update(zip(((first[n - 2] + history) * words + last).tolist(), range(base, base + len(codes))))
-            self.weight += weights
-            self.next += states.tolist()
-            for h, x in enumerate(np.log10(left).tolist()):
-                self.lost[first[n - 2] + h] = x if kept[h] > 0 else 0.0
-            self._lands = states.tolist()
-            self._tails = shorter
-            for i, s in enumerate((first[n - 2] + shorter).tolist()):
-                self.fail[first[n - 1] + i] = s
-            before_counts, lower = counts, p
-
-    def score(self, tokens: list[int]) -> float:
-        """Sum of the weights on the way of a text; a word that is not frequent (-1) leads to the empty history, and its
-        own weight, the same in every state but for the failure arcs taken here, is left to the caller."""
-        get, weight, step, fail, lost, root, words = self.arcs.get, self.weight, self.next, self.fail, self.lost, self.root, self.words
-        state, total = 0, 0.0
-        for w in tokens:
-            if w < 0:
-                while state:
-                    total += lost[state]
-                    state = fail[state]
-                continue
-            while state:
-                arc = get(state * words + w)
-                if arc is not None:
-                    total += weight[arc]
-                    state = step[arc]
-                    break
-                total += lost[state]
-                state = fail[state]
-            else:
-                total += root[w]
-                state = w + 1
-        return total
-
-
-_READY: dict[int, Automaton] = {}
+        keys, index = np.unique(np.concatenate([unpack(k) for k in table.column("keys").to_pylist()]), return_inverse=True)
+        counts = np.concatenate([unsqueeze(x).reshape(3, -1)[0] for x in table.column("sums").to_pylist()])
+        return pa.table({"keys": pa.array([keys[np.bincount(index, counts, len(keys)) >= least].tobytes()], pa.binary())})
+
+    rows = deal_longest(blocks, 1, bits, None).groupBy("bucket").applyInArrow(total, "keys binary").collect()
+    return blocks.sparkSession.sparkContext.broadcast(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)]))
+
+
+def weights(block: Block, totals: list[np.ndarray], tokens: int, vocabulary: int, least: int, own: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """At each place the probability of its word alone, and on the way through the automaton: the arc of the longest
+    history, or its failure arcs. totals: of each length, as ``returned`` gives them."""
+    counts = totals[0][0]
+    alone = p = ((counts + 1.0) / (tokens + vocabulary + 1.0))[block.tokens]
+    state = np.where(block.usable & (counts >= least)[block.tokens], block.tokens, -1)
+    for length in range(2, own.order + 1):
+        counts, _, following, unused = totals[length - 2]
+        history = np.full(len(state), -1, np.int64)
+        history[1:] = state[:-1]
+        history[block.place < length - 1] = -1
+        at = np.flatnonzero(history >= 0)
+        history = history[at]
+        left = np.where(following > 0, np.maximum((unused + own.discount * following) / np.maximum(counts, 1), 1e-12), 1.0)
+        _, number = block.grams(length)
+        count = np.where(number >= 0, totals[length - 1][0][number], 0) if totals[length - 1].size else np.zeros(len(number), np.int64)
+        seen = count[at]
+        p = p.copy()
+        p[at] = left[history] * p[at] + np.where(seen > 0, (seen - own.discount) / counts[history], 0.0)
+        state = np.where(count > 0, number, -1)
+    return alone, p
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Column | None = None, settings: Settings | None = None) -> DataFrame:
@@ -326,42 +276,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Colum
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
-    blocks = stored(blocks_of(docs, key, text, F.lit(True) if train is None else train, own), "blocks")
-    sums = blocks.agg(F.sum("n_train").alias("tokens"), F.sum("n_keys").alias("keys")).first()
-    n, bits = sums["tokens"] or 0, _power((sums["keys"] or 0) // own.bucket_keys)
-    totals = stored(count_words(blocks, bits, max(1, math.ceil(own.word_share * n))), "words")
-    heads = sorted(totals.where("block is null").collect(), key=lambda r: r["bucket"])  # at most 1 / word_share words
-    keys = np.concatenate([np.frombuffer(r["ranks"], np.uint64) for r in heads] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in heads] or [np.zeros(0, np.int64)])
-    firsts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() if bits else [0]
-    model = Model(own, n, sum(r["distinct_words"] for r in heads), keys, counts, firsts, [])
-    for length in range(2, own.order + 1):
-        model.ngrams.append(count_ngrams(blocks, model, length, bits, max(1, math.ceil(own.ngram_share * n))))
-    shared = spark.sparkContext.broadcast(model)  # bounded: 1 / share n-grams of each length
+    scratch = Scratch(spark, "lm")
+    blocks = scratch.stored(blocks_of(docs, key, text, F.lit(True) if train is None else train, own), "blocks")
+    sums = blocks.agg(F.sum("n_train").alias("train"), F.sum("n_tokens").alias("tokens"), F.sum("n_keys").alias("keys")).first()
+    n = sums["train"] or 0
+    bits = [_power((sums["keys" if length == 1 else "tokens"] or 0) // own.bucket_keys) for length in range(1, own.order + 1)]
+    least = [max(1, math.ceil((own.word_share if length == 1 else own.ngram_share) * n)) for length in range(1, own.order + 1)]
+    frequent = frequent_words(blocks, bits[0], least[0], own.word_share)
+    totals: list[DataFrame] = []  # from words to the longest
+    for length in range(own.order, 0, -1):
+        dealt = partial(deal_shorter, blocks, totals[0]) if totals else partial(deal_longest, blocks)
+        totals.insert(0, scratch.stored(totals_of(dealt(length, bits[length - 1], frequent), length, least[length - 1]), f"totals-{length}"))
+    vocabulary = totals[0].agg(F.sum("distinct_words").alias("v")).first()["v"] or 0
+    scratch.release()
 
     def run(texts, found):
-        model = shared.value
-        if id(model) not in _READY:
-            _READY.clear()
-            _READY[id(model)] = Automaton(model)
-        automaton = _READY[id(model)]
-        found = sorted(zip(found.column("bucket").to_pylist(), found.column("counts").to_pylist(), found.column("ranks").to_pylist(), strict=True))
-        counts = np.concatenate([unsqueeze(c) for _, c, _ in found]).astype(np.int64)
-        least = max(1, math.ceil(own.word_share * model.tokens))
-        number = np.full(len(counts), -1, np.int64)
-        number[counts >= least] = np.concatenate([unsqueeze(r).astype(np.int64) + model.firsts[b] for b, _, r in found])
         row = texts.to_pylist()[0]
-        sizes = np.frombuffer(row["sizes"], np.int64)
-        tokens = unsqueeze(row["tokens"])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        by_word, known = model.word(counts), counts > 0
-        base = np.add.reduceat(by_word[tokens], starts)
-        rare = np.add.reduceat(np.where(number < 0, by_word, 0.0)[tokens], starts)
-        words = number[tokens]
-        scores = [automaton.score(words[s : s + k].tolist()) for s, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        return pa.table({"id": pa.array(row["ids"], texts.schema.field("ids").type.value_type), "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat(known[tokens].astype(np.int64), starts)), "base_score": pa.array(base), "score": pa.array(rare + np.array(scores))})
-
-    texts = blocks.select("block", "ids", "sizes", "tokens")
-    found = totals.where("block is not null").select("block", "bucket", "counts", "ranks")
+        block = Block(row, frequent and frequent.value)
+        lengths = found.column("length").to_numpy()
+        got = [returned(found.filter(pa.array(lengths == length))) for length in range(1, own.order + 1)]
+        alone, p = weights(block, got, n, vocabulary, least[0], own)
+        known = (got[0][0] > 0)[block.tokens]
+        sums = (np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), np.log10(alone), np.log10(p)))
+        return pa.table(dict(zip(("id", "n_tokens", "n_known", "base_score", "score"), (pa.array(row["ids"], texts.schema.field("ids").type.value_type), pa.array(block.sizes), *map(pa.array, sums)), strict=True)))
+
+    found = totals[0].where("block is not null").select("block", "bucket", "sums", F.lit(1).alias("length"))
+    for length in range(2, own.order + 1):
+        found = found.union(totals[length - 1].select("block", "bucket", "sums", F.lit(length).alias("length")))
+    texts = blocks.select("block", "ids", "train", "sizes", "tokens", "keys")
     out = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -141,6 +141,17 @@ def test_lm_scores_are_those_of_the_definition(spark, order):
         assert near, r
 
 
+def test_lm_states_grow_with_the_corpus(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 2000) % 20000)) for i in range(160)]  # 1/250,000 of the tokens is more than one
+    learn = [i % 10 != 0 for i, _ in rows]
+    n, expected = brute_scores(rows, learn, lm_score.Settings(word_share=0.0, ngram_share=0.0))
+    assert n > 250_000
+    docs = spark.createDataFrame(rows, ODD_SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, train=F.col("doc_id") % 10 != 0).collect()}
+    assert got == {i: pytest.approx(e[3], rel=1e-9) for (i, _), e in zip(rows, expected)}
+
+
 def test_lm_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "a b a c a b"), (2, "b a c"), (3, "c c a b")], ODD_SCHEMA)
     probes = ["a", "b", "c", "zzz"]
