@@ -4,7 +4,7 @@ Documents are read as overlapping passages of words. Over all passages of the co
 hashed words of the benchmark; any other word has weight zero in every item) is factored by a distributed randomised
 SVD: each task adds a'(a Omega) over its passages, the partial sketches are summed in pieces, and the small matrix is
 decomposed on the driver (Nystroem form: one pass). Passages and items are compared by the cosine of their projections,
-in blocks. Each candidate is verified on words: the longest common subsequence of the item and the text around the
+in blocks; an item longer than a passage is compared as a whole and by its own passages, so it may be of any length. Each candidate is verified on words: the longest common subsequence of the item and the text around the
 passage, and the same for the item's answer, its last sentence. Every passage of every whole text is searched.
 
 Defined results: null or empty texts leak nothing; items that are null or shorter than ``min_words`` are not searched
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,8 @@ class Reader:
 
     def __call__(self, raw: bytes) -> np.ndarray:
         get = self.get
-        return np.array([get(w, -1) for w in words(raw)], np.int32)
+        own = words(raw)
+        return np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
 
     def halves(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Weighted words and the row of the half each lies in; for each row (halves without such a word have none) its
@@ -242,6 +244,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _passages(ids: list[int], step: int) -> list[list[int]]:
+    """The whole item and, if it is longer than two halves, each pair of neighbouring halves, the last one up to its end."""
+    starts = [*range(0, len(ids) - 2 * step, step), len(ids) - 2 * step] if len(ids) > 2 * step else []
+    return [ids, *(ids[i : i + 2 * step] for i in starts)]
+
+
 @dataclass
 class Items:
     """Benchmark items ready for the search."""
@@ -251,7 +259,8 @@ class Items:
     answers: list[list[int]]
     rare: list[set[int]]  # words that are no stop words
     telling: list[bool]  # the answer has such a word
-    directions: np.ndarray
+    directions: np.ndarray  # of whole items and, of those longer than a passage, of their passages
+    owners: np.ndarray  # the item of each direction, rising
     masks: list[dict[int, int]]
     answer_masks: list[dict[int, int]]
 
@@ -265,8 +274,9 @@ class Items:
             parts = [p for p in (words(x) for x in _SENTENCE.split(raw)) if p]
             keys.append(key), ids.append(own), answers.append([latent.slots.get(w, -1) for w in parts[-1]])
         rare = [{w for w in i if latent.weight[w] > 0} for i in ids]
-        sums = np.stack([latent.projection[i].sum(axis=0) for i in ids]) if ids else np.zeros((0, 1))
-        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], _unit(sums).astype(np.float32), [masks_of(i) for i in ids], [masks_of(a) for a in answers])
+        parts = [(i, part) for i, x in enumerate(ids) for part in _passages(x, latent.settings.half)]
+        sums = np.stack([latent.projection[part].sum(axis=0) for _, part in parts]) if ids else np.zeros((0, 1))
+        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], _unit(sums).astype(np.float32), np.array([i for i, _ in parts], np.int64), [masks_of(i) for i in ids], [masks_of(a) for a in answers])
 
 
 def _search(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reader) -> list[list[dict]]:
@@ -276,25 +286,30 @@ def _search(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reade
     if not len(ids) or not items.keys or not latent.projection.size:
         return [[] for _ in texts]
     passages = _unit(_paired(_sum_by(latent.projection[ids], row, len(owner)), follows))
-    span, last, around = max(1, 4_000_000 // len(items.keys)), -1, set()
+    span, last, around = max(1, 4_000_000 // len(items.owners)), -1, set()
     for at in range(0, len(passages), span):
         cosine = passages[at : at + span] @ items.directions.T
-        for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= own.min_cosine)), strict=True):
+        p_, part = np.nonzero(cosine >= own.min_cosine)
+        pair = p_ * len(items.keys) + items.owners[part]  # rising
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        best_cosine = np.maximum.reduceat(cosine[p_, part], starts) if len(starts) else np.zeros(0)
+        for p, i, near_by in zip(p_[starts].tolist(), items.owners[part[starts]].tolist(), best_cosine.tolist(), strict=True):
             doc, begin = int(owner[at + p]), int(place[at + p]) * step
             if at + p != last:
                 last, around = at + p, set(texts[doc][max(0, begin - 2 * step) : begin + 4 * step].tolist())
-            if len(items.rare[i] & around) < own.min_shared * len(items.rare[i]):
-                continue
             length = len(items.ids[i])
-            near = texts[doc][max(0, begin - length) : begin + 2 * step + length].tolist()
+            near = None if length <= 2 * step else texts[doc][max(0, begin - length) : begin + 2 * step + length].tolist()
+            if len(items.rare[i] & (around if near is None else set(near))) < own.min_shared * len(items.rare[i]):
+                continue
+            near = near or texts[doc][max(0, begin - length) : begin + 2 * step + length].tolist()
             overlap = lcs_length(items.masks[i], length, near) / length
             if overlap < own.weak_overlap:
                 continue
             answer = lcs_length(items.answer_masks[i], len(items.answers[i]), near) / max(1, len(items.answers[i]))
             told = items.telling[i] and answer >= own.min_answer
             best = out[doc].get(i)
-            if (overlap >= own.min_overlap or told) and (best is None or (overlap, float(cosine[p, i])) > (best["overlap"], best["cosine"])):
-                out[doc][i] = {"item_id": items.keys[i], "cosine": float(cosine[p, i]), "overlap": overlap, "answer": answer, "at": begin}
+            if (overlap >= own.min_overlap or told) and (best is None or (overlap, near_by) > (best["overlap"], best["cosine"])):
+                out[doc][i] = {"item_id": items.keys[i], "cosine": near_by, "overlap": overlap, "answer": answer, "at": begin}
     return [[d[i] for i in sorted(d)] for d in out]
 
 

@@ -170,6 +170,17 @@ def test_a_leak_that_is_everywhere_is_still_found(spark):
     assert found.where(F.exists("leaks", lambda x: x["item_id"] == 3)).count() == 200
 
 
+@pytest.mark.parametrize("length", [45, 240, 600, 2000])
+def test_items_of_any_length_are_found(spark, length):
+    rng = random.Random(length)
+    text = lambda n: " ".join(f"c{rng.randrange(40)}" if rng.random() < 0.5 else f"r{rng.randrange(4000)}" for _ in range(n))
+    items = [(i, text(length)) for i in range(12)]
+    docs = [(d, text(rng.randrange(5, 200)) + " " + (items[d % 12][1] + " " if d < 24 else "") + text(rng.randrange(5, 200))) for d in range(60)]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find(docs, items, decontamination.fit(docs, items))
+    assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == {(d, d % 12) for d in range(24)}
+
+
 def test_exact_passages_of_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
