@@ -6,6 +6,9 @@ SVD: each task adds a'(a Omega) over its passages, the partial sketches are summ
 decomposed on the driver (Nystroem form: one pass). Passages and items are compared by the cosine of their projections,
 in blocks; an item longer than a passage is compared as a whole and by its own passages, so it may be of any length. Each candidate is verified on words: the longest common subsequence of the item and the text around the
 passage, and the same for the item's answer, its last sentence. Every passage of every whole text is searched.
+Stop words weigh nothing, but the rarest few words of each item keep their weight however common they are. Besides, the
+word sequence of every item is searched for as it is, so that an exact copy is found whatever its words weigh; such a
+leak has no cosine where it was found in this way alone.
 
 Defined results: null or empty texts leak nothing; items that are null or shorter than ``min_words`` are not searched
 for (they occur by chance); equal items are each reported; repeated rows get equal results; an empty benchmark or an
@@ -44,6 +47,7 @@ class Settings:
     power: float = 2.0  # of the inverse document frequency
     stop_share: float = 0.002  # a word in more of the passages is a stop word, if several items have it too:
     stop_items: int = 3  # a passage that is copied everywhere does not turn its own words into stop words
+    telling: int = 5  # words of each item, the rarest, that are no stop words in any case
     bits: int = 14  # of hashed words: bounds every matrix
     max_words: int = 1 << 20  # distinct words of a benchmark; more raise an error rather than go unsearched
     min_words: int = 5
@@ -176,6 +180,26 @@ def _pass(docs: DataFrame, text: str, latent: Latent, add, width: int) -> np.nda
     return out
 
 
+def _needed(items: DataFrame, item_text: str, index: dict[bytes, int], seen: np.ndarray, stop: np.ndarray, least: int) -> list[int]:
+    """Stop words that items with few others need: the rarest, so that each item has ``least`` words, or all it has."""
+    shared = items.sparkSession.sparkContext.broadcast((index, seen, stop))
+
+    def run(batches):
+        index, seen, stop = shared.value
+        found: set[int] = set()
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                own = np.array(sorted({index[w] for w in words(raw)}), np.int64)
+                common = own[stop[own]]
+                short = least - (len(own) - len(common))
+                if short > 0:
+                    found.update(common[np.argsort(seen[common], kind="stable")[:short]].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["row"])
+
+    got = items.select(as_bytes(F.col(item_text)).alias("raw")).mapInArrow(run, "row int").distinct()
+    return [r["row"] for r in got.collect()]
+
+
 def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", settings: Settings | None = None) -> Latent:
     """Latent space of the passages of the whole corpus, over the words of the benchmark."""
     settings = settings or Settings()
@@ -209,6 +233,7 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     for r in known.collect():
         shared[index[bytes(r["word"])]] += r["items"]
     stop = (seen > settings.stop_share * n) & (shared >= settings.stop_items)
+    stop[_needed(items, item_text, index, seen, stop, settings.telling)] = False
     latent.weight = np.where(stop, 0.0, (np.log((n + 1) / (seen + 1)) + 1e-3) ** settings.power)
     width = min(settings.rank + settings.oversampling, len(rows))
     omega = np.linalg.qr(np.random.default_rng(settings.seed).normal(size=(len(rows), width)))[0]
@@ -250,6 +275,22 @@ def _passages(ids: list[int], step: int) -> list[list[int]]:
     return [ids, *(ids[i : i + 2 * step] for i in starts)]
 
 
+def _run(settings: Settings) -> int:
+    return max(1, min(settings.min_words, 4))
+
+
+def _codes(ids: np.ndarray, run: int) -> np.ndarray:
+    """A code of each run of that many words."""
+    n = max(0, len(ids) - run + 1)
+    code = np.zeros(n, np.uint32)
+    for k in range(run):
+        code *= np.uint32(0x9E3779B1)
+        code += ids[k : k + n].view(np.uint32)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA77)
+    return code ^ code >> np.uint32(13)
+
+
 @dataclass
 class Items:
     """Benchmark items ready for the search."""
@@ -263,28 +304,69 @@ class Items:
     owners: np.ndarray  # the item of each direction, rising
     masks: list[dict[int, int]]
     answer_masks: list[dict[int, int]]
+    texts: list[list[bytes]]
+    anchors: dict[int, list[tuple[int, int]]]  # code of an item's most telling run of words -> items, and its place in them
+    known: np.ndarray  # whether a code with these lowest bits is an anchor
 
     @staticmethod
     def of(rows: list, latent: Latent) -> Items:
-        keys, ids, answers = [], [], []
+        keys, ids, answers, texts = [], [], [], []
         for key, raw in rows:
-            own = [latent.slots.get(w, -1) for w in words(raw)]
+            text = words(raw)
+            own = [latent.slots.get(w, -1) for w in text]
             if len(own) < latent.settings.min_words:
                 continue
             parts = [p for p in (words(x) for x in _SENTENCE.split(raw)) if p]
-            keys.append(key), ids.append(own), answers.append([latent.slots.get(w, -1) for w in parts[-1]])
+            keys.append(key), ids.append(own), texts.append(text), answers.append([latent.slots.get(w, -1) for w in parts[-1]])
         rare = [{w for w in i if latent.weight[w] > 0} for i in ids]
         parts = [(i, part) for i, x in enumerate(ids) for part in _passages(x, latent.settings.half)]
         sums = np.stack([latent.projection[part].sum(axis=0) for _, part in parts]) if ids else np.zeros((0, 1))
-        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], _unit(sums).astype(np.float32), np.array([i for i, _ in parts], np.int64), [masks_of(i) for i in ids], [masks_of(a) for a in answers])
+        run = _run(latent.settings)
+        anchors: dict[int, list[tuple[int, int]]] = {}
+        known = np.zeros(1 << 20, bool)
+        for i, own in enumerate(ids):
+            weights = np.convolve(latent.weight[own], np.ones(run), "valid")
+            at = int(weights.argmax())
+            code = int(_codes(np.array(own[at : at + run], np.int32), run)[0])
+            anchors.setdefault(code, []).append((i, at))
+            known[code & len(known) - 1] = True
+        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], _unit(sums).astype(np.float32), np.array([i for i, _ in parts], np.int64), [masks_of(i) for i in ids], [masks_of(a) for a in answers], texts, anchors, known)
+
+
+def _search(latent: Latent, items: Items, raws: list[bytes], reader: Reader) -> list[list[dict]]:
+    texts = [reader(raw) for raw in raws]
+    out = _similar(latent, items, texts, reader)
+    _exact(latent, items, raws, texts, out)
+    return [[d[i] for i in sorted(d)] for d in out]
+
+
+def _exact(latent: Latent, items: Items, raws: list[bytes], texts: list[np.ndarray], out: list[dict]) -> None:
+    """Adds the items whose words are in a text one after the other, and that were not found by similarity."""
+    if not items.keys or not texts:
+        return
+    run, step = _run(latent.settings), latent.settings.half
+    flat = np.concatenate(texts)
+    codes = _codes(flat, run)
+    hits = np.flatnonzero(items.known[codes & np.uint32(len(items.known) - 1)])
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    last, text = -1, []
+    for at, code, doc in zip(hits.tolist(), codes[hits].tolist(), (np.searchsorted(first, hits, side="right") - 1).tolist(), strict=True):
+        for i, offset in items.anchors.get(code, ()):
+            begin, ids = at - int(first[doc]) - offset, items.ids[i]
+            if i in out[doc] or begin < 0 or begin + len(ids) > len(texts[doc]) or texts[doc][begin : begin + len(ids)].tolist() != ids:
+                continue
+            if doc != last:
+                last, text = doc, words(raws[doc])
+            if text[begin : begin + len(ids)] == items.texts[i]:  # slots are hashes
+                out[doc][i] = {"item_id": items.keys[i], "cosine": None, "overlap": 1.0, "answer": 1.0, "at": begin // step * step}
 
 
-def _search(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reader) -> list[list[dict]]:
+def _similar(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reader) -> list[dict]:
     own, step = latent.settings, latent.settings.half
     out: list[dict] = [{} for _ in texts]
     ids, row, owner, place, follows = reader.halves(texts)
     if not len(ids) or not items.keys or not latent.projection.size:
-        return [[] for _ in texts]
+        return out
     passages = _unit(_paired(_sum_by(latent.projection[ids], row, len(owner)), follows))
     span, last, around = max(1, 4_000_000 // len(items.owners)), -1, set()
     for at in range(0, len(passages), span):
@@ -310,7 +392,7 @@ def _search(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reade
             best = out[doc].get(i)
             if (overlap >= own.min_overlap or told) and (best is None or (overlap, near_by) > (best["overlap"], best["cosine"])):
                 out[doc][i] = {"item_id": items.keys[i], "cosine": near_by, "overlap": overlap, "answer": answer, "at": begin}
-    return [[d[i] for i in sorted(d)] for d in out]
+    return out
 
 
 def find(docs: DataFrame, items: DataFrame, latent: Latent, text: str = "text", item: str = "item_id", item_text: str = "text", column: str = "leaks") -> DataFrame:
@@ -339,7 +421,7 @@ def find(docs: DataFrame, items: DataFrame, latent: Latent, text: str = "text",
             latent_, items_ = shared.value
             reader = Reader(latent_)
             for b in batches:
-                yield pa.array(_search(latent_, items_, [reader(raw) for raw in b.to_pylist()], reader), typed)
+                yield pa.array(_search(latent_, items_, b.to_pylist(), reader), typed)
 
         found.append(F.arrow_udf(search, shape, F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(text))))
     return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])

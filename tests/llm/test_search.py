@@ -181,6 +181,34 @@ def test_items_of_any_length_are_found(spark, length):
     assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == {(d, d % 12) for d in range(24)}
 
 
+def test_items_of_common_words_are_found(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(f"c{rng.randrange(40)}" if rng.random() < 0.5 else f"r{rng.randrange(4000)}" for _ in range(n))
+    items = [(i, " ".join(f"c{rng.randrange(40)}" for _ in range(5 + i % 6))) for i in range(40)]
+    docs = [(d, text(rng.randrange(60, 200)) + (" " + items[d][1] + " " if d < 40 else "") + text(rng.randrange(60, 200))) for d in range(200)]
+    true = {(d, i) for d, t in docs for i, x in items if f" {x} " in f" {t} "}
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find(docs, items, decontamination.fit(docs, items))
+    got = {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]}
+    assert {(d, d) for d in range(40)} <= true <= got
+
+
+def test_equal_items_that_are_everywhere_are_found(spark):
+    rng = random.Random(8)
+    item = [f"q{i}" for i in range(30)]
+    other = lambda n: " ".join(f"c{rng.randrange(400)}" for _ in range(n))
+    docs = []
+    for d in range(100):
+        own = list(item)
+        for _ in range(3):  # paraphrased
+            own[rng.randrange(30)] = f"p{rng.randrange(999)}"
+        docs.append((d, f"{other(70)} {' '.join(own)} {other(70)}"))
+    items = spark.createDataFrame([(i, " ".join(item)) for i in range(4)], "item_id bigint, text string")
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = decontamination.find(docs, items, decontamination.fit(docs, items))
+    assert sum(len(r["leaks"]) for r in found.collect()) == 400
+
+
 def test_exact_passages_of_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
