@@ -11,7 +11,7 @@ word sequence of every item is searched for as it is, so that an exact copy is f
 leak has no cosine where it was found in this way alone.
 
 Defined results: null or empty texts leak nothing; items that are null or shorter than ``min_words`` are not searched
-for (they occur by chance); equal items are each reported; repeated rows get equal results; an empty benchmark or an
+for (they occur by chance), where in scripts without spaces each character is a word; equal items are each reported; repeated rows get equal results; an empty benchmark or an
 empty corpus gives no leaks. Only the named columns are read; other columns pass untouched.
 """
 
@@ -31,11 +31,19 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bounded_batches
 
 _PUNCTUATION = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
-_SENTENCE = re.compile(rb"[.!?\n]+\s*")
+_SENTENCE = re.compile(rb"(?:[.!?\n]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+\s*")
+#: The first bytes of characters of scripts without spaces, and those characters: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_LEADS = [bytes([b]) for b in (0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0)]
+_WIDE_MARK = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("([\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u302f\u3031-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 LEAK = "array<struct<item_id:{0},cosine:double,overlap:double,answer:double,at:bigint>>"
 
 
 def words(raw: bytes) -> list[bytes]:
+    """Words between spaces and ASCII marks; in scripts without spaces each character is a word, and their marks are none."""
+    if not raw.isascii() and any(b in raw for b in _LEADS):
+        text = raw.decode("utf-8", "surrogateescape")
+        raw = _UNSPACED.sub(r" \1 ", _WIDE_MARK.sub(" ", text)).encode("utf-8", "surrogateescape")
     return raw.lower().translate(_PUNCTUATION).split()
 
 

@@ -209,6 +209,22 @@ def test_equal_items_that_are_everywhere_are_found(spark):
     assert sum(len(r["leaks"]) for r in found.collect()) == 400
 
 
+def test_items_in_scripts_without_spaces_are_found(spark):
+    rng = random.Random(10)
+    scripts = [range(0x4E00, 0x5200), range(0x3041, 0x3096), range(0x0E01, 0x0E2E)]
+    text = lambda s, n: "".join(chr(rng.choice(scripts[s])) + ("\u3002" if rng.random() < 0.05 else "") for _ in range(n))
+    items = [(i, text(i % 3, 8 + 9 * i)) for i in range(12)]
+    docs = [(d, text(d % 3, rng.randrange(40, 300)) + (items[d][1] if d < 12 else "") + text(d % 3, rng.randrange(40, 300))) for d in range(60)]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontamination.find(docs, items, decontamination.fit(docs, items))
+    assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == {(d, d) for d in range(12)}
+
+
+def test_words_of_scripts():
+    assert b" ".join(decontamination.words("straße Caf\u00e9-x2 \u4f60\u597d\uff0cworld\u3002\u0e01".encode())).decode() == "straße caf\u00e9 x2 \u4f60 \u597d world \u0e01"
+    assert decontamination.words(b"\xe4\xff a\xe3b") == [b"\xe4\xff", b"a\xe3b"]
+
+
 def test_exact_passages_of_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
