@@ -10,14 +10,17 @@ and headings right before a surge belong to it.
 
 Defined results: a null or empty page, and a page without text, give an empty text; broken markup is read as far as it
 goes (an unfinished tag or comment at the end is markup); a line break element is white space; character references are
-decoded once, unknown ones stay as they are. Whole pages are read, without limits. Repeated rows get equal results.
+decoded once, unknown ones stay as they are; an element of dropped content (a button, a drawing) that never ends drops nothing
+unless it is a script or a style. Whole pages are read, without limits. Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,24 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|head|textarea|select|button|canvas|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
-    r"|</?[a-z!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+#: Elements whose content is dropped. Without an end tag only the first two run to the end of the page.
+_RAW = frozenset("script style noscript template svg math iframe object title textarea select button canvas audio video".split())
+_ENDLESS = frozenset(("script", "style"))
+_FLAT = "button|select"  # cannot hold themselves: the next start tag shows that an end tag is missing
+
+
+@lru_cache(maxsize=256)
+def _token(raw: frozenset[str]) -> re.Pattern:
+    return re.compile(
+        r"<!--(?:.*?-->|.*\Z)"
+        rf"|<(?P<raw>{'|'.join(sorted(raw))})\b(?P<own>{_ATTRS})(?:>.*?(?P<close></(?P=raw)\s*>|(?=<(?:{_FLAT})\b)(?=<(?P=raw)\b)|\Z)|\Z)"
+        rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{_ATTRS})(?:>|\Z)"
+        r"|</?[a-z!?][^>]*(?:>|\Z)",
+        re.S | re.I,
+    )
+
+
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -60,6 +74,25 @@ class Line:
     heading: bool
 
 
+def tokens_of(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup of a page: begin, end, tag (None where its content or a comment goes with it), whether it ends an element,
+    attributes. An element of dropped content without an end tag is a space, and what follows is read."""
+    raw, at = _RAW, 0
+    while True:
+        for m in _token(raw).finditer(page, at):
+            name = (m["raw"] or "").lower()
+            if name and name not in _ENDLESS and m["close"] is not None and not m["close"]:
+                at = m.end("own") + 1
+                if m.end() == len(page):
+                    raw = raw - {name}  # no end tag of this kind is left
+                yield m.start(), at, "br", False, ""
+                break
+            tag = m["tag"]
+            yield m.start(), m.end(), tag and tag.lower(), bool(m["end"]), m["attrs"] or ""
+        else:
+            return
+
+
 def _names(attrs: str) -> tuple[set[str], set[str]]:
     names: set[str] = set()
     roles: set[str] = set()
@@ -103,28 +136,26 @@ def lines_of(page: str) -> list[Line]:
         parts, linked = [], 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for begin, end, tag, ends, attrs in tokens_of(page):
+        if begin > at:
+            piece = page[at:begin]
             parts.append(piece)
             if inside_link:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
         if tag in _INLINE:
             if tag == "a":
-                inside_link = 0 if m["end"] else 1
-            if tag != "span" and tag != "a" or not m["attrs"]:
+                inside_link = 0 if ends else 1
+            if tag != "span" and tag != "a" or not attrs:
                 continue
         if tag not in _INLINE:
             flush()
             inside_link = 0
-        if m["end"]:
+        if ends:
             if any(tag == t for t, _, _ in stack):
                 while stack:
                     open_, f, a = stack.pop()
@@ -139,8 +170,8 @@ def lines_of(page: str) -> list[Line]:
                 _, f, a = stack.pop()
                 furniture -= f
                 main -= a
-            f, a = _kind(tag, m["attrs"], main > 0)
-            if not m["attrs"].endswith("/"):
+            f, a = _kind(tag, attrs, main > 0)
+            if not attrs.endswith("/"):
                 stack.append((tag, f, a))
                 furniture += f
                 main += a

@@ -119,6 +119,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><body>", "<head><meta charset=x><title>a <b> c</title>", "<title>t</title><body>", "<body><button>", "<body><select name='a>b'>", "<svg>", "<object data=x>", "<iframe src=x />", "<canvas>", "<button>x<p>y</p><button>z</button>", "<svg><button>" * 500])
+def test_missing_end_tags_lose_nothing(start):
+    assert html_text.main_text(f"{start}<article><h1>T</h1><p>{LONG}</p></article><footer>f</footer>") == f"T\n{LONG}"
+    assert html_text.main_text(f"<article><p>{LONG}</p><p>a</p><button>b</button><svg><text>c</text></svg><p>d</p><script>e") == f"{LONG}\na\nd"
+
+
 def test_pages_of_the_tables(spark):
     import html
 
