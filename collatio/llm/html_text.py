@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page. A line weighs its characters, but nothing inside menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments and unseen elements, and only its characters outside links where
-the page marks no article. Weights are summed over sliding windows of lines; text surges at the first line of a window
+the page marks no article. No name and no form makes an element furniture that holds most of the article
+or, where none is marked, of the unlinked text. Weights are summed over sliding windows of lines; text surges at the first line of a window
 whose sum reaches the threshold and dives after the last weighty line before a window without any. The lines between
 surge and dive that are not part of such furniture are the text. Where the page marks its article, only its lines weigh
 anything and any character is a surge; elsewhere the threshold is ``surge`` characters, or the largest window if less,
@@ -50,12 +51,19 @@ def _token(raw: frozenset[str]) -> re.Pattern:
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
+_FORMS = frozenset("form fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations comment comments disqus respond replies "
     "pagination pager widget legal copyright disclaimer login search toolbar skip tags toc".split()
 )
+#: Words that may stand beside those in a class or id: site-footer, but not has-sidebar or legal-news.
+_NEUTRAL = frozenset(
+    "site page main global top bottom left right center inner outer upper lower primary secondary first second area bar bars box block boxes list lists item items link links button buttons icon icons wrap wrapper container "
+    "section region slot unit zone panel module component element group row col column content text body title form field input post posts entry article articles story stories news user mobile desktop sticky fixed "
+    "js the my id div d s w".split()
+)
 _COMMENTS = frozenset("comment comments disqus respond replies".split())
 _MAIN = frozenset("article main".split())
 _MAIN_NAMES = frozenset("articlebody".split())
@@ -101,26 +109,79 @@ def _names(attrs: str) -> tuple[set[str], set[str]]:
         if kind.lower() == "role":
             roles.add(value.strip().lower())
         else:
-            names.update(w.lower() for w in _WORD.findall(value))
-            names.add(value.strip().lower())
+            for token in value.split():
+                own = {w.lower() for w in _WORD.findall(token)}
+                names.add(token.lower())
+                if own <= _NAMES | _NEUTRAL:
+                    names |= own
     return names, roles
 
 
-def _kind(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it marks the article."""
+def _kind(tag: str, attrs: str, in_main: bool, spared: bool = False) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether it marks the article. spared: a name or a form does not make it furniture."""
     names, roles = _names(attrs) if attrs else (set(), set())
-    furniture = tag in _FURNITURE and not (tag == "header" and in_main) or bool(roles & _ROLES) or bool(attrs and _UNSEEN.search(attrs))
+    furniture = tag in _FURNITURE and not (spared and tag in _FORMS) and not (tag == "header" and in_main) or bool(roles & _ROLES) or bool(attrs and _UNSEEN.search(attrs))
     if tag in ("html", "body", "main"):
         furniture = False
     elif tag == "article":
         furniture = furniture or bool(names & _COMMENTS)
-    elif tag not in _HEADINGS and tag != "header":
+    elif tag not in _HEADINGS and tag != "header" and not spared:
         furniture = furniture or bool(names & _NAMES)
     return furniture, not furniture and (tag in _MAIN or "main" in roles or bool(names & _MAIN_NAMES))
 
 
+def spared_of(page: str) -> frozenset[int]:
+    """Begins of the elements that hold more than half of the article or, where none is marked, three quarters of the unlinked text.
+
+    Text counts outside what is furniture for another reason than a name or a form."""
+    stack: list[tuple[str, bool, bool, int, int, int]] = []  # tag, furniture, main, begin, unlinked text and text of the article before it
+    spans: list[tuple[int, int, int]] = []
+    hidden = main = link = text = marked = at = 0
+
+    def leave() -> str:
+        nonlocal hidden, main
+        tag, f, a, begin, text_before, marked_before = stack.pop()
+        hidden -= f
+        main -= a
+        spans.append((begin, text - text_before, marked - marked_before))
+        return tag
+
+    for begin, end, tag, ends, attrs in tokens_of(page):
+        if begin > at and not hidden and not link:
+            size = len(page[at:begin].strip())
+            text += size
+            marked += size if main else 0
+        at = end
+        if tag is None:
+            continue
+        if tag not in _INLINE:
+            link = 0
+        elif tag == "a":
+            link = 0 if ends else 1
+        if ends:
+            if any(tag == x[0] for x in stack):
+                while stack and leave() != tag:
+                    pass
+        elif tag not in _VOID and tag not in _INLINE:
+            if tag == "p" and stack and stack[-1][0] == "p":
+                leave()
+            if not attrs.endswith("/"):
+                f, a = _kind(tag, attrs, main > 0, True)
+                stack.append((tag, f, a, begin, text, marked))
+                hidden += f
+                main += a
+    if at < len(page) and not hidden and not link:
+        size = len(page[at:].strip())
+        text += size
+        marked += size if main else 0
+    while stack:
+        leave()
+    return frozenset(b for b, t, m in spans if (2 * m > marked if marked else 4 * t > 3 * text))
+
+
 def lines_of(page: str) -> list[Line]:
     """Blocks of a page in order, empty ones left out."""
+    spared = spared_of(page)
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, furniture, main
     parts: list[str] = []
@@ -170,7 +231,7 @@ def lines_of(page: str) -> list[Line]:
                 _, f, a = stack.pop()
                 furniture -= f
                 main -= a
-            f, a = _kind(tag, attrs, main > 0)
+            f, a = _kind(tag, attrs, main > 0, begin in spared)
             if not attrs.endswith("/"):
                 stack.append((tag, f, a))
                 furniture += f

@@ -125,6 +125,13 @@ def test_missing_end_tags_lose_nothing(start):
     assert html_text.main_text(f"<article><p>{LONG}</p><p>a</p><button>b</button><svg><text>c</text></svg><p>d</p><script>e") == f"{LONG}\na\nd"
 
 
+@pytest.mark.parametrize("start", ["<div class='container has-sidebar'>", "<div class=no-sidebar>", "<div class='post comments-open'>", "<div class='page with-banner'>", "<div id='legal-news'>", "<form action=x>", "<div class=banner>", "<div class='content social'><div id=legal>", "<form><fieldset>"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_are_no_furniture(start, tag):
+    page = f"<body>{start}<nav>n</nav><{tag}><p>{LONG}</p><p>{LONG}</p></{tag}><div class='site-footer'>f</div><div class=related><p>r</p></div><div class='sidebar'><{tag}><p>s</p></{tag}></div></body>"
+    assert html_text.main_text(page) == f"{LONG}\n{LONG}"
+
+
 def test_pages_of_the_tables(spark):
     import html
 
