@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from collatio.llm import html_text, license_scan, warc
+from collatio.llm import decontamination, html_text, license_scan, warc
 from collatio.llm.queries import ORACLE_SQL, QUERIES
+from test_search import groups_of, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,6 +214,48 @@ def test_pipeline(spark):
     assert len(set(texts)) == len(texts)
 
 
+def overlap(item, text):
+    """The largest share of an item's words that is in order in some stretch of the text."""
+    n, step, masks = len(item), 24, decontamination.masks_of(item)
+    return max((decontamination.lcs_length(masks, n, text[max(0, b - n) : b + 2 * step + n]) / n for b in range(0, len(text), step)), default=0.0)
+
+
+def test_pipeline_is_that_of_plain_versions(spark, tmp_path):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    items = {r["item_id"]: r["text"] for r in read("benchmark").collect()}
+    rows = sorted((r.asDict() for r in read("documents").collect()), key=lambda r: r["doc_id"])
+    long = [r for r in rows if r["text"] and 120 < len(r["text"].split()) < 400]
+    for i, r in enumerate(long[:24]):
+        words = r["text"].split()
+        if i % 2:  # a near copy
+            words[len(words) // 2] = "changed"
+        else:  # a benchmark item with two words replaced
+            item = items[sorted(items)[i]].split()
+            item[3], item[-4] = "other", "words"
+            words[60:60] = item
+        rows.append(r | {"doc_id": 10_000 + i, "text": " ".join(words)})
+    spark.createDataFrame(rows, read("documents").schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        read(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:  # trained models: tested by their held-out rows
+        docs = stage(spark, docs, str(tmp_path))
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    group = groups_of([shingles(t, 5) for _, t in texts])
+    distinct = [x for i, x in enumerate(texts) if group[i] == i]
+    known = [decontamination.words(x.encode()) for x in items.values()]
+    number = {w: i for i, w in enumerate(sorted({w for x in known for w in x}))}
+    known = [[number[w] for w in x] for x in known if len(x) >= 5]
+    most = {}
+    for i, t in distinct:
+        text = [number.get(w, -1) for w in decontamination.words(t.encode())]
+        most[i] = max(overlap(x, text) for x in known)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect())
+    assert len(set(kept)) == len(kept) and set(kept) <= set(most)
+    assert {i for i, x in most.items() if x < 0.5} <= set(kept) <= {i for i, x in most.items() if x < 0.7}
+    assert len(texts) - len(distinct) >= 5 and len(most) - len(kept) >= 5
+
+
 def test_pipeline_stages_with_odd_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the and of " * 20, "en", "s", 200), (3, "the and of " * 20, "en", "s", 200), (4, "der die und " * 20, "de", "s", -1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(7) for c in ("k", "score", "leaks", "id")})
