@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,13 +31,16 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, a single machine) a temporary folder is made and set.
+    Only where it is unset and everything runs on one machine a temporary folder is made and set; on a cluster that
+    is an error, as its executors could not read each other's files there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="collatio-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = f"file://{folder}"
@@ -60,6 +64,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def all_cores(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """A table too small for all cores (fewer than ``least_bytes`` for each) dealt evenly to them; any other as it is.
+
+    Files of one row group are read by one task, and what follows in Python would run there alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size.toString()) < cores * least_bytes else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
