@@ -11,7 +11,11 @@ equal, so that distance orders as the inner product does. Equal vectors are one
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as do vectors
 of another length than the commonest (the longest among equals); ties go to the smaller id; with fewer candidates than
-asked for, all are returned; an empty table gives no rows; rows that repeat a query's id are not candidates of it.
+asked for, all are returned; an empty table gives no rows; rows that repeat a query's id are not candidates of it; an id
+that repeats is one candidate, with the best of its vectors, and as a query has the smallest of them.
+
+Every query meets every shard, so shards grow with the table: from ``shard_rows`` rows, while there are fewer than
+``shards`` of them, to at most ``shard_bytes`` of vectors, which bounds the memory of a task.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ class GraphIndex:
     alpha: float = 1.2
     batch: int = 512
     shard_rows: int = 8192
+    shards: int = 64
+    shard_bytes: int = 128 << 20  # of vectors in double precision
     query_rows: int = 4096  # queries that meet a shard in one task
     expand: int = 4  # nodes of a beam opened at once
     seed: int = 11
@@ -156,10 +162,15 @@ class GraphIndex:
                     graph[tt] = self.prune(x[tt], x, tt, merged[full][a : a + self.batch])
         return graph
 
+    def shard_count(self, rows: int, width: int) -> int:
+        bound = max(self.shard_rows, self.shard_bytes // (8 * width))
+        return max(1, min(-(-rows // self.shard_rows), max(self.shards, -(-rows // bound))))
+
     def fit(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """The index of rows (id, v array<double>): (shard, node, ids, v, edges), stored; and the number of shards."""
         index = self
-        shards = max(1, -(-rows.count() // self.shard_rows))
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+        shards = self.shard_count(seen["n"], seen["d"] or 1)
 
         def make(key, table):
             ids, x = table.column("id").to_numpy(), _matrix(table.column("v"))
@@ -168,7 +179,8 @@ class GraphIndex:
             nodes = x[first]
             graph = index.build(nodes)
             by = np.lexsort((ids, back))
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(back, minlength=len(first))))).astype(np.int32)
+            by = by[np.concatenate(([True], (ids[by][1:] != ids[by][:-1]) | (back[by][1:] != back[by][:-1])))]  # repeated rows count once
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(back[by], minlength=len(first))))).astype(np.int32)
             own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[by], pa.int64()))
             return pa.table({"shard": pa.array([key[0].as_py()] * len(nodes), pa.int64()), "node": pa.array(np.arange(len(nodes)), pa.int32()), "ids": own, "v": pa.array([r.tobytes() for r in nodes], pa.binary()), "edges": pa.array([r.tobytes() for r in graph], pa.binary())})
 
@@ -194,12 +206,14 @@ class GraphIndex:
                 sizes = np.array([len(m) for m in members])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 flat = np.concatenate([np.array(m, np.int64) for m in members])
+                unique = len(np.unique(flat)) == len(flat)
                 q, qid = _matrix(asked.column("v")), asked.column("id").to_numpy()
                 beam = max(index.search_beam, 2 * k)
                 for a in range(0, len(q), index.batch):
                     part, pid = q[a : a + index.batch], qid[a : a + index.batch]
                     nodes = index.walk(part.astype(np.float32), x.astype(np.float32), np.zeros(len(x), np.float32), graph, index.entries(len(x)), beam)
-                    nodes = nodes[:, : 2 * k + 8]
+                    if unique:  # else an id may stand at several nodes, and the whole beam is looked through
+                        nodes = nodes[:, : 2 * k + 8]
                     row, col = np.nonzero(nodes >= 0)
                     at = nodes[row, col]
                     score = _inner(part, row, x, at)
@@ -210,6 +224,12 @@ class GraphIndex:
                     row, score, ids = row[other], score[other], ids[other]
                     by = np.lexsort((ids, -score, row))
                     row, score, ids = row[by], score[by], ids[by]
+                    if not unique:
+                        again = np.lexsort((np.arange(len(row)), ids, row))  # best first within each id
+                        same = (row[again][1:] == row[again][:-1]) & (ids[again][1:] == ids[again][:-1])
+                        once = np.ones(len(row), bool)
+                        once[again[1:][same]] = False
+                        row, score, ids = row[once], score[once], ids[once]
                     place = np.arange(len(row)) - np.searchsorted(row, row)
                     top = place < k
                     out_q.append(pid[row[top]]), out_v.append(ids[top]), out_s.append(score[top])
@@ -218,7 +238,7 @@ class GraphIndex:
 
         found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(find, "query_id bigint, vec_id bigint, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column) -> np.ndarray:
@@ -248,4 +268,4 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     index = index or GraphIndex()
     bounded_batches(table.sparkSession)
     fitted, shards = index.fit(vectors(table, key, vector))
-    return index.search(fitted, shards, vectors(queries, key, vector).dropDuplicates(["id"]), k)
+    return index.search(fitted, shards, vectors(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")), k)

@@ -297,3 +297,58 @@ def test_odd_vectors(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in graph_index.nearest(frame, frame.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 20, 1.0), (0, 2, 10, 0.5), (20, 1, 0, 1.0), (20, 2, 10, 0.5)]
     assert graph_index.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def best_of_all(rows, queries, k):
+    """(query, rank, id, score) by comparing every query with every row; an id counts once, with its best row."""
+    out = []
+    for q, v in queries:
+        own = {}
+        for i, x in rows:
+            if i != q:
+                score = 0.0
+                for a, b in zip(v, x, strict=True):
+                    score += a * b
+                own[i] = max(own.get(i, score), score)
+        out += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(((s, i) for i, s in own.items()), key=lambda t: (-t[0], t[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 50])
+def test_repeated_rows_are_one_candidate(spark, times):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(100)]
+    frame = spark.createDataFrame(rows * times, "vec_id bigint, embedding array<double>").repartition(3)
+    got = graph_index.nearest(frame, frame.where("vec_id % 20 = 0")).collect()
+    assert sorted(tuple(r) for r in got) == best_of_all(rows, rows[::20], 20)
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 60, [float(x) for x in rng.normal(size=4)]) for i in range(180)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = graph_index.nearest(frame, frame.where("vec_id % 20 = 0")).collect()
+    queries = [(q, min(v for i, v in rows if i == q)) for q in (0, 20, 40)]
+    assert sorted(tuple(r) for r in got) == best_of_all(rows, queries, 20)
+
+
+def test_recall_over_large_shards(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(0, 200, 20_000)] + 0.5 * rng.normal(size=(20_000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = graph_index.nearest(frame, frame.where("vec_id % 50 = 0"), index=graph_index.GraphIndex(shard_rows=7000)).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, 20_000, 50)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-near, axis=1)[:, :20]
+    assert np.mean([len(found[int(q)] & set(b.tolist())) / 20 for q, b in zip(asked, best)]) >= 0.9
+
+
+def test_shards_grow_with_the_table():
+    index = graph_index.GraphIndex()
+    assert index.shard_count(0, 64) == 1 and index.shard_count(9000, 64) == 2 and index.shard_count(64 * 8192, 64) == 64
+    assert index.shard_count(10_000_000, 64) == 64 and index.shard_count(10_000_000_000, 64) == -(-10_000_000_000 // (1 << 18))
