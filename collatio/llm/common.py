@@ -70,7 +70,7 @@ def all_cores(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     Files of one row group are read by one task, and what follows in Python would run there alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size.toString()) < cores * least_bytes else df
+    return df.repartition(cores) if int(str(size)) < cores * least_bytes else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

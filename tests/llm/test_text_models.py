@@ -1,11 +1,13 @@
 """Language ID, quality classifier, language model and segmentation against plain versions."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from collatio.llm import language_id, lm_score, quality, segmentation
@@ -54,6 +56,42 @@ def test_language_of_odd_texts(odd):
     assert {r["g"]["lang_pred"] for r in language_id.predict(unlabelled, language_id.fit(unlabelled), column="g").collect()} == {"und"}
 
 
+def test_languages_of_few_texts_keep_a_dictionary(spark):
+    rows = [(i, f"the w{i} and of it is was in that {i % 7}", "en") for i in range(2000)]
+    for text in ("el perro de la casa que no es", "los que no la han visto en el mar", "un dia de estos que viene", "por la calle de la luna"):
+        docs = spark.createDataFrame(rows + [(5000 + i, text, "es") for i in range(900)], "doc_id bigint, text string, lang string")
+        model = language_id.fit(docs)
+        assert sorted(model.dictionaries) == ["en", "es"] and text[:5].encode() in model.dictionaries["es"] + b"".join(model.primers["es"])
+        got = language_id.predict(docs.where("doc_id in (3, 5000)"), model, column="g").select("lang", "g.lang_pred").collect()
+        assert {r["lang"]: r["lang_pred"] for r in got} == {"en": "en", "es": "es"}
+    again = language_id.fit(docs.repartition(5))
+    assert again == language_id.fit(docs)
+    with pytest.raises(ValueError):
+        language_id.fit(docs, max_languages=1)
+
+
+def test_languages_are_those_of_plain_compression(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"), 4)))
+    got = {r["doc_id"]: r["lang_pred"] for r in QUERIES["op7_language_id"](spark, SF).collect()}
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=3, target_length=16, window_log=18, chain_log=16, hash_log=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for r in docs.collect():
+        words, data = re.findall(r"[^\W\d_]+", (r["text"] or "").lower()), []
+        for w in words:
+            if not data or data[-1] != w:
+                data.append(w)
+        data = " ".join(data).encode()
+        if not data:
+            assert got[r["doc_id"]] == "und"
+            continue
+        sizes = {}
+        for name, content in model.dictionaries.items():
+            size = lambda x, content=content: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x))
+            used = model.primers[name][: max(1, 2048 // len(data))]
+            sizes[name] = sum(size(p + data[i : i + 4096]) - size(p) for i in range(0, len(data), 4096) for p in used) / len(used)
+        assert sizes[got[r["doc_id"]]] <= min(sizes.values()) + 2  # a dictionary read anew may give a byte more or less
+
+
 # quality
 
 
