@@ -96,8 +96,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.number = spark, shared_path(spark, name), 0
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        self.release()
+    def stored(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
+        if release:
+            self.release()
         self.number += 1
         path = f"{self.root}/{self.number}-{name}"
         df.write.parquet(path)

@@ -6,15 +6,17 @@ neighbour is found by partial aggregation and joined back, which adaptive execut
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def _finger(pairs: DataFrame) -> tuple[int, int]:
-    row = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+def _links(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int, int]]:
+    """The pairs, stored, and a mark of them, seen while they are written."""
+    seen = Observation()
+    now = scratch.stored(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "links", release=False)
+    return now, (seen.get["n"], seen.get["x"] or 0)
 
 
 def connected_components(pairs: DataFrame, scratch: Scratch | None = None, max_rounds: int = 60) -> DataFrame:
@@ -23,8 +25,7 @@ def connected_components(pairs: DataFrame, scratch: Scratch | None = None, max_r
     Null ends and self-links are ignored; repeated pairs count once; no pairs give no rows.
     """
     scratch = scratch or Scratch(pairs.sparkSession, "components")
-    now = scratch.stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = _finger(now)
+    now, mark = _links(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), scratch)
     if not mark[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
@@ -33,8 +34,8 @@ def connected_components(pairs: DataFrame, scratch: Scratch | None = None, max_r
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
-        now = scratch.stored(small, "links")
-        before, mark = mark, _finger(now)
+        before = mark
+        now, mark = _links(small, scratch)
         if mark == before:
             break
     else:

@@ -1,9 +1,10 @@
 """Near-duplicate detection with SetSketch registers.
 
 A document's set is its distinct word shingles. Every element runs a Poisson process over the registers, and a register
-keeps the earliest arrival among all elements, stored as floor(1 - log_b(arrival)) in a byte: exponentially spaced,
-truncated minima. Registers merge by maximum and agree with a probability close to the Jaccard similarity, so bands of
-registers propose pairs, a joint likelihood over the registers of both sides estimates their similarity, and pairs
+keeps the earliest arrival among all elements, stored as floor(1 - log_b(arrival)) in 16 bits: exponentially spaced,
+truncated minima. Registers merge by maximum and agree with a probability close to the Jaccard similarity: with base 1.01
+two sets without a common element share a register with a probability of 0.0025 and a band of five with 1e-13, so that
+even among 10^11 sets a set meets less than one by chance, and the work grows with the input. Bands of registers propose pairs, a joint likelihood over the registers of both sides estimates their similarity, and pairs
 that may pass are verified on the full sets.
 
 Documents with equal sets fold into one before anything is compared. Within a bucket of a band no pairs are listed:
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, bounded_batches, mix64, stored
+from .common import Scratch, all_cores, as_bytes, bounded_batches, mix64, stored
 from .components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -40,9 +41,9 @@ class SetSketch:
     """Registers of sets of 64-bit keys."""
 
     registers: int = 128  # a power of two
-    base: float = 1.2
+    base: float = 1.01
     rate: float = 20.0
-    limit: int = 255
+    limit: int = 65_535
 
     def arrivals(self, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Earliest arrivals, sets x registers; keys holds the sets one after the other."""
@@ -79,7 +80,7 @@ class SetSketch:
         keys = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
         first = self.arrivals(keys, sizes)
         with np.errstate(divide="ignore"):
-            return np.clip(np.floor(1 - np.log(first) / math.log(self.base)), 0, self.limit).astype(np.uint8)
+            return np.clip(np.floor(1 - np.log(first) / math.log(self.base)), 0, self.limit).astype(np.uint16)
 
     def similarity(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 128) -> np.ndarray:
         """Jaccard similarity that makes the registers of both sides likeliest, given both sizes; row by row."""
@@ -134,7 +135,7 @@ class NearDuplicates:
     sketch: SetSketch = SetSketch()
 
     def sets(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(id, n, s1, s2, regs) of each row: size of its set, a 128-bit name of the set, its registers."""
+        """(id, h, n, s1, s2, regs) of each row: hash of its text, size of its set, a 128-bit name of the set, its registers."""
         width, sketch = self.width, self.sketch
         kind = dict(docs.select(F.col(key).alias("id")).dtypes)["id"]
 
@@ -144,9 +145,10 @@ class NearDuplicates:
                 sets = [shingles(raw) for raw in b.column(1).to_pylist()]
                 names = np.array([list(divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 regs = sketch(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "s1", "s2", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "h", "n", "s1", "s2", "regs"])
 
-        return docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).mapInArrow(make, f"id {kind}, n bigint, s1 bigint, s2 bigint, regs binary")
+        rows = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw"), F.xxhash64(text).alias("h"))
+        return all_cores(rows).mapInArrow(make, f"id {kind}, h bigint, n bigint, s1 bigint, s2 bigint, regs binary")
 
     def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) whose registers allow the threshold."""
@@ -154,7 +156,7 @@ class NearDuplicates:
 
         def keep(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
             m = sketch.registers
-            a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, m) for x in (ra, rb))
+            a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, m) for x in (ra, rb))
             return pa.array(sketch.similarity(a, b, na.to_numpy().astype(float), nb.to_numpy().astype(float)) >= least)
 
         test = F.arrow_udf(keep, "boolean")
@@ -178,9 +180,8 @@ class NearDuplicates:
         return pairs.join(side("u"), "u").join(side("v"), "v").where(test("eu", "ev")).select("u", "v")
 
     def full_sets(self, docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-        """(node, elements) of the wanted nodes (node, s1, s2), from the texts again: sets of all rows are never stored."""
+        """(node, elements) of the wanted nodes (node, id, s1, s2), from the texts again: sets of all rows are never stored."""
         width = self.width
-        kind = dict(wanted.dtypes)["node"]
 
         def make(batches):
             shingles = Shingles(width)
@@ -192,21 +193,21 @@ class NearDuplicates:
                     out.append(s if (name[0], name[1]) == (s1, s2) else None)  # another row under the same id
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "elements"])
 
-        residue = F.pmod(F.xxhash64("node"), F.lit(1 << 18))
+        residue = F.pmod(F.xxhash64("id"), F.lit(1 << 18))
         # at most 2^18 numbers: a proven bound for the broadcast, which keeps most other texts out of the shuffle
         some = F.broadcast(wanted.select(residue.alias("residue")).distinct())
-        texts = docs.select(F.col(key).alias("node"), as_bytes(F.col(text)).alias("raw")).join(some, residue == some["residue"], "left_semi")
-        texts = texts.join(wanted.select("node", "s1", "s2"), "node").select("node", "raw", "s1", "s2")
-        return texts.mapInArrow(make, f"node {kind}, elements binary").where("elements is not null").dropDuplicates(["node"])
+        texts = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).join(some, residue == some["residue"], "left_semi")
+        texts = texts.join(wanted.select("node", "id", "s1", "s2"), "id").select("node", "raw", "s1", "s2")
+        return texts.mapInArrow(make, "node bigint, elements binary").where("elements is not null").dropDuplicates(["node"])
 
     def alike(self, a: str, b: str) -> Column:
         """Whether sizes and equal registers of two nodes allow the threshold: the same bound as ``estimated``, in the join."""
-        def unequal_bytes(x: Column) -> Column:
-            for k in (4, 2, 1):  # the lowest bit of each byte: whether any of its bits is set
+        def unequal(x: Column) -> Column:
+            for k in (8, 4, 2, 1):  # the lowest bit of each register: whether any of its bits is set
                 x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-            return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+            return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
-        differing = F.transform(F.zip_with(f"l{a}", f"l{b}", lambda x, y: x.bitwiseXOR(y)), unequal_bytes)
+        differing = F.transform(F.zip_with(f"l{a}", f"l{b}", lambda x, y: x.bitwiseXOR(y)), unequal)
         same = self.sketch.registers - F.aggregate(differing, F.lit(0), lambda x, y: x + y)
         j, base = self.percent / 100 - self.slack, self.sketch.base
         least = math.log(1 + j * (base - 1)) / math.log(base) * self.sketch.registers
@@ -216,7 +217,7 @@ class NearDuplicates:
         """Estimated pairs (u, v) that join all that may be linked into families, and (node, component) of the families."""
         rows, bands = self.rows, self.sketch.registers // self.rows
         # a bucket is named by the number of the band and its registers
-        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * rows + 1, F.lit(rows))))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * 2 * rows + 1, F.lit(2 * rows))))
         entries = nodes.select("node", F.explode(keys).alias("bucket"))
         pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
         shared = scratch.stored(entries.join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
@@ -229,41 +230,43 @@ class NearDuplicates:
         now = scratch.stored(now, "members")
         strays = now.where("f <> pf").select("bucket", F.col("node").alias("a"), F.col("f").alias("fa"))
         mates = now.join(strays.select("bucket").distinct(), "bucket", "left_semi").select(F.col("bucket").alias("sb"), F.col("node").alias("b"), F.col("f").alias("fb"))
-        lanes = F.array(*[F.conv(F.hex(F.substring("regs", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(self.sketch.registers // 8)])
+        lanes = F.array(*[F.conv(F.hex(F.substring("regs", 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(self.sketch.registers // 4)])
         known = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), lanes.alias(f"l{c}")), c)
         across = known(strays, "a").join(known(mates, "b"), (F.col("fa") != F.col("fb")) & self.alike("a", "b") & (F.col("sb") == F.col("bucket")))
-        more = self.estimated(across.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().join(near, ["u", "v"], "left_anti"), nodes)
-        near = scratch.stored(near.union(more), "pairs")
+        more = scratch.stored(self.estimated(across.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().join(near, ["u", "v"], "left_anti"), nodes), "pairs")
+        if more.isEmpty():
+            return near, family
+        near = near.union(more)
         return near, scratch.stored(connected_components(near, scratch), "families")
 
     def links(self, nodes: DataFrame, docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-        """(node, component) of the nodes (node, n, s1, s2, regs) that are linked to another one."""
+        """(node, component) of the nodes (node, id, n, s1, s2, regs) that are linked to another one."""
         near, family = self.candidates(nodes, scratch)
         full = scratch.stored(self.full_sets(docs, nodes.join(family, "node", "left_semi"), key, text), "sets")
         star = near.union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
         good = scratch.stored(self.verified(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), full), "links")
-        member = family.select("node", F.col("component").alias("f")).join(connected_components(good, scratch), "node", "left").join(nodes.select("node", "n"), "node")
+        linked = connected_components(good, scratch)
+        member = family.select("node", F.col("component").alias("f")).join(linked, "node", "left").join(nodes.select("node", "n"), "node")
         member = scratch.stored(member.select("node", "f", F.coalesce("component", "node").alias("c"), "n"), "members")
-        good = good.union(scratch.stored(self.within(member, full), "links"))
-        return connected_components(good, scratch)
+        more = scratch.stored(self.within(member, full), "links")
+        return linked if more.isEmpty() else connected_components(good.union(more), scratch)
 
-    def within(self, member: DataFrame, full: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+    def within(self, member: DataFrame, full: DataFrame, block_bytes: int = 4 << 20, least_bytes: int = 256 << 10) -> DataFrame:
         """Links (u, v) between components (c) of one family (f), enough to join all that are linked.
 
-        The members (node, f, c, n) outside a family's largest component are counted against all its members.
+        The members (node, f, c, n) outside a family's largest component are counted against all its members, in blocks
+        of a sixteenth of the family, but not under ``least_bytes`` nor over ``block_bytes``.
         """
         percent = self.percent
         part = member.groupBy("f", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
         whole = part.groupBy("f").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        pieces = lambda n: F.ceil(n * 8 / block_bytes)
+        pieces = lambda n: F.ceil(n * 8 / F.least(F.lit(block_bytes), F.greatest(F.lit(least_bytes), n / 2)))
         plan = whole.select("f", F.col("top.c").alias("main"), pieces(F.col("n") - F.col("top.n")).alias("nx"), pieces(F.col("n")).alias("nm"))
         own = member.join(plan, "f").join(full, "node")
         salt = lambda n: F.pmod(F.xxhash64("node"), n)
         left = own.where("c <> main").select("f", salt(F.col("nx")).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("m"), "node", "c", "elements")
         anew = lambda c: F.col(c).alias(c)  # noqa: E731  else both sides of the cogroup hold the same columns
         right = own.select(anew("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)).alias("x"), salt(F.col("nm")).alias("m"), anew("node"), anew("c"), anew("elements"))
-        kind = dict(member.dtypes)["node"]
-
         def count(ours, theirs):
             sets = [np.frombuffer(e, np.uint64) for e in theirs.column("elements").to_pylist()]
             sizes = np.array([len(s) for s in sets])
@@ -285,37 +288,59 @@ class NearDuplicates:
                     _, first = np.unique(part_of[passed], return_index=True)  # one link for each component reached
                     for i in passed[first]:
                         u.append(max(node, ids[i])), v.append(min(node, ids[i]))
-            return pa.table({"u": pa.array(u, ours.schema.field("node").type), "v": pa.array(v, ours.schema.field("node").type)})
+            return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         block = ["f", "x", "m"]
-        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(count, f"u {kind}, v {kind}").distinct()
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(count, "u bigint, v bigint").distinct()
 
-    def __call__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """Per row: (key), n_shingles, component_id (the smallest id reachable), kept."""
+    def groups(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """Per row: id, h, n, component (a number, null for rows in no group), component_id (its smallest id); stored."""
         bounded_batches(docs.sparkSession)
         scratch = Scratch(docs.sparkSession, "near-duplicates")
         sets = scratch.stored(self.sets(docs, key, text), "sketches")
         linked = sets.where("n > 0 and id is not null")
-        nodes = scratch.stored(linked.groupBy("s1", "s2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
-        component = self.links(nodes, docs, key, text, scratch)
-        # a node is the smallest id of its set, so the smallest node of a component is the smallest id in it
-        named = nodes.select("s1", "s2", "node").join(component, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component_id"))
-        shape = lambda df, c: df.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(F.col("id") == c, F.lit(True)).alias("kept"))
-        apart = shape(sets.where("n = 0 or id is null"), F.col("id"))
-        result = stored(shape(linked.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left"), F.col("component_id")).union(apart), "groups")
-        del sets, linked, nodes, component, named, apart
+        # nodes are numbered, as ids may repeat; the numbers are fixed by storing them
+        nodes = linked.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+        nodes = scratch.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        found = scratch.stored(self.links(nodes, docs, key, text, scratch), "found")
+        lead = found.join(nodes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("lead"))
+        named = nodes.select("s1", "s2", "node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(lead, "component", "left").select("s1", "s2", "component", F.coalesce("lead", "id").alias("component_id"))
+        columns = ["id", "h", "n", "component", "component_id"]
+        apart = sets.where("n = 0 or id is null").withColumns({"component": F.lit(None).cast("bigint"), "component_id": F.col("id")}).select(columns)
+        result = stored(linked.select("id", "h", "n", "s1", "s2").join(named, ["s1", "s2"], "left").select(columns).union(apart), "groups")
+        del sets, linked, nodes, found, lead, named, apart
         scratch.drop()
         return result
 
+    def __call__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """Per row: (key), n_shingles, component_id (the smallest id reachable), kept."""
+        kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+        return self.groups(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
     def kept(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """The rows of docs that stay, one of each group, with their columns as they are; a row repeated whole stays once."""
-        found = self(docs, key, text)
-        gone = found.where("not kept").select(F.col(key).alias("__gone")).distinct()
+        """The rows of docs that stay, one of each group, with their columns as they are.
+
+        Rows are told apart by id and text, so one that clashes with another's id neither goes nor stays with it. Of a
+        group the row with the smallest id stays, of its texts under that id the one with the smallest hash, and once if
+        the row repeats. Rows without an id or without a word are in no group and stay."""
+        found = self.groups(docs, key, text)
+        grouped = found.where("component is not null")
+        several = grouped.where("id = component_id").groupBy("component").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        several = stored(several, "several").alias("s")  # components whose smallest id is on several rows: ids that repeat
+        own = F.col("id") == F.col("component_id")
+        if not several.isEmpty():
+            grouped = grouped.join(several.select(F.col("component").alias("sc"), F.col("h").alias("sh")), F.col("component") == F.col("sc"), "left")
+            own = own & ((F.col("h") == F.col("sh")) | F.col("sh").isNull())
+        gone = grouped.where(~own).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
         residue = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18))
         # at most 2^18 numbers: a proven bound for the broadcast. Rows whose number no lost id has stay where they are
-        some = F.broadcast(gone.select(residue("__gone").alias("__residue")).distinct())
+        touched = lambda ids: F.broadcast(ids.select(residue("__id").alias("__residue")).distinct())
+        some, same = touched(gone), (F.col(key) == F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
         sure = docs.join(some, residue(key) == some["__residue"], "left_anti")
         rest = docs.join(some, residue(key) == some["__residue"], "left_semi")
-        left = sure.union(rest.join(gone, rest[key] == gone["__gone"], "left_anti"))
-        repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-        return left if repeated.isEmpty() else left.dropDuplicates([key, text])
+        left = sure.union(rest.join(gone, same, "left_anti"))
+        if several.isEmpty():
+            return left
+        repeated = grouped.where(own).select(F.col("id").alias("__id"), F.col("h").alias("__h")).join(several.select(F.col("h").alias("__h")).distinct(), "__h", "left_semi").distinct()
+        return left.join(repeated, same, "left_anti").union(left.join(repeated, same, "left_semi").dropDuplicates([key, text]))

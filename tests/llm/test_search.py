@@ -69,7 +69,7 @@ def test_blocks_of_a_family_give_the_same(spark):
 
     class Small(NearDuplicates):
         def within(self, *args):
-            return super().within(*args, block_bytes=4096)
+            return super().within(*args, block_bytes=4096, least_bytes=1024)
 
     assert sorted(Small(width=2)(docs).collect()) == sorted(own(docs).collect())
 
@@ -84,6 +84,15 @@ def test_groups_of_odd_rows(spark):
     assert NearDuplicates()(docs.limit(0)).count() == 0
 
 
+def test_rows_that_stay_are_told_apart_by_id_and_text(spark):
+    unique = "wholly different words that nobody else has"
+    rows = [(0, "copy of some text here"), (1, unique), (1, "copy of some text here"), (None, "x y z"), (None, "x y z"), (2, "b c d e f"), (2, "B C d e f"), (3, "b c d e f"), (4, ""), (4, ""), (5, "q r s"), (5, "q r s"), (5, "t u v")]
+    for extra in ([], [(7, "again here"), (7, "again here")]):
+        left = NearDuplicates().kept(spark.createDataFrame(rows + extra, "doc_id bigint, text string")).collect()
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"].lower()) for r in left)
+        assert got == sorted([(0, "copy of some text here"), (1, unique), (-1, "x y z"), (-1, "x y z"), (2, "b c d e f"), (4, ""), (4, ""), (5, "q r s"), (5, "t u v"), *extra[:1]])
+
+
 def test_sketches_merge_and_estimate():
     sketch, shingle = SetSketch(), Shingles(1)
     texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 400), (40, 440), (100, 500), (0, 3), (0, 1))]
