@@ -4,15 +4,17 @@ Documents are read as overlapping passages of words. Over all passages of the co
 hashed words of the benchmark; any other word has weight zero in every item) is factored by a distributed randomised
 SVD: each task adds a'(a Omega) over its passages, the partial sketches are summed in pieces, and the small matrix is
 decomposed on the driver (Nystroem form: one pass). Passages and items are compared by the cosine of their projections,
-in blocks; an item longer than a passage is compared as a whole and by its own passages, so it may be of any length. Each candidate is verified on words: the longest common subsequence of the item and the text around the
-passage, and the same for the item's answer, its last sentence. Every passage of every whole text is searched.
+in blocks; an item longer than a passage is compared as a whole and by its own passages, so it may be of any length.
+Each candidate is verified on words: the longest common subsequence of the item and the text around the passage, and the
+same for the item's answer, its last sentence. Every passage of every whole text is searched.
 Stop words weigh nothing, but the rarest few words of each item keep their weight however common they are. Besides, the
 word sequence of every item is searched for as it is, so that an exact copy is found whatever its words weigh; such a
-leak has no cosine where it was found in this way alone.
+leak has no cosine where it was found in this way alone. Items under ``similar_words`` are found in this way only.
 
 Defined results: null or empty texts leak nothing; items that are null or shorter than ``min_words`` are not searched
-for (they occur by chance), where in scripts without spaces each character is a word; equal items are each reported; repeated rows get equal results; an empty benchmark or an
-empty corpus gives no leaks. Only the named columns are read; other columns pass untouched.
+for (they occur by chance), where in scripts without spaces each character is a word; no item is too long; equal items
+are each reported; repeated rows get equal results; an empty benchmark or an empty corpus gives no leaks. Only the named
+columns are read; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import Scratch, all_cores, as_bytes, bounded_batches
 
 _PUNCTUATION = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
 _SENTENCE = re.compile(rb"(?:[.!?\n]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+\s*")
@@ -58,7 +60,8 @@ class Settings:
     telling: int = 5  # words of each item, the rarest, that are no stop words in any case
     bits: int = 14  # of hashed words: bounds every matrix
     max_words: int = 1 << 20  # distinct words of a benchmark; more raise an error rather than go unsearched
-    min_words: int = 5
+    min_words: int = 3
+    similar_words: int = 5  # shorter items are found as exact copies alone: a paraphrase of four words says little
     min_cosine: float = 0.45
     min_shared: float = 0.4  # of the item's words that are no stop words, before any alignment
     min_overlap: float = 0.7  # of the item's words, in order
@@ -71,10 +74,11 @@ class Settings:
 
 @dataclass
 class Latent:
-    """Projection of words, the words' slots, and the settings."""
+    """Numbers of words, their rows in the matrices, the projection of those, and the settings."""
 
     settings: Settings
-    slots: dict[bytes, int]  # word -> row, only words of the benchmark
+    numbers: dict[bytes, int]  # of the words of the benchmark
+    slots: np.ndarray  # row of each word, by its hash; the last entry, -1, is for all other words
     weight: np.ndarray  # idf of each row
     projection: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # rows x rank, idf included
 
@@ -97,35 +101,30 @@ def masks_of(ids: list[int]) -> dict[int, int]:
     return out
 
 
-class Reader:
-    """Halves of texts as rows of words that the benchmark knows."""
-
-    def __init__(self, latent: Latent):
-        self.get, self.half = latent.slots.get, latent.settings.half
-        self.weighted = np.append(latent.weight > 0, False)
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        get = self.get
-        own = words(raw)
-        return np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
-
-    def halves(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Weighted words and the row of the half each lies in; for each row (halves without such a word have none) its
-        text and its place in it; whether the next row is the next half of the same text."""
-        step = self.half
-        sizes = np.array([len(t) for t in texts], np.int64)
-        flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.int32)
-        at = np.flatnonzero(self.weighted[flat])  # the last entry, for words out of the benchmark, is false
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        text = np.searchsorted(first, at, side="right") - 1
-        place = (at - first[text]) // step
-        new = np.ones(len(at), bool)
-        new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1])
-        row = np.cumsum(new) - 1
-        owner, place = text[new], place[new]
-        follows = np.zeros(len(owner), bool)
-        follows[:-1] = (owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1)
-        return flat[at], row, owner, place, follows
+def numbered(numbers: dict[bytes, int], raw: bytes) -> np.ndarray:
+    """The words of a text as numbers; -1 for those that the benchmark does not know."""
+    own = words(raw)
+    return np.fromiter(map(numbers.get, own, repeat(-1)), np.int32, len(own))
+
+
+def halves(texts: list[np.ndarray], weight: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given as rows of the matrices (-1: none) the weighted words and the number of the half each lies in; for
+    each such number (halves without a weighted word have none) its text and its place in it; whether the next number is
+    the next half of the same text."""
+    weighted = np.append(weight > 0, False)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.int32)
+    at = np.flatnonzero(weighted[flat])  # the last entry, for words out of the benchmark, is false
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    text = np.searchsorted(first, at, side="right") - 1
+    place = (at - first[text]) // step
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+    row = np.cumsum(new) - 1
+    owner, place = text[new], place[new]
+    follows = np.zeros(len(owner), bool)
+    follows[:-1] = (owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1)
+    return flat[at], row, owner, place, follows
 
 
 def _sum_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -160,28 +159,41 @@ def _summed(pieces: DataFrame) -> dict[int, np.ndarray]:
     return {r["piece"]: np.frombuffer(r["data"], np.float64) for r in near.groupBy("piece").applyInArrow(add, shape).collect()}
 
 
-def _pass(docs: DataFrame, text: str, latent: Latent, add, width: int) -> np.ndarray:
+def _tokens(docs: DataFrame, text: str, latent: Latent, scratch: Scratch) -> DataFrame:
+    """(slots, n): each text as rows of the matrices, stored, so that texts are cut into words once."""
+    shared = docs.sparkSession.sparkContext.broadcast((latent.numbers, latent.slots))  # bounded by Settings.max_words
+
+    def run(batches):
+        numbers, slots = shared.value
+        kind = np.int16 if len(slots) < 1 << 15 else np.int32
+        for b in batches:
+            own = [slots[numbered(numbers, raw)].astype(kind) for raw in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.itemsize for x in own], pa.int32())], ["slots", "bytes"])
+
+    return scratch.stored(all_cores(docs.select(as_bytes(F.col(text)).alias("raw"))).mapInArrow(run, "slots binary, bytes int"), "words")
+
+
+def _pass(tokens: DataFrame, latent: Latent, add, width: int) -> np.ndarray:
     """The sum over all texts of what ``add`` puts into a matrix of the latent's rows by ``width``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(latent)  # bounded by Settings.bits
+    shared = tokens.sparkSession.sparkContext.broadcast((latent.settings, latent.weight, latent.projection))  # bounded by Settings.bits
     piece = latent.settings.piece
 
     def run(batches):
         from pyspark import TaskContext
 
-        own = shared.value
-        reader, total = Reader(own), np.zeros((len(own.weight), width))
+        settings, weight, projection = shared.value
+        total = np.zeros((len(weight), width))
         some = False
         for b in batches:
-            texts = [reader(raw) for raw in b.column(0).to_pylist()]
-            add(own, reader, texts, total)
+            texts = [np.frombuffer(x, f"i{k}") for x, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            add(settings, weight, projection, texts, total)
             some = True
         if some:
             at = range(0, len(total), piece)
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([i // piece for i in at], pa.int32()), pa.array([task] * len(at), pa.int64()), pa.array([total[i : i + piece].tobytes() for i in at], pa.binary())], ["piece", "task", "data"])
 
-    got = _summed(docs.select(as_bytes(F.col(text)).alias("raw")).mapInArrow(run, "piece int, task bigint, data binary"))
+    got = _summed(tokens.mapInArrow(run, "piece int, task bigint, data binary"))
     out = np.zeros((len(latent.weight), width))
     for k, data in got.items():
         out[k * piece : (k + 1) * piece] = data.reshape(-1, width)
@@ -225,17 +237,19 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     vocabulary = sorted(bytes(r["word"]) for r in known.collect())
     rows: dict[int, int] = {}
     index = {w: rows.setdefault(xxhash.xxh3_64_intdigest(w) & (size - 1), len(rows)) for w in vocabulary}
-    latent = Latent(settings, index, np.ones(len(rows)))
+    latent = Latent(settings, {w: i for i, w in enumerate(vocabulary)}, np.array([*index.values(), -1], np.int32), np.ones(len(rows)))
     if not rows:
         return latent
 
-    def frequency(own, reader, texts, total):
-        ids, row, owner, _, _ = reader.halves(texts)
-        pair = np.unique(row * np.int64(len(own.weight)) + ids)
-        total[:, 0] += np.bincount(pair % len(own.weight), minlength=len(own.weight))
-        total[0, 1] += sum(-(-len(t) // own.settings.half) for t in texts)
+    def frequency(settings, weight, projection, texts, total):
+        ids, row, owner, _, _ = halves(texts, weight, settings.half)
+        pair = np.unique(row * np.int64(len(weight)) + ids)
+        total[:, 0] += np.bincount(pair % len(weight), minlength=len(weight))
+        total[0, 1] += sum(-(-len(t) // settings.half) for t in texts)
 
-    counted = _pass(docs, text, latent, frequency, 2)
+    scratch = Scratch(docs.sparkSession, "latent")
+    tokens = _tokens(docs, text, latent, scratch)
+    counted = _pass(tokens, latent, frequency, 2)
     n, seen = max(1.0, counted[0, 1]), counted[:, 0]
     shared = np.zeros(len(rows))
     for r in known.collect():
@@ -247,21 +261,22 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     omega = np.linalg.qr(np.random.default_rng(settings.seed).normal(size=(len(rows), width)))[0]
     latent.projection = (omega * latent.weight[:, None]).astype(np.float32)
 
-    def sketch(own, reader, texts, total):
-        ids, row, owner, _, follows = reader.halves(texts)
+    def sketch(settings, weight, projection, texts, total):
+        ids, row, owner, _, follows = halves(texts, weight, settings.half)
         if not len(ids):
             return
-        seen = _paired(_sum_by(own.projection[ids], row, len(owner)), follows)  # a Omega of each passage
+        seen = _paired(_sum_by(projection[ids], row, len(owner)), follows)  # a Omega of each passage
         both = seen.copy()
         after = np.flatnonzero(follows) + 1
         both[after] += seen[after - 1]  # a half is in the passage that it begins and in the one before
-        order = np.argsort(ids.astype(np.uint16) if len(own.weight) < 1 << 16 else ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if len(weight) < 1 << 16 else ids, kind="stable")
         own_ids = ids[order]
         starts = np.flatnonzero(np.concatenate(([True], own_ids[1:] != own_ids[:-1])))
         words_ = own_ids[starts]
-        total[words_] += np.add.reduceat(both[row[order]], starts, axis=0) * own.weight[words_, None]
+        total[words_] += np.add.reduceat(both[row[order]], starts, axis=0) * weight[words_, None]
 
-    y = _pass(docs, text, latent, sketch, width)
+    y = _pass(tokens, latent, sketch, width)
+    scratch.drop()
     shift = 1e-9 * np.linalg.norm(y) + 1e-12
     y = y + shift * omega
     inner = omega.T @ y
@@ -287,6 +302,16 @@ def _run(settings: Settings) -> int:
     return max(1, min(settings.min_words, 4))
 
 
+BITMAP = 8  # words of 64 bits
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """A bitmap of a set of words: one bit for each, by its number."""
+    out = np.zeros(BITMAP, np.uint64)
+    np.bitwise_or.at(out, ids // 64 % BITMAP, np.uint64(1) << (ids % 64).astype(np.uint64))
+    return out
+
+
 def _codes(ids: np.ndarray, run: int) -> np.ndarray:
     """A code of each run of that many words."""
     n = max(0, len(ids) - run + 1)
@@ -308,47 +333,47 @@ class Items:
     answers: list[list[int]]
     rare: list[set[int]]  # words that are no stop words
     telling: list[bool]  # the answer has such a word
+    marks: np.ndarray  # of the rare words of each item, see _marks
     directions: np.ndarray  # of whole items and, of those longer than a passage, of their passages
     owners: np.ndarray  # the item of each direction, rising
     masks: list[dict[int, int]]
     answer_masks: list[dict[int, int]]
-    texts: list[list[bytes]]
     anchors: dict[int, list[tuple[int, int]]]  # code of an item's most telling run of words -> items, and its place in them
     known: np.ndarray  # whether a code with these lowest bits is an anchor
 
     @staticmethod
     def of(rows: list, latent: Latent) -> Items:
-        keys, ids, answers, texts = [], [], [], []
+        settings, keys, ids, answers = latent.settings, [], [], []
         for key, raw in rows:
-            text = words(raw)
-            own = [latent.slots.get(w, -1) for w in text]
-            if len(own) < latent.settings.min_words:
+            own = numbered(latent.numbers, raw).tolist()
+            if len(own) < settings.min_words:
                 continue
-            parts = [p for p in (words(x) for x in _SENTENCE.split(raw)) if p]
-            keys.append(key), ids.append(own), texts.append(text), answers.append([latent.slots.get(w, -1) for w in parts[-1]])
-        rare = [{w for w in i if latent.weight[w] > 0} for i in ids]
-        parts = [(i, part) for i, x in enumerate(ids) for part in _passages(x, latent.settings.half)]
-        sums = np.stack([latent.projection[part].sum(axis=0) for _, part in parts]) if ids else np.zeros((0, 1))
-        run = _run(latent.settings)
+            parts = [p for p in (numbered(latent.numbers, x).tolist() for x in _SENTENCE.split(raw)) if p]
+            keys.append(key), ids.append(own), answers.append(parts[-1])
+        weight = np.append(latent.weight, 0.0)[latent.slots]  # of each word; the last entry is for unknown ones
+        rare = [{w for w in i if weight[w] > 0} for i in ids]
+        parts = [(i, part) for i, x in enumerate(ids) if len(x) >= settings.similar_words for part in _passages(x, settings.half)]
+        sums = np.stack([latent.projection[latent.slots[part]].sum(axis=0) for _, part in parts]) if parts else np.zeros((0, max(1, latent.projection.shape[1])))
+        run = _run(settings)
         anchors: dict[int, list[tuple[int, int]]] = {}
         known = np.zeros(1 << 20, bool)
         for i, own in enumerate(ids):
-            weights = np.convolve(latent.weight[own], np.ones(run), "valid")
-            at = int(weights.argmax())
+            at = int(np.convolve(weight[own], np.ones(run), "valid").argmax())
             code = int(_codes(np.array(own[at : at + run], np.int32), run)[0])
             anchors.setdefault(code, []).append((i, at))
             known[code & len(known) - 1] = True
-        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], _unit(sums).astype(np.float32), np.array([i for i, _ in parts], np.int64), [masks_of(i) for i in ids], [masks_of(a) for a in answers], texts, anchors, known)
+        marks = np.stack([_marks(np.array(sorted(r), np.int64)) for r in rare]) if rare else np.zeros((0, BITMAP), np.uint64)
+        return Items(keys, ids, answers, rare, [bool(r & set(a)) for r, a in zip(rare, answers, strict=True)], marks, _unit(sums).astype(np.float32), np.array([i for i, _ in parts], np.int64), [masks_of(i) for i in ids], [masks_of(a) for a in answers], anchors, known)
 
 
-def _search(latent: Latent, items: Items, raws: list[bytes], reader: Reader) -> list[list[dict]]:
-    texts = [reader(raw) for raw in raws]
-    out = _similar(latent, items, texts, reader)
-    _exact(latent, items, raws, texts, out)
+def _search(latent: Latent, items: Items, raws: list[bytes]) -> list[list[dict]]:
+    texts = [numbered(latent.numbers, raw) for raw in raws]
+    out = _similar(latent, items, texts)
+    _exact(latent, items, texts, out)
     return [[d[i] for i in sorted(d)] for d in out]
 
 
-def _exact(latent: Latent, items: Items, raws: list[bytes], texts: list[np.ndarray], out: list[dict]) -> None:
+def _exact(latent: Latent, items: Items, texts: list[np.ndarray], out: list[dict]) -> None:
     """Adds the items whose words are in a text one after the other, and that were not found by similarity."""
     if not items.keys or not texts:
         return
@@ -357,25 +382,38 @@ def _exact(latent: Latent, items: Items, raws: list[bytes], texts: list[np.ndarr
     codes = _codes(flat, run)
     hits = np.flatnonzero(items.known[codes & np.uint32(len(items.known) - 1)])
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    last, text = -1, []
     for at, code, doc in zip(hits.tolist(), codes[hits].tolist(), (np.searchsorted(first, hits, side="right") - 1).tolist(), strict=True):
         for i, offset in items.anchors.get(code, ()):
             begin, ids = at - int(first[doc]) - offset, items.ids[i]
-            if i in out[doc] or begin < 0 or begin + len(ids) > len(texts[doc]) or texts[doc][begin : begin + len(ids)].tolist() != ids:
-                continue
-            if doc != last:
-                last, text = doc, words(raws[doc])
-            if text[begin : begin + len(ids)] == items.texts[i]:  # slots are hashes
+            if i not in out[doc] and begin >= 0 and texts[doc][begin : begin + len(ids)].tolist() == ids:
                 out[doc][i] = {"item_id": items.keys[i], "cosine": None, "overlap": 1.0, "answer": 1.0, "at": begin // step * step}
 
 
-def _similar(latent: Latent, items: Items, texts: list[np.ndarray], reader: Reader) -> list[dict]:
+def _around(ids: np.ndarray, row: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each half the bitmap of the weighted words from two halves before it to three after it."""
+    own = np.zeros((len(owner), BITMAP), np.uint64)
+    np.bitwise_or.at(own, (row, ids // 64 % BITMAP), np.uint64(1) << (ids % 64).astype(np.uint64))
+    out = own.copy()
+    for k in (-2, -1, 1, 2, 3):
+        here = np.arange(max(0, -k), len(own) - max(0, k))
+        there = here + k
+        near = (owner[here] == owner[there]) & (place[there] - place[here] >= -2) & (place[there] - place[here] <= 3)
+        out[here[near]] |= own[there[near]]
+    return out
+
+
+def _similar(latent: Latent, items: Items, texts: list[np.ndarray]) -> list[dict]:
     own, step = latent.settings, latent.settings.half
     out: list[dict] = [{} for _ in texts]
-    ids, row, owner, place, follows = reader.halves(texts)
-    if not len(ids) or not items.keys or not latent.projection.size:
+    weight = np.append(latent.weight, 0.0)[latent.slots]  # of each word
+    numbers, row, owner, place, follows = halves(texts, weight[:-1], step)
+    if not len(numbers) or not len(items.owners) or not latent.projection.size:
         return out
-    passages = _unit(_paired(_sum_by(latent.projection[ids], row, len(owner)), follows))
+    passages = _unit(_paired(_sum_by(latent.projection[latent.slots[numbers]], row, len(owner)), follows))
+    marks = _around(numbers.astype(np.int64), row, owner, place)
+    lengths = np.array([len(i) for i in items.ids])
+    rare = np.array([len(r) for r in items.rare])
+    alike = rare - np.bitwise_count(items.marks).sum(axis=1)  # words of an item that share their bit with another one
     span, last, around = max(1, 4_000_000 // len(items.owners)), -1, set()
     for at in range(0, len(passages), span):
         cosine = passages[at : at + span] @ items.directions.T
@@ -383,7 +421,11 @@ def _similar(latent: Latent, items: Items, texts: list[np.ndarray], reader: Read
         pair = p_ * len(items.keys) + items.owners[part]  # rising
         starts = np.flatnonzero(np.diff(pair, prepend=-1))
         best_cosine = np.maximum.reduceat(cosine[p_, part], starts) if len(starts) else np.zeros(0)
-        for p, i, near_by in zip(p_[starts].tolist(), items.owners[part[starts]].tolist(), best_cosine.tolist(), strict=True):
+        p_, i_ = p_[starts], items.owners[part[starts]]
+        # no fewer than the shared words, so no pair is lost; long items look further around
+        most = np.bitwise_count(marks[at + p_] & items.marks[i_]).sum(axis=1) + alike[i_]
+        open_ = np.flatnonzero((most >= own.min_shared * rare[i_]) | (lengths[i_] > 2 * step))
+        for p, i, near_by in zip(p_[open_].tolist(), i_[open_].tolist(), best_cosine[open_].tolist(), strict=True):
             doc, begin = int(owner[at + p]), int(place[at + p]) * step
             if at + p != last:
                 last, around = at + p, set(texts[doc][max(0, begin - 2 * step) : begin + 4 * step].tolist())
@@ -427,9 +469,8 @@ def find(docs: DataFrame, items: DataFrame, latent: Latent, text: str = "text",
 
         def search(batches, shared=shared):
             latent_, items_ = shared.value
-            reader = Reader(latent_)
             for b in batches:
-                yield pa.array(_search(latent_, items_, b.to_pylist(), reader), typed)
+                yield pa.array(_search(latent_, items_, b.to_pylist()), typed)
 
         found.append(F.arrow_udf(search, shape, F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(text))))
-    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
+    return all_cores(docs).withColumn(column, F.concat(*found) if len(found) > 1 else found[0])

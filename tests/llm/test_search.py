@@ -251,6 +251,51 @@ def test_leaks_of_odd_rows(spark):
         assert decontamination.find(d, i, decontamination.fit(d, i)).where(F.size("leaks") > 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["zipf", "uniform"])
+def test_recall_by_length(spark, kind):
+    """Items of 3 to 1000 words, word for word and with a fifth of the words replaced."""
+    rng = np.random.default_rng(1)
+    share = 1 / np.arange(1, 20_001)
+    draw = (lambda n: [f"w{i}" for i in rng.choice(20_000, n, p=share / share.sum())]) if kind == "zipf" else (lambda n: [f"w{i}" for i in rng.integers(0, 6000, n)])
+    items, docs, copies, changed = [], [], set(), set()
+    for length in (3, 5, 8, 12, 25, 60, 150, 400, 1000):
+        for _ in range(6):
+            item = draw(length)
+            items.append((len(items), " ".join(item)))
+            for found in (copies, changed):
+                own = list(item)
+                if found is changed:
+                    for j in rng.choice(length, max(1, length // 5), replace=False):
+                        own[j] = f"z{rng.integers(10**6)}"
+                if length >= 8 or found is copies:
+                    found.add((len(docs), len(items) - 1))
+                docs.append((len(docs), " ".join(draw(150) + own + draw(150))))
+    docs += [(len(docs) + i, " ".join(draw(300))) for i in range(300)]
+    texts, asked = dict(docs), dict(items)
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], x["item_id"]) for r in decontamination.find(docs, items, decontamination.fit(docs, items)).collect() for x in r["leaks"]}
+    assert copies <= got and len(changed & got) >= 0.9 * len(changed)
+    for d, i in got:  # a few common words also meet by chance
+        assert i == d // 2 or f" {asked[i]} " in f" {texts[d]} " or 5 <= len(asked[i].split()) < 8
+
+
+def test_leaks_are_those_of_all_pairs(spark):
+    """Every document against every item, by words alone."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    most = {}
+    for d in docs:
+        text = decontamination.words((d["text"] or "").encode())
+        for i in items:
+            item = decontamination.words(i["text"].encode())
+            if len(set(item) & set(text)) >= 0.5 * len(set(item)):
+                masks = decontamination.masks_of(item)
+                best = max(decontamination.lcs_length(masks, len(item), text[max(0, b - len(item)) : b + 48 + len(item)]) for b in range(0, len(text), 24))
+                most[d["doc_id"], i["item_id"]] = best / len(item)
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in QUERIES["op4_benchmark_decontamination"](spark, SF).collect()}
+    assert {k for k, x in most.items() if x >= 0.7} <= set(got) <= {k for k, x in most.items() if x >= 0.5}
+    assert all(x <= most[k] + 1e-9 for k, x in got.items())
+
+
 # nearest neighbours
 
 
