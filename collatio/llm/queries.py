@@ -46,9 +46,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, verify=True)
-    s = F.col("segmentation")
-    return coded.select("doc_id", s["ids"].alias("ids"), F.size(s["ids"]).alias("n_pieces"), s["score"].alias("score"), s["n_best"].alias("n_best_scores"), s["round_trip"].alias("round_trip"))
+    return segmentation.digest(segmentation.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, verify=True))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Language ID, quality classifier, language model and segmentation against plain versions."""
 
+import heapq
 import math
 import re
 import zlib
@@ -241,22 +242,75 @@ def every_segmentation(vocabulary, text):
 def test_n_best_are_the_best_of_all(vocabulary, text):
     every = every_segmentation(vocabulary, text)
     got = vocabulary.encode(text, 30)
-    assert [s for s, _ in got] == [s for s, _ in every[:30]]
+    assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:30]])
     scores = {ids: s for s, ids in every}
-    found = [tuple(np.frombuffer(b, np.int32).tolist()) for _, b in got]
-    assert len(set(found)) == len(found) and all(scores[f] == s for f, (s, _) in zip(found, got))
+    found = [tuple(ids.tolist()) for _, ids in got]
+    assert len(set(found)) == len(found) and all(scores[f] == pytest.approx(s) for f, (s, _) in zip(found, got))
+    assert all(vocabulary.decode(list(f)) == text.encode() for f in found)
+
+
+def plain_best(vocabulary, text, n):
+    """The n best scores over the whole lattice of a text, by dynamic programming over sorted lists."""
+    marked, before = (" " + text).replace(" ", segmentation.MARK), [[] for _ in range(len(text) + 2)]
+    before[0] = [0.0]
+    longest = max(map(len, vocabulary.table))
+    for i in range(len(marked)):
+        before[i] = heapq.nlargest(n, before[i])
+        alone = True
+        for j in range(i + 1, min(len(marked), i + longest) + 1):
+            piece = vocabulary.table.get(marked[i:j])
+            if piece and piece[0] >= 0:
+                before[j] += [s + piece[1] for s in before[i]]
+                alone &= j > i + 1
+        if alone:
+            before[i + 1] += [s + vocabulary.lost * len((" " + text)[i].encode()) for s in before[i]]
+    return heapq.nlargest(n, before[-1])
+
+
+def test_whole_documents_against_the_whole_lattice(spark, vocabulary):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op6_sentencepiece"](spark, SF).collect()}
+    for doc, text in rows:
+        r = got[doc]
+        assert r["n_best_scores"] == pytest.approx(plain_best(vocabulary, text, 4)), doc
+        each = [r["ids"], *r["other_ids"]]
+        assert len(set(map(tuple, each))) == len(each) == len(r["n_best_scores"]) == 4
+        for ids, score in zip(each, r["n_best_scores"], strict=True):
+            assert vocabulary.decode(ids) == text.encode()
+            pieces = {i: s for i, s in vocabulary.table.values() if i >= 0}
+            raw = set(vocabulary.bytes.values())
+            assert sum(vocabulary.lost if i in raw else pieces[i] for i in ids) == pytest.approx(score)
+
+
+@pytest.mark.parametrize("text", ["x" * 3000, "\u2581" * 70 + "a b", "\n\n  a\n", "\U0001d518" * 80, "ab" * 40 + " " * 90 + "c"])
+def test_long_parts_are_searched_like_others(vocabulary, text):
+    got = vocabulary.encode(text, 3)
+    if segmentation.MARK not in text:
+        assert [s for s, _ in got] == pytest.approx(plain_best(vocabulary, text, 3))
+    assert all(vocabulary.decode(ids.tolist()) == text.encode() for _, ids in got)
+
+
+def test_what_is_remembered_is_bounded():
+    small = segmentation.Pieces(segmentation.model_bytes(), remember=50)
+    texts = [f"some w{i} words x{i * 7}" for i in range(400)]
+    whole = segmentation.pieces(segmentation.model_bytes()).encode_many(texts, 2)
+    for text, expected in zip(texts, whole, strict=True):
+        got = small.encode(text, 2)
+        assert [(s, i.tolist()) for s, i in got] == [(s, i.tolist()) for s, i in expected] and len(small.known.number) < 60
 
 
 def test_round_trips(spark, odd):
-    coded = segmentation.encode(odd, n=3, column="s", all_ids=True, verify=True)
+    coded = segmentation.encode(odd, n=3, column="s", verify=True)
     rows = segmentation.decode(coded, "s.ids").select("doc_id", "text", "decoded", "s").collect()
     assert len(rows) == len(ODD)
     for r in rows:
         assert r["decoded"] == r["text"] and r["s"]["round_trip"] == (None if r["text"] is None else True)
         if r["text"] is None:
-            assert r["s"]["ids"] is None and r["s"]["score"] is None
+            assert r["s"]["ids"] is None and r["s"]["score"] is None and r["s"]["others"] is None
         else:
-            scores = [x["score"] for x in r["s"]["n_best"]]
-            assert scores == sorted(scores, reverse=True) and r["s"]["n_best"][0]["ids"] == r["s"]["ids"]
+            scores = [r["s"]["score"], *(x["score"] for x in r["s"]["others"])]
+            assert scores == sorted(scores, reverse=True) and (len(scores) == 3 or len(r["text"].strip()) < 2)
+    others = segmentation.decode(coded.select("text", F.explode("s.others").alias("o")), "o.ids")
+    assert others.where("decoded <> text").isEmpty()
     assert segmentation.encode(odd.limit(0)).count() == 0
     assert QUERIES["op6_sentencepiece"](spark, SF).where("not round_trip or round_trip is null").isEmpty()
