@@ -47,9 +47,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = segmentation.encode(docs.select("doc_id", "text"), n=4, verify=True)
-    s = F.col("segmentation")
-    return coded.select("doc_id", s["ids"].alias("ids"), F.size(s["ids"]).alias("n_pieces"), s["score"].alias("score"), s["n_best"].alias("n_best_scores"), s["round_trip"].alias("round_trip"))
+    return segmentation.digest(segmentation.encode(docs.select("doc_id", "text"), n=4, verify=True))
 
 
 STAGES = [
