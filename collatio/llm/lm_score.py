@@ -3,7 +3,8 @@
 Every word and n-gram of the training rows counts and has its state and arc, however large the corpus: nothing is left
 out by frequency, unless ``word_share`` or ``ngram_share`` ask for it. States are histories; an arc reads a word, a
 failure arc shortens the history and weighs what smoothing leaves to it. The automaton is a distributed table by ranges
-of keys; each block of texts gets the weights of the states and arcs on its way, and scores all its places at once.
+of keys; each block of texts gets the states and arcs on its way, and is read once from left to right, all its texts
+side by side, each carrying its state.
 
 Smoothing: words by add-one over the training vocabulary and one unknown word; longer histories by interpolated
 absolute discounting. All probabilities of a history sum to one.
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, bounded_batches, mix64
+from .common import Scratch, all_cores, as_bytes, bounded_batches, mix64
 
 END = xxhash.xxh3_64_intdigest(b" end")  # has a space, so no word has its text
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +115,7 @@ def blocks_of(docs: DataFrame, key: str, text: str, train: Column, own: Settings
             yield flush()
 
     rows = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw"), F.coalesce(train, F.lit(False)).alias("flag"))
-    return rows.mapInArrow(make, f"block bigint, ids array<{kind}>, train binary, sizes binary, tokens binary, keys binary, n_tokens bigint, n_keys bigint, n_train bigint")
+    return all_cores(rows).mapInArrow(make, f"block bigint, ids array<{kind}>, train binary, sizes binary, tokens binary, keys binary, n_tokens bigint, n_keys bigint, n_train bigint")
 
 
 def _power(n: int) -> int:
@@ -247,27 +248,74 @@ def frequent_words(blocks: DataFrame, bits: int, least: int, share: float):
     return blocks.sparkSession.sparkContext.broadcast(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)]))
 
 
-def weights(block: Block, totals: list[np.ndarray], tokens: int, vocabulary: int, least: int, own: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """At each place the probability of its word alone, and on the way through the automaton: the arc of the longest
-    history, or its failure arcs. totals: of each length, as ``returned`` gives them."""
-    counts = totals[0][0]
-    alone = p = ((counts + 1.0) / (tokens + vocabulary + 1.0))[block.tokens]
-    state = np.where(block.usable & (counts >= least)[block.tokens], block.tokens, -1)
-    for length in range(2, own.order + 1):
-        counts, _, following, unused = totals[length - 2]
-        history = np.full(len(state), -1, np.int64)
-        history[1:] = state[:-1]
-        history[block.place < length - 1] = -1
-        at = np.flatnonzero(history >= 0)
-        history = history[at]
-        left = np.where(following > 0, np.maximum((unused + own.discount * following) / np.maximum(counts, 1), 1e-12), 1.0)
-        _, number = block.grams(length)
-        count = np.where(number >= 0, totals[length - 1][0][number], 0) if totals[length - 1].size else np.zeros(len(number), np.int64)
-        seen = count[at]
-        p = p.copy()
-        p[at] = left[history] * p[at] + np.where(seen > 0, (seen - own.discount) / counts[history], 0.0)
-        state = np.where(count > 0, number, -1)
-    return alone, p
+class Automaton:
+    """The states and arcs on the way of one block's texts.
+
+    A state is a history of up to ``order - 1`` words that the training rows have; the root is the empty one. Its arc for
+    a word, if they go on with it, weighs the word's probability; its failure arc leads to the history without its first
+    word and weighs what smoothing leaves to that. The root has an arc for every word, an unknown one included."""
+
+    def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, vocabulary: int, least: int, own: Settings):
+        self.order, self.block = own.order, block
+        counts = totals[0][0]
+        arc = (counts + 1.0) / (tokens + vocabulary + 1.0)  # of the root, by word
+        self.numbers = [np.zeros(len(block.tokens), np.int64), block.tokens]  # of the n-gram that ends at each place, by length
+        self.arcs, self.fails = [np.zeros(0), np.log10(arc)], [np.zeros(0)]  # logarithms, by the length of the n-gram and of the history
+        words = np.zeros(len(counts), bool)
+        words[block.tokens[block.usable]] = True
+        self.known = [np.zeros(0, bool), words & (counts >= least)]  # whether an n-gram is a state
+        for length in range(2, own.order + 1):
+            short, _, following, unused = totals[length - 2]
+            left = np.where(following > 0, np.maximum((unused + own.discount * following) / np.maximum(short, 1), 1e-12), 1.0)
+            self.fails.append(np.log10(left))
+            keys, number = block.grams(length)
+            counts = totals[length - 1][0] if totals[length - 1].size else np.zeros(len(keys), np.int64)
+            at = np.flatnonzero(number >= 0)
+            place = np.zeros(len(keys), np.int64)
+            place[number[at]] = at  # any place of each n-gram tells its history and its end
+            history, end = self.numbers[-1][place - 1], self.numbers[-1][place]
+            longer = np.where(counts > 0, (counts - own.discount) / np.maximum(short[history], 1) + left[history] * arc[end], 1.0) if len(keys) else np.zeros(0)
+            arc = longer
+            self.numbers.append(number), self.arcs.append(np.log10(arc)), self.known.append(counts > 0)
+
+    def lanes(self, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where to begin reading, to begin counting, and to end: texts side by side. A long text is read in pieces, each
+        after the words before it, which lead from the root to the state in which the piece before ends."""
+        sizes, starts = self.block.sizes, self.block.starts
+        pieces = -(-sizes // piece)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        begin = starts[text] + piece * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        lead, end = np.maximum(starts[text], begin - self.order + 1), np.minimum(begin + piece, (starts + sizes)[text])
+        by = np.argsort(lead - end, kind="stable")
+        return lead[by], begin[by], end[by]
+
+    def read(self, piece: int = 512) -> np.ndarray:
+        """The logarithm of each word's probability, by one traversal from left to right that carries the state."""
+        lead, begin, end = self.lanes(piece)
+        out = np.zeros(len(self.block.tokens))
+        state, size = np.zeros(len(lead), np.int64), end - lead  # the length of the history; the place tells which one
+        for step in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-size, -step, "left"))  # the lanes that go on stand first
+            at, now = lead[:n] + step, state[:n]
+            weight, after = np.zeros(n), np.zeros(n, np.int64)
+            for length in range(self.order - 1, -1, -1):
+                who = np.flatnonzero(now == length)
+                if not len(who):
+                    continue
+                gram = self.numbers[length + 1][at[who]]
+                known = (gram >= 0) & self.known[length + 1][np.maximum(gram, 0)] if len(self.known[length + 1]) else np.zeros(len(who), bool)
+                goes = known if length else np.ones(len(who), bool)
+                weight[who[goes]] += self.arcs[length + 1][gram[goes]]
+                after[who[goes]] = np.where(known[goes], min(length + 1, self.order - 1), 0)
+                fails = who[~goes]
+                if length:
+                    weight[fails] += self.fails[length][self.numbers[length][at[fails] - 1]]
+                    now[fails] -= 1
+                now[who[goes]] = -1  # read
+            state[:n] = after
+            counted = at >= begin[:n]
+            out[at[counted]] = weight[counted]
+        return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Column | None = None, settings: Settings | None = None) -> DataFrame:
@@ -295,9 +343,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train: Colum
         block = Block(row, frequent and frequent.value)
         lengths = found.column("length").to_numpy()
         got = [returned(found.filter(pa.array(lengths == length))) for length in range(1, own.order + 1)]
-        alone, p = weights(block, got, n, vocabulary, least[0], own)
+        automaton = Automaton(block, got, n, vocabulary, least[0], own)
         known = (got[0][0] > 0)[block.tokens]
-        sums = (np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), np.log10(alone), np.log10(p)))
+        sums = (np.add.reduceat(x, block.starts) for x in (known.astype(np.int64), automaton.arcs[1][block.tokens], automaton.read()))
         return pa.table(dict(zip(("id", "n_tokens", "n_known", "base_score", "score"), (pa.array(row["ids"], texts.schema.field("ids").type.value_type), pa.array(block.sizes), *map(pa.array, sums)), strict=True)))
 
     found = totals[0].where("block is not null").select("block", "bucket", "sums", F.lit(1).alias("length"))

@@ -191,6 +191,58 @@ def test_lm_states_grow_with_the_corpus(spark):
     assert got == {i: pytest.approx(e[3], rel=1e-9) for (i, _), e in zip(rows, expected)}
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 512])
+def test_pieces_of_long_texts_carry_their_state(piece, spark):
+    docs = spark.createDataFrame([(1, "a b a c a b " * 30), (2, "b a c"), (3, "c c a b " * 9), (4, None)], ODD_SCHEMA)
+    rows = [tuple(r) for r in docs.collect()]
+    _, expected = brute_scores(rows, [True, False, True, True], lm_score.Settings(word_share=0.0, ngram_share=0.0))
+    blocks = lm_score.blocks_of(docs.coalesce(1), "doc_id", "text", F.col("doc_id") != 2, lm_score.Settings()).collect()
+    block = lm_score.Block(blocks[0].asDict(), None)
+    totals = [plain_totals(block, length, 3) for length in (1, 2, 3)]
+    n = int(block.learn.sum())
+    automaton = lm_score.Automaton(block, totals, n, int((totals[0][0] > 0).sum()), 1, lm_score.Settings())
+    sums = np.add.reduceat(automaton.read(piece), block.starts)
+    assert sums.tolist() == [pytest.approx(e[3], rel=1e-9) for e in expected]
+
+
+def plain_totals(block, length, order):
+    """What all blocks together would say of a block that is alone."""
+    keys, number = block.grams(length)
+    out = np.zeros((4, len(keys)), np.int64)
+    out[0] = block.counts(number, len(keys))
+    if length < order:
+        _, longer = block.grams(length + 1)
+        seen = set()
+        out[3] = out[0]
+        for at in np.flatnonzero((longer >= 0) & block.learn):
+            history = number[at - 1]
+            out[3, history] -= 1
+            if longer[at] not in seen:
+                seen.add(longer[at])
+                out[2, history] += 1
+    return out
+
+
+def test_lm_scores_with_the_settings_of_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(tuple(r) for r in docs.collect())
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    _, expected = brute_scores(rows, learn, lm_score.Settings())
+    got = {r["doc_id"]: r for r in QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.01").collect()}
+    for (i, _), e in zip(rows, expected, strict=True):
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == e[:2]
+        assert got[i]["base_score"] == pytest.approx(e[2], rel=1e-9) and got[i]["score"] == pytest.approx(e[3], rel=1e-9)
+
+
+def test_two_models_do_not_mix(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a c"), (3, "c c a b")], ODD_SCHEMA)
+    rows = [tuple(r) for r in docs.collect()]
+    for keep in (1, 2, 1):
+        _, expected = brute_scores(rows, [i != keep for i, _ in rows], lm_score.Settings())
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, train=F.col("doc_id") != keep).collect()}
+        assert got == {i: pytest.approx(e[3], rel=1e-9) for (i, _), e in zip(rows, expected)}
+
+
 def test_lm_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "a b a c a b"), (2, "b a c"), (3, "c c a b")], ODD_SCHEMA)
     probes = ["a", "b", "c", "zzz"]
