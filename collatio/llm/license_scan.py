@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
+from .common import all_cores, ascii_lower
 
 # Phrases and the labels that they stand for.
 PHRASES = {
@@ -27,8 +27,7 @@ PHRASES = {
 }
 # Openings of common notices, in words, and the labels that they stand for.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2.0",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "asl-text",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit-text",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-text",
     "gnu lesser general public license": "lgpl",
@@ -62,40 +61,46 @@ def templates(spark: SparkSession) -> DataFrame:
     return table.select("template", "label", "phrase", (F.size("words") - 1).alias("pairs"), F.posexplode(_pairs(F.col("words"))).alias("at", "pair"))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int = 3, coverage: float = 0.7) -> DataFrame:
-    """Verified spans: (id, h, template, label, phrase, first_word, last_word, score), h being the hash of the text.
+def _spans(docs: DataFrame, key: str, text: str, drift: int, coverage: float) -> DataFrame:
+    """Verified spans, and for each text one row without a template, which says how many words it has and how often it is there.
 
-    ``drift``: words by which neighbouring diagonals of one span may differ; ``coverage``: least share of a notice.
-    """
-    spark = docs.sparkSession
+    So one scan gives both: after its pairs each text has one more that no words can make, and only that row has no template."""
     worded = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), words(F.col(text)).alias("words"))
-    grams = worded.select("id", "h", F.posexplode(_pairs(F.col("words"))).alias("place", "pair"))
-    hits = grams.join(F.broadcast(templates(spark)), "pair")  # the templates are constants
-    by = ["id", "h", "template", "label", "phrase", "pairs"]
-    diagonals = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*by, "diagonal").agg(F.collect_set("at").alias("seen"))
-    diagonals = diagonals.where("phrase and size(seen) = pairs or not phrase")
+    none = F.xxhash64(F.lit(""), F.lit(""))
+    grams = worded.select("id", "h", F.size("words").alias("n_words"), F.posexplode(F.concat(_pairs(F.col("words")), F.array(none))).alias("place", "pair"))
+    own = templates(docs.sparkSession)
+    extra = docs.sparkSession.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("phrase"), F.lit(1).alias("pairs"), F.lit(0).alias("at"), none.alias("pair"))
+    hits = grams.join(F.broadcast(own.union(extra)), "pair")  # the templates are constants
+    by = ["id", "h", "n_words", "template", "label", "phrase", "pairs"]
+    diagonals = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*by, "diagonal").agg(F.collect_set("at").alias("seen"), F.count(F.lit(1)).alias("times"))
+    diagonals = diagonals.where("phrase is null or not phrase or size(seen) = pairs")
     row = Window.partitionBy("id", "h", "template").orderBy("diagonal")
     apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(row) > drift)
     merged = diagonals.withColumn("group", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*by, "group").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+    merged = merged.groupBy(*by, "group").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.max("times").alias("times"))
     score = F.size("seen") / F.col("pairs")
-    return merged.select("id", "h", "template", "label", "phrase", F.greatest(F.col("low") + F.array_min("seen"), F.lit(0)).cast("bigint").alias("first_word"), (F.col("high") + F.array_max("seen") + 1).cast("bigint").alias("last_word"), score.alias("score")).where(F.col("score") >= coverage)
+    first, last = F.greatest(F.col("low") + F.array_min("seen"), F.lit(0)), F.col("high") + F.array_max("seen") + 1
+    return merged.select("id", "h", "n_words", "template", "label", "phrase", first.cast("bigint").alias("first_word"), last.cast("bigint").alias("last_word"), score.alias("score"), "times").where(F.col("score") >= coverage)
+
+
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int = 3, coverage: float = 0.7) -> DataFrame:
+    """Verified spans: (id, h, template, label, phrase, first_word, last_word, score), h being the hash of the text.
+
+    ``drift``: words by which neighbouring diagonals of one span may differ; ``coverage``: least share of a notice.
+    """
+    return _spans(docs, key, text, drift, coverage).where("template >= 0").drop("n_words", "times")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int = 3, coverage: float = 0.7) -> DataFrame:
     """Per row: (key), n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = spans(docs, key, text)
+    found = _spans(all_cores(docs.select(key, text)), key, text, drift, coverage)
     base = F.col("phrase")
     start = F.when(base, F.col("first_word"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    by_doc = found.groupBy("id", "h").agg(
-        F.count_if(base).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
-        joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("score").alias("score"),
-    )
-    all_ = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("kh"), F.size(words(F.col(text))).cast("bigint").alias("n_words"))
-    out = all_.join(by_doc, F.col("k").eqNullSafe(F.col("id")) & (F.col("kh") == F.col("h")), "left")
-    none = F.lit("")
-    return out.select(
-        F.col("k").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    real = F.col("template") >= 0
+    by_doc = found.groupBy("id", "h", "n_words").agg(
+        F.count_if(base).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"), joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"),
+        F.coalesce(F.max(F.when(real, F.col("score"))), F.lit(0.0)).alias("score"), F.max(F.when(~real, F.col("times"))).alias("times"),
     )
+    each = by_doc.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))  # repeated rows each get theirs
+    return each.select(F.col("id").alias(key), F.col("n_words").cast("bigint").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
