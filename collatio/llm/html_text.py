@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import all_cores, as_bytes, bounded_batches
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 #: Elements whose content is dropped. Without an end tag only the first two run to the end of the page.
@@ -306,4 +306,4 @@ def extract(pages: DataFrame, page: str = "html", column: str = "main_text", win
         for b in batches:
             yield pa.array([main_text(raw.decode("utf-8", "replace"), window, surge) for raw in b.to_pylist()], pa.string())
 
-    return pages.withColumn(column, F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(page))))
+    return all_cores(pages).withColumn(column, F.arrow_udf(run, "string", F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(page))))

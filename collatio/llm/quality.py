@@ -8,7 +8,8 @@ columns (one-hot bins of the logarithm). Whole texts are read. The machine is fi
 rows, the bound being the parameter ``max_rows``.
 
 Defined results: a null text counts as empty; an empty text has no words and gets a score from its statistics; null or
-negative metadata has a bin of its own; several labels of one document are averaged; with no labelled row, or with
+negative metadata has a bin of its own; several labels of one document are averaged; of rows that repeat a
+key the smallest is learnt from; with no labelled row, or with
 labels of one kind only, the score is the (smoothed) share of label 1. Repeated rows get equal scores. Only the named
 columns are read, so further columns of any name pass untouched.
 """
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, hash_below, sample_rate
+from .common import all_cores, as_bytes, bounded_batches, hash_below, sample_rate
 
 WORD_BITS = 14
 WORDS = 1 << WORD_BITS
@@ -146,19 +147,21 @@ def _inputs(text: str, metadata: tuple[str, ...]):
     return [as_bytes(F.col(text)), *(F.col(m).cast("double") for m in metadata)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_rows: int = 6000, **options) -> FactorisationMachine:
-    """Fitted on at most about ``max_rows`` labelled documents, chosen by the hash of the key."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_rows: int = 6000, max_bytes: int = 64 << 20, **options) -> FactorisationMachine:
+    """Fitted on about ``max_rows`` labelled documents, or on about ``max_bytes`` of text, if that is less; chosen by the
+    hash of the key. A key that repeats counts once, with its smallest text."""
     if len(metadata) > MAX_METADATA:
         raise ValueError(f"at most {MAX_METADATA} metadata columns")
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    rate = sample_rate(marks.count(), max_rows)
+    text_bytes = docs.agg(F.avg(F.octet_length(text)).alias("b")).first()["b"] or 1.0  # of a text, on average
+    rate = sample_rate(marks.count(), min(max_rows, max(1, int(max_bytes / max(1.0, text_bytes)))))
     # at most about max_rows rows of two numbers: a proven bound for the broadcast
     chosen = F.broadcast(marks.where(hash_below(F.col("k"), rate)))
     columns = _inputs(text, metadata)
     named = [c.alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = docs.select(F.col(key).alias("k"), *named).join(chosen, "k").dropDuplicates(["k"]).select("k", "y", *[f"c{i}" for i in range(len(columns))])
+    rows = docs.select(F.col(key).alias("k"), F.struct(*named).alias("row")).join(chosen, "k").groupBy("k", "y").agg(F.min("row").alias("row")).select("k", "y", "row.*")
 
     def features(batches):
         make = Featurizer()
@@ -189,4 +192,4 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", colu
         yield from scores((b,) for b in batches)
 
     run = F.arrow_udf(scores if model.metadata else one, "double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.withColumn(column, run(*_inputs(text, model.metadata)))
+    return all_cores(docs).withColumn(column, run(*_inputs(text, model.metadata)))
