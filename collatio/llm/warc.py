@@ -3,13 +3,14 @@
 Writing: every task writes archives of gzip members, one for each record, and the driver commits the list of files, so
 archives of failed or repeated tasks are never read. A member's gzip header has a field with the member's length.
 
-Reading: the driver plans partitions of whole files. A partition parses the headers of each record first; predicates on
+Reading: the driver plans partitions: of archives written here parts that begin at records, by the places that their
+writer listed, of others whole files. A partition parses the headers of each record first; predicates on
 headers (record type, id, target, digest) are pushed down to it, and the payload of a record that fails one, or whose
 type is not in the option ``payloads``, is skipped by the member's length without being inflated (archives of other
 writers, without that field, are inflated in pieces and thrown away).
 
 Options: ``path``; ``payloads``: record types whose payload is decoded, comma-separated (default ``response``; ``none``);
-``archive_bytes``: size at which a task begins another archive. Paths are those that pyarrow can open (file, hdfs, s3, gs).
+``archive_bytes``: size at which a task begins another archive; ``partition_bytes``: size of the parts. Paths are those that pyarrow can open (file, hdfs, s3, gs).
 
 Defined results: null payloads count as empty, null targets and ids are left out of the headers and read as null;
 repeated records are written and read each; an archive without records, or an empty folder, gives no rows.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, shared_path, stored
+from .common import all_cores, bounded_batches, shared_path, stored
 
 SCHEMA = (
     "record_id string, warc_type string, target_uri string, payload_digest string, refers_to string, "
@@ -42,7 +43,8 @@ HEADERS = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "target_uri"
 LENGTH = "X-Payload-Length"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"  # the tables hold no date of capture
-_MANIFEST = "_archives.json"
+_MANIFEST = "_archives-"
+PARTITION_BYTES = 32 << 20
 _FIELD = b"CL"
 
 
@@ -80,26 +82,31 @@ def record(row: dict) -> bytes:
 
 @dataclass
 class Archives(WriterCommitMessage):
-    files: list[str]
+    files: dict[str, list[int]]  # of each archive the places at which a reader may begin, and its size
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.limit = options["path"].rstrip("/"), int(options.get("archive_bytes", 256 << 20))
+        self.part = int(options.get("partition_bytes", PARTITION_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         store, root = opened(self.path)
         store.create_dir(root, recursive=True)
-        files, out, size = [], None, 0
+        files: dict[str, list[int]] = {}
+        out, size, places = None, 0, []
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None:
-                        files.append(f"{uuid.uuid4().hex}.warc.gz")  # a new name for every attempt
-                        out, size = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
+                        name, size, places = f"{uuid.uuid4().hex}.warc.gz", 0, [0, 0]  # a new name for every attempt
+                        files[name], out = places, store.open_output_stream(f"{root}/{name}", compression=None)
+                    if size - places[-2] >= self.part:
+                        places.insert(-1, size)
                     data = member(record(row))
                     out.write(data)
                     size += len(data)
+                    places[-1] = size
                     if size >= self.limit:
                         out.close()
                         out = None
@@ -111,10 +118,9 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Archives | None]) -> None:
         store, root = opened(self.path)
         store.create_dir(root, recursive=True)
-        known = _committed(store, root) or []
-        names = known + [f for m in messages if m for f in m.files]
-        with store.open_output_stream(f"{root}/{_MANIFEST}") as out:
-            out.write(json.dumps(sorted(names)).encode())
+        files = {name: places for m in messages if m for name, places in m.files.items()}
+        with store.open_output_stream(f"{root}/{_MANIFEST}{uuid.uuid4().hex}.json") as out:  # its own: writers do not meet
+            out.write(json.dumps(files, sort_keys=True).encode())
 
     def abort(self, messages: list[Archives | None]) -> None:
         store, root = opened(self.path)
@@ -123,16 +129,45 @@ class WarcWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{f}")
 
 
-def _committed(store: fs.FileSystem, root: str) -> list[str] | None:
-    if store.get_file_info(f"{root}/{_MANIFEST}").type != fs.FileType.File:
-        return None
-    with store.open_input_stream(f"{root}/{_MANIFEST}") as f:
-        return json.loads(f.read())
+def _committed(store: fs.FileSystem, listed: dict[str, fs.FileInfo]) -> dict[str, list[int]] | None:
+    """Of each committed archive the places at which a reader may begin, and its size; None where no list is."""
+    lists = [i.path for name, i in sorted(listed.items()) if name.startswith(_MANIFEST)]
+    out: dict[str, list[int]] = {}
+    for path in lists:
+        with store.open_input_stream(path) as f:
+            out |= json.loads(f.read())
+    return out if lists else None
+
+
+@dataclass
+class Span:
+    """What one task reads of an archive; without an end all of it."""
+
+    path: str
+    begin: int = 0
+    end: int | None = None
 
 
 @dataclass
 class Files(InputPartition):
-    names: list[str]
+    spans: list[Span]
+
+
+class Part:
+    """The bytes of a file from one place to another."""
+
+    def __init__(self, raw, begin: int, end: int | None):
+        self.raw, self.end = raw, end
+        raw.seek(begin)
+
+    def read(self, n: int) -> bytes:
+        return self.raw.read(n if self.end is None else max(0, min(n, self.end - self.raw.tell())))
+
+    def seek(self, at: int) -> None:
+        self.raw.seek(at if self.end is None else min(at, self.end))
+
+    def tell(self) -> int:
+        return self.raw.tell()
 
 
 class Inflated:
@@ -239,7 +274,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         self.payloads = {x.strip() for x in options.get("payloads", "response").split(",")} - {"none", ""}
-        self.partition_bytes = int(options.get("partition_bytes", 32 << 20))
+        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.tests: list[tuple[str, tuple]] = []
 
     def pushFilters(self, filters):
@@ -253,18 +288,21 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         store, root = opened(self.path)
         if store.get_file_info(root).type == fs.FileType.File:
-            return [Files([root])]
-        listed = {i.base_name: i for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if re.search(r"\.warc(\.gz)?$", i.base_name)}
-        committed = _committed(store, root)
-        names = sorted(listed if committed is None else committed)
+            return [Files([Span(root)])]
+        listed = {i.base_name: i for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True))}
+        committed = _committed(store, listed)
+        if committed is None:  # of another writer: whole files
+            found = [(Span(i.path), i.size) for name, i in sorted(listed.items()) if re.search(r"\.warc(\.gz)?$", name)]
+        else:
+            found = [(Span(f"{root}/{name}", a, b), b - a) for name, places in sorted(committed.items()) for a, b in zip(places, places[1:])]
         out: list[Files] = []
         size = self.partition_bytes
-        for name in names:
+        for span, n in found:
             if size >= self.partition_bytes:
                 out.append(Files([]))
                 size = 0
-            out[-1].names.append(f"{root}/{name}")
-            size += listed[name].size
+            out[-1].spans.append(span)
+            size += n
         return out or [Files([])]  # without any partition Spark would read one of its own making
 
     def _wanted(self, headers: dict[str, str]) -> int:
@@ -277,9 +315,9 @@ class WarcReader(DataSourceReader):
         store, _ = opened(self.path)
         schema = pa.schema([pa.field(n, pa.int64() if n == "payload_length" else pa.binary() if n == "payload" else pa.string()) for n in (x.split()[0] for x in SCHEMA.split(", "))])
         rows, size = [], 0
-        for name in partition.names:
-            with store.open_input_file(name) as raw:
-                for headers, block in Inflated(raw).records(self._wanted):
+        for span in partition.spans:
+            with store.open_input_file(span.path) as raw:
+                for headers, block in Inflated(Part(raw, span.begin, span.end)).records(self._wanted):
                     head, _, payload = block.partition(b"\r\n\r\n") if block is not None else (b"", b"", None)
                     inner = parse_headers(head)
                     row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
@@ -317,21 +355,23 @@ def register(spark: SparkSession) -> None:
     bounded_batches(spark)
 
 
-def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least: int = 1000, small_rows: int = 100_000) -> DataFrame:
+def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", least: int = 1000) -> DataFrame:
     """Records (see SCHEMA) of pages. Of records with equal payloads of at least ``least`` bytes that with the largest key
-    is the response and the others revisit it; rows that repeat the largest key are responses each."""
+    is the response and the others revisit it; rows that repeat the largest key are responses each.
+
+    Which record revisits which is found on keys and digests alone; the pages then meet only their own key and digest, so
+    a payload that many pages have is no hot key."""
     payload = F.coalesce(F.encode(F.col(body), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("bigint")})
-    slim = pages.select(F.col(key).alias("k"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    many = slim.where(F.col("n") >= least).groupBy("digest").agg(F.max("k").alias("keeper"), F.min("k").alias("low")).where("low <> keeper").select("digest", "keeper")
-    many = stored(many, "payloads")
-    # few repeated payloads are sent to all tasks, and the pages stay where they are; beyond the bound both sides are shuffled
-    found = rows.join(F.broadcast(many) if many.count() <= small_rows else many, "digest", "left")
-    again = F.coalesce((F.col("payload_length") >= least) & (F.col("k") != F.col("keeper")), F.lit(False))
+    rows = all_cores(pages.select(F.col(key).alias("k"), F.col(url).alias("target_uri"), payload.alias("payload"))).withColumns({"digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("bigint")})
+    slim = pages.select(F.col(key).alias("k"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
+    keepers = slim.groupBy("digest").agg(F.max("k").alias("keeper"), F.min("k").alias("low")).where("low <> keeper").select("digest", "keeper")
+    again = stored(slim.select("k", "digest").join(keepers, "digest").where("k <> keeper").distinct(), "revisits")
+    found = rows.join(again, ["k", "digest"], "left")
+    revisit = F.col("keeper").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return found.select(
-        urn(F.col("k")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("warc_type"), "target_uri", F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
-        F.when(again, urn(F.col("keeper"))).alias("refers_to"), "payload_length", F.lit(None).cast("string").alias("content_type"), F.when(~again, F.col("payload")).alias("payload"),
+        urn(F.col("k")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("warc_type"), "target_uri", F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
+        F.when(revisit, urn(F.col("keeper"))).alias("refers_to"), "payload_length", F.lit(None).cast("string").alias("content_type"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 

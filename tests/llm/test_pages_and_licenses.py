@@ -54,6 +54,20 @@ def test_headers_push_down_and_payloads_stay_closed(spark):
     assert "http://b/%0D%0AInjected: 1" in urls and None in urls
 
 
+def test_archives_are_read_in_parts(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", hashlib.sha1(str(i).encode()).hexdigest() * (i % 40 + 1)) for i in range(400)], "page_id bigint, url string, html string").coalesce(1)
+    path = warc.shared_path(spark, "warc")
+    warc.register(spark)
+    warc.to_records(pages).coalesce(1).write.format("warc").option("partition_bytes", 4000).option("archive_bytes", 60_000).mode("append").save(path)
+    reader = warc.WarcReader({"path": path, "partition_bytes": "4000"})
+    parts = reader.partitions()
+    spans = [s for p in parts for s in p.spans]
+    assert len(parts) > 10 and len({s.path for s in spans}) < len(spans)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["target_uri"] for r in rows) == sorted(f"u{i}" for i in range(400))
+    assert spark.read.format("warc").option("partition_bytes", 4000).load(path).where("warc_type = 'response'").count() == sum(r["warc_type"] == "response" for r in rows)
+
+
 def record_bytes(kind, body, n=1):
     return warc.record({"record_id": f"<urn:page:{n}>", "warc_type": kind, "target_uri": "u", "payload_digest": None, "refers_to": None, "payload_length": len(body), "content_type": None, "payload": body})
 
