@@ -24,7 +24,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import count, islice, repeat
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -202,12 +202,13 @@ class Pieces:
         ahead[0] = 0.0
 
         def offer(j: np.ndarray | int, who: np.ndarray, here: np.ndarray, i: int, by: np.ndarray | int) -> None:
-            best = ahead[j, who]
+            to, next_to = ahead[j], second[j]
+            best = to[who]
             better = here >= best  # among equals the later start, as in the lattice's order
-            second[j, who] = np.where(better, best, np.maximum(second[j, who], here))
+            next_to[who] = np.where(better, best, np.maximum(next_to[who], here))
             won = who[better]
-            ahead[j, won], start[j, won] = here[better], i
-            piece[j, won] = by if isinstance(by, int) else by[better]
+            to[won], start[j][won] = here[better], i
+            piece[j][won] = by if isinstance(by, int) else by[better]
 
         for i in range(longest):
             who = np.arange(int(np.searchsorted(-sizes, -i, "left")))  # parts longer than i stand first
@@ -294,40 +295,44 @@ class Pieces:
         if len(self.known.number) > self.remember:
             self.forget()
         parts = [self.parts.findall(" " + t) if t else [] for t in texts]
+        every = list(chain.from_iterable(parts))
         get = self.known.number.get
-        numbers = [np.fromiter(map(get, own, repeat(-1)), np.int64, len(own)) for own in parts]
-        missing = [np.flatnonzero(at < 0).tolist() for at in numbers]
-        if new := {own[i] for own, some in zip(parts, missing, strict=True) for i in some}:
-            self.learn(list(new))
-        known, out = self.known, []
-        for own, at, some in zip(parts, numbers, missing, strict=True):
-            if not own:
-                out.append([(0.0, np.zeros(0, np.int32))])
-                continue
-            if some:
-                at[some] = [get(own[i]) for i in some]
-            sizes = known.sizes[at]
-            ends = np.cumsum(sizes)
-            ids = known.flat[np.arange(ends[-1]) + np.repeat(known.starts[at] - ends + sizes, sizes)]
-            best = [(float(known.score[at].sum()), ids)]
-            out.append(best if n == 1 else best + self._next_best(own, n, best[0], known.score[at], known.loss[at], ends - sizes, ends))
+        at = np.fromiter(map(get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [every[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(names)))
+            at[missing] = np.fromiter(map(get, names), np.int64, len(names))
+        known = self.known
+        sizes, scores, losses = known.sizes[at], known.score[at], known.loss[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = known.flat[np.arange(ends[-1]) + np.repeat(known.starts[at] - ends[:-1], sizes)]
+        out, first = [], 0
+        for own in parts:
+            last = first + len(own)
+            ids = flat[ends[first] : ends[last]]
+            best = (float(scores[first:last].sum()), ids)
+            out.append([best] if n == 1 or not own else [best, *self._next_best(own, n, best, scores[first:last], losses[first:last], ends[first : last + 1] - ends[first])])
+            first = last
         return out
 
-    def _next_best(self, parts: list[str], n: int, best: tuple[float, np.ndarray], scores: np.ndarray, losses: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[float, np.ndarray]]:
+    def _next_best(self, parts: list[str], n: int, best: tuple[float, np.ndarray], scores: np.ndarray, losses: np.ndarray, ends: np.ndarray) -> list[tuple[float, np.ndarray]]:
         """The second to the n-th best combinations of the parts' segmentations."""
         # a part outside the n - 1 smallest losses cannot change: each of those n - 1 alone does better
         some = np.argpartition(losses, n - 2)[: n - 1] if len(losses) >= n else np.arange(len(losses))
         free = sorted(i for i in some.tolist() if losses[i] < NEVER)
-        options = [[(float(scores[i]) - s, b) for s, b in self.others(parts[i], n)] for i in free]
+        options = [self.others(parts[i], n) for i in free]
         sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for choice in options:
-            sums = heapq.nsmallest(n, ((loss + more, picks + (k,)) for loss, picks in sums for k, (more, _) in enumerate(choice)))
+        for i, choice in zip(free, options, strict=True):
+            own = float(scores[i])
+            sums = sorted((loss + own - score, picks + (k,)) for loss, picks in sums for k, (score, _) in enumerate(choice))[:n]
         out, (total, ids) = [], best
         for loss, picks in sums[1:]:
             pieces, last = [], 0
             for i, k, choice in zip(free, picks, options, strict=True):
-                pieces += [ids[last : begins[i]], choice[k][1]]
-                last = ends[i]
+                if k:
+                    pieces += [ids[last : ends[i]], choice[k][1]]
+                    last = ends[i + 1]
             out.append((total - loss, np.concatenate([*pieces, ids[last:]])))
         return out
 
