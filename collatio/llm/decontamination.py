@@ -127,13 +127,22 @@ def halves(texts: list[np.ndarray], weight: np.ndarray, step: int) -> tuple[np.n
     return flat[at], row, owner, place, follows
 
 
-def _sum_by(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by a rising group number."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(group):
-        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        out[group[starts]] = np.add.reduceat(values, starts, axis=0)
-    return out
+def _sums(matrix: np.ndarray, rows: np.ndarray, group: np.ndarray, large: int = 64) -> np.ndarray:
+    """For each of the numbers in ``group``, which rise from 0 without gaps, the sum of its rows of the matrix."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(starts, len(group)))
+    order = np.argsort(-sizes, kind="stable")
+    first, left = starts[order], sizes[order]
+    out = matrix[rows[first]]
+    for i in range(int(np.searchsorted(-left, -large, "left"))):  # one by one
+        out[i] = matrix[rows[first[i] : first[i] + left[i]]].sum(axis=0)
+    small = int(np.searchsorted(-left, -large, "left"))
+    for k in range(1, int(left[small]) if small < len(left) else 0):  # the k-th rows of all groups at once
+        on = int(np.searchsorted(-left, -k, "left"))
+        out[small:on] += matrix[rows[first[small:on] + k]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def _paired(halves: np.ndarray, follows: np.ndarray) -> np.ndarray:
@@ -265,15 +274,14 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
         ids, row, owner, _, follows = halves(texts, weight, settings.half)
         if not len(ids):
             return
-        seen = _paired(_sum_by(projection[ids], row, len(owner)), follows)  # a Omega of each passage
+        seen = _paired(_sums(projection, ids, row), follows)  # a Omega of each passage
         both = seen.copy()
         after = np.flatnonzero(follows) + 1
         both[after] += seen[after - 1]  # a half is in the passage that it begins and in the one before
         order = np.argsort(ids.astype(np.uint16) if len(weight) < 1 << 16 else ids, kind="stable")
         own_ids = ids[order]
-        starts = np.flatnonzero(np.concatenate(([True], own_ids[1:] != own_ids[:-1])))
-        words_ = own_ids[starts]
-        total[words_] += np.add.reduceat(both[row[order]], starts, axis=0) * weight[words_, None]
+        words_, number = np.unique(own_ids, return_inverse=True)
+        total[words_] += _sums(both, row[order], number) * weight[words_, None]
 
     y = _pass(tokens, latent, sketch, width)
     scratch.drop()
@@ -409,7 +417,7 @@ def _similar(latent: Latent, items: Items, texts: list[np.ndarray]) -> list[dict
     numbers, row, owner, place, follows = halves(texts, weight[:-1], step)
     if not len(numbers) or not len(items.owners) or not latent.projection.size:
         return out
-    passages = _unit(_paired(_sum_by(latent.projection[latent.slots[numbers]], row, len(owner)), follows))
+    passages = _unit(_paired(_sums(latent.projection, latent.slots[numbers], row), follows))
     marks = _around(numbers.astype(np.int64), row, owner, place)
     lengths = np.array([len(i) for i in items.ids])
     rare = np.array([len(r) for r in items.rare])
