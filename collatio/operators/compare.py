@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from ..functions.equality import canonical, same
 from ..functions.tokens import MURMUR3, Domain, key_text, md5_number, token
-from ..spec import MATCHED, SKIPPED, MismatchType, SpecificTokens, TableSpec, quoted
+from ..spec import ERROR, MATCHED, SKIPPED, MismatchType, Side, SpecificTokens, TableSpec, quoted
 from .filters import allowed, sampled
 
 COUNTS = ("matched_rows", "matched_values", "mismatched_values")
@@ -51,6 +51,9 @@ def _flipped(column: Column, kind: T.DataType) -> Column | None:
         return F.bitwise_not(F.unix_date(column))
     if isinstance(kind, T.TimestampType):
         return F.bitwise_not(F.unix_micros(column))
+    if isinstance(kind, T.TimestampNTZType):  # by its fields, as no time zone may come in
+        seconds = F.unix_date(column.cast("date")).cast("bigint") * 86400 + F.hour(column) * 3600 + F.minute(column) * 60
+        return F.bitwise_not(seconds * 1_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint"))
     return None
 
 
@@ -191,6 +194,28 @@ def repeated_keys(table: DataFrame, spec: TableSpec) -> DataFrame:
     return table.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+#: Column of a side that says which rows could not be read; see ``readable``.
+UNREADABLE = "__unreadable"
+
+
+def readable(table: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The table with columns read as the given types, and a flag on rows whose text is not of its type.
+
+    One bad value is an error of its partition alone, not of the whole comparison."""
+    bad = [F.col(quoted(c)).isNotNull() & F.col(quoted(c)).try_cast(kind).isNull() for c, kind in kinds.items()]
+    columns = [F.col(quoted(c)).try_cast(kinds[c]).alias(c) if c in kinds else F.col(quoted(c)) for c in table.columns]
+    return table.select(*columns, reduce(lambda x, y: x | y, bad, F.lit(False)).alias(UNREADABLE))
+
+
+def broken_partitions(source: DataFrame, target: DataFrame, spec: TableSpec) -> DataFrame:
+    """(p0.., error_source) of every partition with a row that could not be read; SOURCE where both sides have one."""
+    sides = [
+        t.where(F.col(UNREADABLE)).select(*[F.col(quoted(c)).alias(f"p{i}") for i, c in enumerate(spec.partition_key)], F.lit(side.value).alias("error_source"))
+        for t, side in ((source, Side.SOURCE), (target, Side.TARGET)) if UNREADABLE in t.columns
+    ]
+    return reduce(DataFrame.unionByName, sides).groupBy(*[f"p{i}" for i in range(len(spec.partition_key))]).agg(F.min("error_source").alias("error_source"))
+
+
 def partition_stats(
     source: DataFrame, target: DataFrame, spec: TableSpec, *, plan: str = "spread", domain: Domain = MURMUR3, tokens: SpecificTokens | None = None,
     sampling: float = 1.0, reverse_probability: float = 0.0, job_id: str = "", strict_float: bool = False,
@@ -198,7 +223,8 @@ def partition_stats(
     """One row for each partition of either side: partition key, token, status, clusterings_match, matched_rows,
     matched_values, mismatched_values.
 
-    status is ONLY_IN_SOURCE, ONLY_IN_TARGET, MATCHED, PARTITION_MISMATCH or SKIPPED (its token is not to be compared).
+    status is ONLY_IN_SOURCE, ONLY_IN_TARGET, MATCHED, PARTITION_MISMATCH, SKIPPED (its token is not to be compared) or
+    ERROR (a row of it could not be read, see ``readable``; nothing of it is counted).
     Keys on both sides that sampling leaves out have no row; keys on one side are never left out nor skipped.
     """
     for column in (*spec.partition_key, *spec.clustering, *spec.regular):
@@ -215,15 +241,19 @@ def partition_stats(
     both = F.col("has_s") & F.col("has_t")
     found = summed.withColumn("token", token([F.col(k) for k in keys], domain))
     found = found.where(~both | sampled([F.col(k) for k in keys], sampling, job_id))
-    skip = both & ~allowed(F.col("token"), tokens)
+    skip, failed = both & ~allowed(F.col("token"), tokens), F.lit(False)
+    if UNREADABLE in source.columns or UNREADABLE in target.columns:
+        bad = broken_partitions(source, target, spec).select(*[F.col(k).alias(f"e_{k}") for k in keys], "error_source")
+        found = found.join(bad, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in keys]), "left")
+        failed = both & ~skip & F.col("error_source").isNotNull()
     status = (
-        F.when(~F.col("has_t"), MismatchType.ONLY_IN_SOURCE.value).when(~F.col("has_s"), MismatchType.ONLY_IN_TARGET.value).when(skip, SKIPPED)
+        F.when(~F.col("has_t"), MismatchType.ONLY_IN_SOURCE.value).when(~F.col("has_s"), MismatchType.ONLY_IN_TARGET.value).when(skip, SKIPPED).when(failed, ERROR)
         .when(F.col("clusterings_match") & (F.col("mismatched_values") == 0), MATCHED).otherwise(MismatchType.PARTITION_MISMATCH.value)
     )
-    count = lambda c: F.when(skip, F.lit(0)).otherwise(F.col(c)).cast("bigint").alias(c)
+    count = lambda c: F.when(skip | failed, F.lit(0)).otherwise(F.col(c)).cast("bigint").alias(c)
     return found.select(*[F.col(k).alias(c) for k, c in zip(keys, spec.partition_key, strict=True)], "token", status.alias("status"), "clusterings_match", *[count(c) for c in COUNTS])
 
 
 def mismatches(stats: DataFrame) -> DataFrame:
     """(token, mismatch_type) of every partition that differs."""
-    return stats.where(~F.col("status").isin(MATCHED, SKIPPED)).select("token", F.col("status").alias("mismatch_type"))
+    return stats.where(~F.col("status").isin(MATCHED, SKIPPED, ERROR)).select("token", F.col("status").alias("mismatch_type"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.tokens import MURMUR3, Domain
-from ..spec import MATCHED, SKIPPED, MismatchType
+from ..spec import ERROR, MATCHED, SKIPPED, MismatchType
 from .splits import split_of
 
 COUNTERS = (
@@ -66,34 +66,21 @@ SUMMARY = (
 def _counters() -> list[Column]:
     status = F.col("status")
     of = {
-        "matched_partitions": MATCHED, "mismatched_partitions": MismatchType.PARTITION_MISMATCH.value, "skipped_partitions": SKIPPED,
+        "matched_partitions": MATCHED, "mismatched_partitions": MismatchType.PARTITION_MISMATCH.value, "skipped_partitions": SKIPPED, "error_partitions": ERROR,
         "only_in_source": MismatchType.ONLY_IN_SOURCE.value, "only_in_target": MismatchType.ONLY_IN_TARGET.value,
     }
-    out = []
-    for c in COUNTERS:
-        if c == "error_partitions":
-            out.append(F.lit(0).cast("bigint").alias(c))
-        elif c in of:
-            out.append(F.count_if(status == of[c]).alias(c))
-        else:
-            out.append(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c))
-    return out
-
-
-def aggregate(stats: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:
-    """The nine counters of partition statistics, over all or by group."""
-    errors = F.lit(0).cast("bigint").alias("error_partitions")
-    counters = [c for n, c in zip(COUNTERS, _counters(), strict=True) if n != "error_partitions"]
-    out = stats.groupBy(*by).agg(*counters)
-    names = [c for c in out.columns if c not in COUNTERS]
-    return out.select(*names, *[errors if c == "error_partitions" else F.col(c) for c in COUNTERS])
+    return [F.count_if(status == of[c]).alias(c) if c in of else F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS]
+
+
+def aggregate(stats: DataFrame, by: Sequence[str | Column] = (), also: Sequence[Column] = ()) -> DataFrame:
+    """The nine counters of partition statistics, over all or by group, and further aggregates."""
+    return stats.groupBy(*by).agg(*_counters(), *also)
 
 
 def by_split(stats: DataFrame, n: int, domain: Domain = MURMUR3) -> DataFrame:
     """Counters and highest token of every split that holds a partition."""
     split = stats.withColumn("split", split_of(F.col("token"), n, domain))
-    counters = aggregate(split, ["split"])
-    return counters.join(split.groupBy("split").agg(F.max("token").alias("highest_token")), "split")
+    return aggregate(split, ["split"], [F.max("token").alias("highest_token")])
 
 
 def accumulate(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:

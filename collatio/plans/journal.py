@@ -1,5 +1,6 @@
 """The journal of jobs: twelve tables of Parquet files that are only ever added to.
 
+Files lie in folders by job and, where the table has one, by bucket, so that what concerns one job reads its files alone.
 A row that is written again under the same key replaces the earlier one when the table is read (the latest write wins),
 and rows older than the time to live are not read. Counters of finished splits and the lookups by cluster, keyspace and
 start time are derived from the other tables rather than kept beside them.
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..operators.stats import COUNTERS, accumulate
 from ..spec import MetadataOptions
+from .store import exists, make_folder, remove, take
 
 log = logging.getLogger(__name__)
 _COUNTS = ", ".join(f"{c} bigint" for c in COUNTERS)
@@ -42,7 +44,8 @@ def latest_rows(rows: DataFrame, key: Iterable[str], oldest: int | None = None)
     """The row of each key that was written last, without those written before ``oldest``."""
     if oldest is not None:
         rows = rows.where(F.col("written_at") >= oldest)
-    order = Window.partitionBy(*key).orderBy(F.desc("written_at"))
+    ties = F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")])  # rows of one append: a fixed one of them
+    order = Window.partitionBy(*key).orderBy(F.desc("written_at"), ties)
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "written_at")
 
 
@@ -58,38 +61,37 @@ class Journal:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _fs(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
     def init(self) -> None:
         """Makes the tables' folders, if the options ask for it; doing so again changes nothing."""
         if self.options.should_init:
             for table in TABLES:
-                fs, path = self._fs(self._path(table))
-                fs.mkdirs(path)
+                make_folder(self.spark, self._path(table))
 
     def append(self, table: str, rows: DataFrame | Iterable[dict[str, Any]]) -> None:
         schema = TABLES[table][1]
         if not isinstance(rows, DataFrame):
             rows = self.spark.createDataFrame(list(rows), schema)
         names = [f.name for f in self.spark.createDataFrame([], schema).schema.fields]
-        rows.select(*names, F.lit(time.time_ns()).alias("written_at")).write.mode("append").parquet(self._path(table))
+        rows = rows.select(*names, F.lit(time.time_ns()).alias("written_at"))
+        folders = [c for c in ("job_id", "bucket") if c in names]
+        if "bucket" in names:
+            rows = rows.repartition("bucket")  # one file for each bucket, not one for each task and bucket
+        rows.write.mode("append").partitionBy(*folders).parquet(self._path(table))
 
-    def _all(self, table: str) -> DataFrame:
+    def _all(self, table: str, job_id: str | None = None) -> DataFrame:
         schema = f"{TABLES[table][1]}, written_at bigint"
-        fs, path = self._fs(self._path(table))
-        if not fs.exists(path):
+        if not exists(self.spark, self._path(table)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(table))
+        rows = self.spark.read.schema(schema).parquet(self._path(table))
+        return rows if job_id is None else rows.where(F.col("job_id") == job_id)
 
-    def read(self, table: str) -> DataFrame:
-        """The latest row of each key that is not past its time to live."""
+    def read(self, table: str, job_id: str | None = None) -> DataFrame:
+        """The latest row of each key that is not past its time to live; with ``job_id`` of that job alone."""
         if table in DERIVED:
             return getattr(self, table)()
         key = TABLES[table][0].split(", ")
         oldest = time.time_ns() - self.options.ttl_seconds * 1_000_000_000
-        out = latest_rows(self._all(table), key, oldest)
+        out = latest_rows(self._all(table, job_id), key, oldest)
         return out.where("running").select("job_id") if table == "running_jobs" else out
 
     def job_status(self) -> DataFrame:
@@ -114,17 +116,14 @@ class Journal:
     # the life of a job
 
     def params(self, job_id: str) -> dict[str, Any] | None:
-        row = self.read("job_summary").where(F.col("job_id") == job_id).first()
+        row = self.read("job_summary", job_id).first()
         return row.asDict() if row else None
 
     def start(self, job_id: str, **summary: Any) -> None:
         """Marks a job as running, which only one run at a time can, and files its summary if it is new."""
-        fs, lock = self._fs(f"{self.root}/locks/{job_id}")
-        fs.mkdirs(lock.getParent())
-        try:
-            fs.create(lock, False).close()  # fails if it is there
-        except Exception as error:
-            raise JobConflict(f"job {job_id} is running already, or ended without a trace; remove {lock} in that case") from error
+        lock = f"{self.root}/locks/{job_id}"
+        if not take(self.spark, lock, new_id()):
+            raise JobConflict(f"job {job_id} is running already, or ended without a trace; remove {lock} in that case")
         self.append("running_jobs", [{"job_id": job_id, "running": True}])
         if self.params(job_id) is None:
             start = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -134,22 +133,21 @@ class Journal:
         """Marks a job as not running; a failure to do so is logged alone."""
         try:
             self.append("running_jobs", [{"job_id": job_id, "running": False}])
-            fs, lock = self._fs(f"{self.root}/locks/{job_id}")
-            fs.delete(lock, False)
+            remove(self.spark, f"{self.root}/locks/{job_id}")
         except Exception:  # noqa: BLE001
             log.exception("job %s cannot be marked as ended", job_id)
 
     def status(self, job_id: str, table: str) -> DataFrame:
         """(split, last_token, counters) of a table's splits, as far as they were read."""
-        rows = self.read("task_status").where((F.col("job_id") == job_id) & (F.col("qualified_table_name") == table))
+        rows = self.read("task_status", job_id).where(F.col("qualified_table_name") == table)
         return rows.select("split", F.col("last_token").cast("bigint").alias("last_token"), *COUNTERS)
 
     def finish(self, job_id: str) -> DataFrame:
         """Sums all splits of a job, whichever run read them, and files the results by table."""
-        rows = self.read("task_status").where(F.col("job_id") == job_id)
+        rows = self.read("task_status", job_id)
         results = accumulate(rows, ["job_id", "qualified_table_name"])
         self.append("job_results", results)
-        return self.read("job_results").where(F.col("job_id") == job_id)
+        return self.read("job_results", job_id)
 
 
 def new_id() -> str:

@@ -1,8 +1,13 @@
 """Jobs: a configuration's tables compared split by split, in waves, with a journal to resume from.
 
-A wave is a share of the splits. All its splits are compared in one pass over both tables, and only when that pass is
-through are its statistics, mismatches and errors filed; a job that was stopped goes on with the waves not filed. Running
-a job again with tokens to accept reads the splits that hold them anew and replaces their statistics.
+A wave is a run of splits. All its splits are compared in one pass over both tables, and only when that pass is
+through are its statistics, mismatches and errors filed; a job that was stopped goes on with the waves not filed, and
+within a split after the last token that was filed for it. Running a job again with tokens to accept reads the splits
+that hold them anew and replaces their statistics.
+
+A value that is not of the type a table's configuration asks for (``casts``) is an error of its partition: that is
+filed and counted, and the job goes on. A pass that fails as a whole is tried again as the configuration says; then the
+side that cannot be read is looked for, its splits are filed as errors, and the job fails.
 """
 
 from __future__ import annotations
@@ -12,20 +17,20 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import domain_of, token
-from ..operators.compare import mismatches, partition_stats, repeated_keys
+from ..functions.tokens import Domain, domain_of, token
+from ..operators.compare import UNREADABLE, broken_partitions, mismatches, partition_stats, readable, repeated_keys
 from ..operators.filters import open_splits
 from ..operators.keys import key_columns
 from ..operators.schema import common_tables
-from ..operators.splits import calculate_splits, filter_splits, split_of, splits_frame
+from ..operators.splits import calculate_splits, check_range, filter_splits, split_of, splits_frame
 from ..operators.stats import COUNTERS, RangeStats, by_split
 from ..sources.providers import Provider, SideError, load_provider, side_of
-from ..spec import JobConfig, Modifier, Side, TableName, TableSpec
+from ..spec import ERROR, JobConfig, Modifier, Side, TableName, TableSpec
 from .journal import Journal, new_id
-from .retry import retry, strategy
+from .retry import Strategy, retry, strategy
 
 log = logging.getLogger(__name__)
 Results = dict[str, RangeStats]
@@ -116,55 +121,110 @@ class DiffJob:
         domain, job_id, name = domain_of(self.source.partitioner), params["job_id"], str(table)
         accept = self.config.specific_tokens
         again = bool(accept.tokens) and accept.modifier is Modifier.ACCEPT
+        listed = calculate_splits(params["splits"], params["buckets"], domain)
+        for split in listed:
+            if split.start != split.end:  # more splits than tokens leave some with one token or none
+                check_range(split.start, split.end, domain)
         splits = splits_frame(self.spark, params["splits"], params["buckets"], domain)
         if again:
-            wanted = [s.number for s in filter_splits(calculate_splits(params["splits"], params["buckets"], domain), accept)]
-            splits = splits.where(F.col("split").isin(wanted))
-        todo = open_splits(splits, self.journal.status(job_id, name).select("split", "last_token"), include_completed=bool(accept.tokens)).drop("resume_after")
-        numbers = [r["split"] for r in todo.select("split").collect()]  # at most as many as the configuration asks for
-        if not numbers:
+            splits = splits.where(F.col("split").isin([s.number for s in filter_splits(listed, accept)]))
+        todo = open_splits(splits, self.journal.status(job_id, name), include_completed=bool(accept.tokens))
+        if accept.tokens:  # read anew: what was counted before does not count again
+            todo = todo.withColumns({c: F.lit(0).cast("bigint") for c in COUNTERS})
+        rows = sorted(todo.select("split", "resume_after").collect())  # at most as many as the configuration asks for
+        if not rows:
             return
+        numbers, resumes = [r["split"] for r in rows], any(r["resume_after"] is not None for r in rows)
         made = strategy(self.config.retry_options)
         source = retry(lambda: self._side(Side.SOURCE, self.source, table), made)
         target = retry(lambda: self._side(Side.TARGET, self.target, table), made)
+        shape = self.config.table_specs.get(name, {})
         spec = self._spec(table, source, target)
-        plan = "spread" if repeated_keys(source, spec).union(repeated_keys(target, spec)).isEmpty() else "positional"
+        if casts := shape.get("casts"):
+            source, target = readable(source, casts), readable(target, casts)
+        plan = shape.get("plan") or ("spread" if repeated_keys(source, spec).union(repeated_keys(target, spec)).isEmpty() else "positional")
         waves = min(self.config.waves, len(numbers))
-        for wave in range(waves):
-            self._wave(table, params, spec, plan, source, target, todo, sorted(numbers)[wave::waves], len(numbers) == params["splits"] and waves == 1)
-
-    def _wave(self, table: TableName, params: dict, spec: TableSpec, plan: str, source: DataFrame, target: DataFrame, todo: DataFrame, wave: list[int], whole: bool) -> None:
+        size = -(-len(numbers) // waves)
+        for at in range(0, len(numbers), size):
+            wave = numbers[at : at + size]
+            mine = todo.where(F.col("split").between(wave[0], wave[-1]))
+            if len(wave) == params["splits"] and not resumes:
+                sides = source, target
+            else:
+                sides = tuple(self._within(side, spec, mine, wave, params["splits"], domain, resumes) for side in (source, target))
+            self._wave(table, params, spec, plan, *sides, mine, wave, made)
+
+    @staticmethod
+    def _within(side: DataFrame, spec: TableSpec, mine: DataFrame, wave: list[int], n: int, domain: Domain, resumes: bool) -> DataFrame:
+        """The rows of a run of splits and, where some were read in part, only those after the last token read."""
+        own = token(key_columns(spec), domain)
+        inside = side.where(split_of(own, n, domain).between(wave[0], wave[-1]))
+        if not resumes:
+            return inside
+        # as many rows as the wave has splits at most, which the configuration bounds
+        done = F.broadcast(mine.where("resume_after is not null").select(F.col("split").alias("__split"), "resume_after"))
+        return inside.join(done, (split_of(own, n, domain) == F.col("__split")) & (own <= F.col("resume_after")), "left_anti")
+
+    def _wave(self, table: TableName, params: dict, spec: TableSpec, plan: str, source: DataFrame, target: DataFrame, mine: DataFrame, wave: list[int], made: Strategy) -> None:
         domain, n, job_id = domain_of(self.source.partitioner), params["splits"], params["job_id"]
-        mine = todo.where(F.col("split").isin(wave))
-        if not whole:
-            inside = split_of(token(key_columns(spec), domain), n, domain).isin(wave)
-            source, target = source.where(inside), target.where(inside)
         began = time.monotonic()
         name = {"job_id": F.lit(job_id), "qualified_table_name": F.lit(str(table))}
         text = lambda c: F.col(c).cast("string").alias(c)
-        try:
+
+        def compare() -> None:
             stats = partition_stats(
                 source, target, spec, plan=plan, domain=domain, tokens=self.config.specific_tokens, sampling=self.config.partition_sampling_probability,
                 reverse_probability=self.config.reverse_read_probability, job_id=job_id,
             ).persist()
+            seen = Observation()
             try:
-                summed = mine.join(by_split(stats, n, domain).drop("highest_token"), "split", "left")
-                status = summed.select("split", "bucket", text("start_token"), text("end_token"), F.col("end_token").cast("string").alias("last_token"), *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in COUNTERS])
+                new = by_split(stats, n, domain).drop("highest_token")
+                summed = mine.join(new.select(F.col("split").alias("__split"), *[F.col(c).alias(f"__{c}") for c in COUNTERS]), F.col("split") == F.col("__split"), "left")
+                zero = F.lit(0).cast("bigint")
+                counts = [(F.coalesce(c, zero) + F.coalesce(f"__{c}", zero)).alias(c) for c in COUNTERS]
+                status = summed.select("split", "bucket", text("start_token"), text("end_token"), F.col("end_token").cast("string").alias("last_token"), *counts)
                 found = mismatches(stats).withColumn("split", split_of(F.col("token"), n, domain)).join(mine.select("split", "bucket"), "split")
                 self.journal.append("mismatches", found.select("bucket", F.col("token").cast("string").alias("mismatching_token"), "mismatch_type").withColumns(name))
-                self.journal.append("task_status", status.withColumns(name))  # last: a wave without it is done again
-                self.metrics.append({"table": str(table), "splits": len(wave), "seconds": time.monotonic() - began})
+                if UNREADABLE in source.columns:
+                    self._file_errors(stats, source, target, spec, mine, n, domain, name)
+                self.journal.append("task_status", status.withColumns(name).observe(seen, *[F.sum(c).alias(c) for c in COUNTERS]))  # last: a wave without it is done again
+                self.metrics.append({"table": str(table), "splits": len(wave), "seconds": time.monotonic() - began, **{c: seen.get[c] or 0 for c in COUNTERS}})
                 log.info("%s: %d splits in %.1f s", table, len(wave), self.metrics[-1]["seconds"])
             finally:
                 stats.unpersist()
+
+        try:
+            retry(compare, made)
         except Exception as error:
+            blamed = self._blamed(source, target, error)
             try:  # a journal that cannot be written must not hide what went wrong
                 bad = mine.select("bucket", text("start_token"), text("end_token")).withColumns(name)
                 self.journal.append("task_errors", bad)
-                self.journal.append("partition_errors", bad.withColumns({"error_token": F.col("start_token"), "error_source": F.lit(side_of(error))}))
+                self.journal.append("partition_errors", bad.withColumns({"error_token": F.col("start_token"), "error_source": F.lit(side_of(blamed))}))
             except Exception:  # noqa: BLE001
                 log.exception("the errors of %s cannot be filed", table)
-            raise
+            raise blamed from error
+
+    def _file_errors(self, stats: DataFrame, source: DataFrame, target: DataFrame, spec: TableSpec, mine: DataFrame, n: int, domain: Domain, name: dict) -> None:
+        """The partitions that could not be read, and the splits that hold them."""
+        keys = [f"p{i}" for i in range(len(spec.partition_key))]
+        sides = broken_partitions(source, target, spec).select(token([F.col(k) for k in keys], domain).alias("token"), "error_source").distinct()
+        failed = stats.where(F.col("status") == ERROR).select("token").join(sides, "token").withColumn("split", split_of(F.col("token"), n, domain))
+        text = lambda c: F.col(c).cast("string").alias(c)
+        failed = failed.join(mine.select("split", "bucket", "start_token", "end_token"), "split").select("bucket", text("start_token"), text("end_token"), F.col("token").cast("string").alias("error_token"), "error_source").withColumns(name)
+        self.journal.append("partition_errors", failed)
+        self.journal.append("task_errors", failed.select("bucket", "start_token", "end_token", *name).distinct())
+
+    def _blamed(self, source: DataFrame, target: DataFrame, error: Exception) -> Exception:
+        """The error with the side that cannot be read, if either cannot; each is read alone to find out."""
+        if side_of(error):
+            return error
+        for side, table in ((Side.SOURCE, source), (Side.TARGET, target)):
+            try:
+                table.write.format("noop").mode("overwrite").save()
+            except Exception:  # noqa: BLE001
+                return SideError(side.value, error)
+        return error
 
 
 def main(argv: list[str]) -> Results:

@@ -24,6 +24,7 @@ class MismatchType(str, Enum):
 
 MATCHED = "MATCHED"
 SKIPPED = "SKIPPED"
+ERROR = "ERROR"
 
 
 @dataclass(frozen=True, order=True)

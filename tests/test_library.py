@@ -13,6 +13,7 @@ from collatio import report
 from collatio.functions.tokens import MURMUR3, PORTABLE, RANDOM, domain_of
 from collatio.operators.filters import open_splits
 from collatio.operators.schema import SYSTEM_KEYSPACES, Schema, common_tables, excluded
+from collatio.operators.stats import COUNTERS
 from collatio.operators.splits import calculate_splits, check_range, filter_splits, split_of, splits_frame
 from collatio.plans.journal import JobConflict, Journal
 from collatio.plans.retry import ExponentialRetry, NoRetry, retry, strategy
@@ -232,10 +233,80 @@ def test_errors_are_filed_and_the_job_can_go_on(spark, sides):
     with pytest.raises(RuntimeError, match="Diff job failed"):
         DiffJob(spark, config(sides, job_id=job_id, waves=2, cluster_config=sources), journal).run()
     errors = report.error_summary(journal.read("task_errors"), job_id).first()
+    assert {r["error_source"] for r in journal.read("partition_errors").collect()} == {"SOURCE"}
     assert errors["errors"] == 5 and len(report.error_tokens(journal.read("task_errors"), journal.read("partition_errors"), job_id).first()["tokens"]) == 5
     assert DiffJob(spark, good, journal).run()["ks.t"].matched_partitions == 170
 
 
+def test_broken_values_are_errors_of_their_partitions(spark, sides):
+    for name in "ab":
+        rows = spark.read.parquet(f"{sides}/{name}/ks/t").withColumn("v", F.when(F.col("pk") == (8 if name == "a" else 11), "n/a").otherwise(F.col("v").cast("string")))
+        rows.write.parquet(f"{sides}/{name}/ks/broken")
+    journal, job_id = Journal(spark, f"{sides}/journal", MetadataOptions()), str(uuid.uuid4())
+    own = config(sides, job_id=job_id, keyspace_tables=["ks.broken"], table_specs={"ks.broken": {"partition_key": ["pk"], "casts": {"v": "bigint"}, "plan": "spread"}}, waves=2)
+    job = DiffJob(spark, own, journal)
+    stats = job.run()["ks.broken"]
+    assert (stats.error_partitions, stats.matched_partitions, stats.mismatched_partitions, stats.only_in_source) == (2, 168, 10, 20)
+    assert sum(m["error_partitions"] for m in job.metrics) == 2
+    errors = journal.read("partition_errors", job_id).collect()
+    expected = {r["t"]: s for k, s in ((8, "SOURCE"), (11, "TARGET")) for r in spark.range(k, k + 1).select(F.xxhash64("id").cast("string").alias("t")).collect()}
+    assert {r["error_token"]: r["error_source"] for r in errors} == expected
+    assert report.error_tokens(journal.read("task_errors"), journal.read("partition_errors"), job_id).first()["tokens"] == sorted(expected)
+
+
+def test_a_split_goes_on_after_its_last_token(spark, sides):
+    journal, job_id = Journal(spark, f"{sides}/journal", MetadataOptions()), str(uuid.uuid4())
+    whole = DiffJob(spark, config(sides, job_id=str(uuid.uuid4())), Journal(spark, f"{sides}/other", MetadataOptions())).run()["ks.t"]
+    job = DiffJob(spark, config(sides, job_id=job_id), journal)
+    params = job.params()
+    journal.append("job_summary", [{"job_id": job_id, "buckets": 3, "qualified_table_names": ["ks.t"], "total_tasks": 10}])
+    split = calculate_splits(10, 3)[4]
+    tokens = sorted(r["t"] for r in spark.range(200).select(F.xxhash64("id").alias("t")).collect() if split.start <= r["t"] <= split.end)
+    part = {"job_id": job_id, "bucket": split.bucket, "qualified_table_name": "ks.t", "split": 4, "start_token": str(split.start), "end_token": str(split.end), "last_token": str(tokens[2])}
+    journal.append("task_status", [part | {c: 1000 if c == "matched_partitions" else 0 for c in COUNTERS}])
+    stats = job.run()["ks.t"]
+    read = {r["pk"]: r["t"] for r in spark.range(200).select(F.col("id").alias("pk"), F.xxhash64("id").alias("t")).collect() if r["t"] in tokens[:3]}
+    matched = sum(pk % 10 != 3 and pk % 20 != 0 for pk in read)
+    assert params["splits"] == 10 and stats.matched_partitions == whole.matched_partitions - matched + 1000
+
+
+def test_a_job_that_was_killed_goes_on_with_the_next_wave(spark, sides, monkeypatch):
+    journal, job_id = Journal(spark, f"{sides}/journal", MetadataOptions()), str(uuid.uuid4())
+    wave, done = DiffJob._wave, []
+
+    def killed(self, *args):
+        if len(done) == 2:
+            raise KeyboardInterrupt
+        wave(self, *args)
+        done.append(args[-2])
+
+    monkeypatch.setattr(DiffJob, "_wave", killed)
+    with pytest.raises(KeyboardInterrupt):
+        DiffJob(spark, config(sides, job_id=job_id, waves=5), journal).run()
+    assert done == [[0, 1], [2, 3]] and journal.status(job_id, "ks.t").count() == 4
+    done.clear()
+    monkeypatch.setattr(DiffJob, "_wave", lambda self, *args: (done.append(args[-2]), wave(self, *args)))
+    stats = DiffJob(spark, config(sides, job_id=job_id, waves=3), journal).run()["ks.t"]
+    assert done == [[4, 5], [6, 7], [8, 9]] and stats.matched_partitions == 170
+
+
+def test_a_pass_that_fails_is_tried_again(spark, sides, monkeypatch):
+    from collatio.plans import runner
+
+    journal, tries = Journal(spark, f"{sides}/journal", MetadataOptions()), []
+    compare = runner.partition_stats
+
+    def once(*args, **kw):
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("connection reset")
+        return compare(*args, **kw)
+
+    monkeypatch.setattr(runner, "partition_stats", once)
+    stats = DiffJob(spark, config(sides, retry_options={"impl": "exponential", "base_delay_ms": 1, "total_delay_ms": 2}), journal).run()["ks.t"]
+    assert len(tries) == 2 and stats.matched_partitions == 170
+
+
 def test_recent_jobs_widen(spark):
     days = [1, 2, 40, 41, 42, 43, 44, 45, 46, 47, 70, 200]
     rows = spark.createDataFrame([(f"j{d}", d) for d in days], "job_id string, d int").select("job_id", F.expr("cast(date_sub(date'2024-12-31', d) as timestamp)").alias("job_start_time"))
