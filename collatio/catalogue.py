@@ -5,20 +5,26 @@ The target side of a comparison is a copy of a table changed by SQL that both en
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Callable
 from datetime import date
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import report
-from .functions.tokens import PORTABLE
+from .functions.tokens import MURMUR3, PORTABLE, token
 from .operators import compare, keys, stats
 from .operators.filters import open_splits
-from .operators.schema import difference_frame, intersect_frame
-from .operators.splits import filter_splits, calculate_splits, split_of, splits_frame
-from .plans.journal import latest_rows
-from .spec import Modifier, SpecificTokens, TableSpec
+from .operators.schema import Schema, allowed_tables, difference_frame, excluded, intersect_frame
+from .operators.splits import calculate_splits, check_range, filter_splits, split_of, splits_frame
+from .plans.journal import Journal, latest_rows, new_id
+from .plans.retry import strategy
+from .plans.runner import DiffJob
+from .plans.store import remove
+from .spec import JobConfig, MetadataOptions, Modifier, RetryOptions, SpecificTokens, TableName, TableSpec
 
 SPLITS, BUCKETS = 50, 7
 JOB = "00000000-0000-0000-0000-000000000001"
@@ -194,6 +200,33 @@ _partitions("null_value_compare", "nulls")
 _partitions("array_value_compare", "vectors")
 
 
+#: Both sides with a number as text, some of it broken on either side.
+_TEXT = "CASE WHEN c_custkey % 29 = {0} THEN 'n/a' ELSE CAST(CAST(c_acctbal * 100 AS BIGINT) AS {{text}}) END AS c_acctbal"
+_BROKEN = [f"SELECT c_custkey, {_TEXT.format(r)} FROM {{customer}} WHERE c_custkey % 17 <> {r}" for r in (3, 5)]
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = (compare.readable(_sql(spark, sf_dir, s.replace("{text}", "STRING")), {"c_acctbal": "bigint"}) for s in _BROKEN)
+    return compare.partition_stats(source, target, TableSpec.of(["c_custkey", "c_acctbal"], ["c_custkey"]), domain=PORTABLE)
+
+
+_BROKEN_SQL = """s AS (SELECT *, 1 AS here FROM ({0})), t AS (SELECT *, 1 AS here FROM ({1})),
+    p AS (SELECT coalesce(s.c_custkey, t.c_custkey) AS c_custkey, {2} AS token, s.c_custkey IS NOT NULL AND t.c_custkey IS NOT NULL AS clusterings_match,
+        CASE WHEN t.here IS NULL THEN 'ONLY_IN_SOURCE' WHEN s.here IS NULL THEN 'ONLY_IN_TARGET' WHEN s.c_acctbal = 'n/a' OR t.c_acctbal = 'n/a' THEN 'ERROR' ELSE 'MATCHED' END AS status,
+        CAST(CASE WHEN s.here = t.here AND s.c_acctbal <> 'n/a' AND t.c_acctbal <> 'n/a' THEN 1 ELSE 0 END AS BIGINT) AS matched_rows FROM s FULL JOIN t ON s.c_custkey = t.c_custkey),
+    q AS (SELECT *, matched_rows * 2 AS matched_values, CAST(0 AS BIGINT) AS mismatched_values FROM p)""".format(
+    *(_duck(s.replace("{text}", "VARCHAR")) for s in _BROKEN), _token("coalesce(s.c_custkey, t.c_custkey)")
+)
+QUERIES["partition_errors"] = _broken
+ORACLE_SQL["partition_errors"] = f"WITH {_BROKEN_SQL} SELECT * FROM q"
+_COUNT_ERRORS = _COUNTERS_SQL.replace("CAST(0 AS BIGINT) AS error_partitions", "CAST(count(*) FILTER (WHERE status = 'ERROR') AS BIGINT) AS error_partitions")
+QUERIES["table_stats_with_errors"] = lambda spark, sf_dir: stats.aggregate(_broken(spark, sf_dir))
+ORACLE_SQL["table_stats_with_errors"] = f"WITH {_BROKEN_SQL} SELECT {_COUNT_ERRORS} FROM q"
+_BLAME = "SELECT c_custkey AS p0, min(side) AS error_source FROM (SELECT c_custkey, c_acctbal, 'SOURCE' AS side FROM s UNION ALL SELECT c_custkey, c_acctbal, 'TARGET' FROM t) WHERE c_acctbal = 'n/a' GROUP BY c_custkey"
+QUERIES["errors_by_side"] = lambda spark, sf_dir: compare.broken_partitions(*(compare.readable(_sql(spark, sf_dir, s.replace("{text}", "STRING")), {"c_acctbal": "bigint"}) for s in _BROKEN), TableSpec.of(["c_custkey", "c_acctbal"], ["c_custkey"]))
+ORACLE_SQL["errors_by_side"] = f"WITH {_BROKEN_SQL} {_BLAME}"
+
+
 def _maps(spark: SparkSession, sf_dir: str, first: str, second: str, sets: tuple[str, ...] = ()) -> DataFrame:
     source, target = (_sql(spark, sf_dir, f"SELECT c_custkey, {x} AS m FROM {{customer}}") for x in (first, second))
     return compare.partition_stats(source, target, TableSpec.of(source.columns, ["c_custkey"], sets=sets), domain=PORTABLE)
@@ -250,7 +283,65 @@ QUERIES["multi_table_stats"] = _several
 ORACLE_SQL["multi_table_stats"] = " UNION ALL ".join(f"SELECT * FROM (WITH {_stats_sql(n)} SELECT 'test.{n}' AS qualified_table_name, {_COUNTERS_SQL} FROM p)" for n in _SEVERAL)
 _on_sides("repeated_keys", lambda s, t, spec: compare.repeated_keys(s.select("o_custkey", "o_orderstatus"), TableSpec.of(["o_custkey", "o_orderstatus"], ["o_custkey"], ["o_orderstatus"])), "SELECT o_custkey, o_orderstatus, CAST(count(*) AS BIGINT) AS rows FROM s GROUP BY ALL HAVING count(*) > 1")
 
+# sides without rows, ranges without tokens
+for _name, _none in (("source_empty", "source"), ("target_empty", "target")):
+    _on_sides(
+        f"key_join_{_name}", lambda s, t, spec, none=_none: keys.key_join(s.limit(0) if none == "source" else s, t.limit(0) if none == "target" else t, spec, PORTABLE),
+        f"{_KEY_SQL}, {'FALSE' if _none == 'source' else 'TRUE'} AS in_source, {'TRUE' if _none == 'source' else 'FALSE'} AS in_target FROM (SELECT DISTINCT o_custkey AS k FROM {'t' if _none == 'source' else 's'})",
+    )
+_on_sides("key_scan_empty_range", lambda s, t, spec: keys.key_scan(s, spec, _LOW, _LOW, PORTABLE), f"{_KEY_SQL} FROM (SELECT o_custkey AS k FROM s WHERE FALSE)")
+
+
+def _default_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, f"key-{k}") for k in range(-20, 20)], "k bigint, name string").select("k", token([F.col("k")]).alias("token"), "name", token([F.col("name")]).alias("name_token"))
+
+
+def _xxhash64(raw: bytes) -> int:
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(raw, 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+QUERIES["default_tokens"] = _default_tokens
+ORACLE_SQL["default_tokens"] = "SELECT CAST(k AS BIGINT) AS k, CAST(token AS BIGINT) AS token, name, CAST(name_token AS BIGINT) AS name_token FROM (VALUES " + ", ".join(
+    f"({k}, {_xxhash64(k.to_bytes(8, 'little', signed=True))}, 'key-{k}', {_xxhash64(f'key-{k}'.encode())})" for k in range(-20, 20)
+) + ") AS v(k, token, name, name_token)"
+QUERIES["default_splits"] = lambda spark, sf_dir: splits_frame(spark, SPLITS, BUCKETS, MURMUR3)
+ORACLE_SQL["default_splits"] = "SELECT CAST(split AS INT) AS split, CAST(bucket AS INT) AS bucket, CAST(s AS BIGINT) AS start_token, CAST(e AS BIGINT) AS end_token FROM (VALUES " + ", ".join(
+    f"({i}, {i % BUCKETS}, '{-2**63 + (2**64 - 1) // SPLITS * i + (i > 0)}', '{2**63 - 1 if i == SPLITS - 1 else -2**63 + (2**64 - 1) // SPLITS * (i + 1)}')" for i in range(SPLITS)
+) + ") AS v(split, bucket, s, e)"
+_RANGES = [(None, 5), (5, None), (5, 5), (6, 5), (-1, 5), (0, 1), (0, 2**60 - 1), (0, 2**60), (7, 2**59)]
+
+
+def _range_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def holds(low: int | None, high: int | None) -> bool:
+        try:
+            check_range(low, high, PORTABLE)
+            return True
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(str(low), str(high), holds(low, high)) for low, high in _RANGES], "low string, high string, valid boolean")
+
+
+QUERIES["range_checks"] = _range_checks
+_LIMITS = "CAST(nullif(low, 'None') AS HUGEINT) >= 0 AND CAST(nullif(low, 'None') AS HUGEINT) < CAST(nullif(high, 'None') AS HUGEINT) AND CAST(nullif(high, 'None') AS HUGEINT) <= {0}".format(PORTABLE.high)
+ORACLE_SQL["range_checks"] = f"SELECT *, coalesce({_LIMITS}, FALSE) AS valid FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _RANGES)}) AS v(low, high)"
+
+
+def _pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = strategy(RetryOptions("exponential", 10, 1000))()
+    return spark.createDataFrame([(i, own.pause_ms()) for i in range(12)], "attempt int, pause_ms bigint")
+
+
+QUERIES["retry_pauses"] = _pauses
+ORACLE_SQL["retry_pauses"] = """WITH p AS (SELECT i, 10 * power(2, i) AS full_pause, 10 * (power(2, i) - 1) AS before FROM (SELECT unnest(range(12)) AS i))
+    SELECT CAST(i AS INT) AS attempt, CAST(CASE WHEN before >= 1000 THEN -1 ELSE least(full_pause, 1000 - before) END AS BIGINT) AS pause_ms FROM p"""
+
 # sets of tables
+_KEYSPACES = "SELECT concat(CASE WHEN n_regionkey = 0 THEN 'system' ELSE concat('ks', CAST(n_regionkey AS STRING)) END, '.', n_name) AS qualified_table_name FROM {nation}"
+_on_sql("disallowed_keyspaces", lambda a: allowed_tables(a, ["ks2", "ks4"]), [_KEYSPACES], "SELECT * FROM a WHERE split_part(qualified_table_name, '.', 1) NOT IN ('system', 'ks2', 'ks4')")
 _NATIONS = ["SELECT concat('ks.', n_name) AS qualified_table_name FROM {nation} WHERE n_nationkey % 3 <> 0", "SELECT concat('ks.', n_name) AS qualified_table_name FROM {nation} WHERE n_nationkey % 2 = 0"]
 _on_sql("schema_intersect", intersect_frame, _NATIONS, "SELECT * FROM a INTERSECT SELECT * FROM b")
 _on_sql("schema_difference", difference_frame, _NATIONS, "SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -276,6 +367,20 @@ _ERRORS = """SELECT concat('job', CAST(c_custkey % 3 AS STRING)) AS job_id, CAST
     CAST(c_custkey * 100 + 99 AS STRING) AS end_token FROM {customer} WHERE c_custkey % 5 = 0"""
 _DETAILS = """SELECT concat('job', CAST(o_custkey % 3 AS STRING)) AS job_id, CAST(o_custkey % 10 AS INT) AS bucket, concat('ks.t', CAST(o_custkey % 4 AS STRING)) AS qualified_table_name, CAST(o_custkey * 100 AS STRING) AS start_token,
     CAST(o_custkey * 100 + 99 AS STRING) AS end_token, CAST(o_orderkey AS STRING) AS error_token, 'SOURCE' AS error_source FROM {orders}"""
+_RESULTS = """SELECT concat('job', CAST(c_custkey % 5 AS STRING)) AS job_id, concat('ks.t', CAST(c_custkey % 7 AS STRING)) AS qualified_table_name, CAST(c_custkey AS BIGINT) AS matched_partitions FROM {customer} WHERE c_custkey <= 35"""
+_NAMED = "SELECT concat('job', CAST(n_nationkey AS STRING)) AS job_id, concat('ks.t', CAST(n_regionkey AS STRING)) AS named FROM {nation} WHERE n_nationkey < 5"
+
+
+def _results(found: DataFrame, named: DataFrame) -> DataFrame:
+    zeros = {c: F.lit(0).cast("bigint") for c in stats.COUNTERS if c != "matched_partitions"}
+    summary = named.select("job_id", F.array("named", F.lit("ks.t5"), F.lit("ks.t6")).alias("qualified_table_names"))
+    return report.results(summary, found.withColumns(zeros), "job1")
+
+
+_on_sql(
+    "job_results", _results, [_RESULTS, _NAMED],
+    f"SELECT qualified_table_name, {', '.join('matched_partitions' if c == 'matched_partitions' else f'CAST(0 AS BIGINT) AS {c}' for c in stats.COUNTERS)} FROM a WHERE job_id = 'job1' AND (qualified_table_name IN ('ks.t5', 'ks.t6') OR qualified_table_name IN (SELECT named FROM b WHERE job_id = 'job1'))",
+)
 _on_sql("error_summary", lambda a: report.error_summary(a, "job1"), [_ERRORS], "SELECT qualified_table_name, CAST(count(*) AS BIGINT) AS errors FROM a WHERE job_id = 'job1' GROUP BY 1")
 _on_sql(
     "error_ranges", lambda a: report.error_ranges(a, "job1").select("qualified_table_name", F.array_join(F.transform("ranges", lambda r: F.concat(r["start"], F.lit("-"), r["end"])), ",").alias("ranges")), [_ERRORS],
@@ -300,3 +405,69 @@ _RUNNING = "SELECT concat('job', CAST(c_custkey AS STRING)) AS job_id FROM {cust
 _on_sql("running_jobs", report.running_jobs, [_JOBS, _RUNNING], "SELECT * FROM a WHERE job_id IN (SELECT job_id FROM b)")
 _on_sql("running_job_ids", report.running_ids, [_RUNNING], "SELECT job_id FROM a")
 _on_sql("job_summary", lambda a: report.job(a, "job7"), [_JOBS], "SELECT * FROM a WHERE job_id = 'job7'")
+
+# whole jobs, filed in a journal and read back from it
+
+
+class _Tables:
+    """A side of the comparisons in ``SIDES``."""
+
+    partitioner = PORTABLE.name
+
+    def __init__(self, sf_dir: str, side: int):
+        self.sf_dir, self.side, self.name = sf_dir, side, ("source", "target")[side]
+
+    def initialize(self, options: dict, name: str) -> None:
+        pass
+
+    def table(self, spark: SparkSession, name: TableName) -> DataFrame:
+        return _sql(spark, self.sf_dir, SIDES[name.table][self.side])
+
+    def schema(self, spark: SparkSession, disallowed) -> Schema:
+        names = ("customer", "part", "orders" if self.side else "nulls")
+        return Schema(TableName(k, t) for k in ("test", "hidden") if k not in excluded(disallowed) for t in names)
+
+    def description(self) -> str:
+        return self.name
+
+
+def _journal_of_a_job(spark: SparkSession, sf_dir: str) -> tuple[Journal, str]:
+    """A journal in the session's warehouse, removed when the driver ends, with a job on the tables that both sides have."""
+    root = f"{spark.conf.get('spark.sql.warehouse.dir')}/collatio-journal-{new_id()}"
+    atexit.register(lambda: suppressed(lambda: remove(spark, root)))
+    journal, job_id = Journal(spark, root, MetadataOptions(should_init=True)), "00000000-0000-0000-0000-00000000000a"
+    shapes = {f"test.{t}": {"partition_key": KEYS[t][0], "plan": "spread"} for t in ("customer", "part")}
+    config = JobConfig(splits=SPLITS, buckets=BUCKETS, waves=2, table_specs=shapes, disallowed_keyspaces=("hidden",), job_id=UUID(job_id))
+    DiffJob(spark, config, journal, source=_Tables(sf_dir, 0), target=_Tables(sf_dir, 1)).run()
+    return journal, job_id
+
+
+def suppressed(call: Callable[[], None]) -> None:
+    with contextlib.suppress(Exception):
+        call()
+
+
+_FILED = ("customer", "part")
+
+
+def _job_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    journal, job_id = _journal_of_a_job(spark, sf_dir)
+    return journal.read("job_results", job_id).select("qualified_table_name", *stats.COUNTERS)
+
+
+def _job_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    journal, job_id = _journal_of_a_job(spark, sf_dir)
+    status = report.completed(journal.read("task_status", job_id), job_id).select(F.lit("completed").alias("what"), "qualified_table_name", F.col("completed").alias("n"))
+    found = journal.read("mismatches", job_id).groupBy("mismatch_type", "qualified_table_name").agg(F.count(F.lit(1)).alias("n"))
+    running = journal.read("running_jobs").agg(F.count(F.lit(1)).alias("n")).select(F.lit("running").alias("what"), F.lit("").alias("qualified_table_name"), "n")
+    return status.union(found).union(running)
+
+
+QUERIES["job_run"] = _job_run
+ORACLE_SQL["job_run"] = " UNION ALL ".join(f"SELECT * FROM (WITH {_stats_sql(n)} SELECT 'test.{n}' AS qualified_table_name, {_COUNTERS_SQL} FROM p)" for n in _FILED)
+QUERIES["job_journal"] = _job_journal
+ORACLE_SQL["job_journal"] = " UNION ALL ".join(
+    [f"SELECT 'completed' AS what, 'test.{n}' AS qualified_table_name, CAST({SPLITS} AS BIGINT) AS n" for n in _FILED]
+    + [f"SELECT * FROM (WITH {_stats_sql(n)} SELECT status AS what, 'test.{n}' AS qualified_table_name, CAST(count(*) AS BIGINT) AS n FROM p WHERE status NOT IN ('MATCHED', 'SKIPPED') GROUP BY status)" for n in _FILED]
+    + ["SELECT 'running' AS what, '' AS qualified_table_name, CAST(0 AS BIGINT) AS n"]
+)

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..spec import TableName
 
@@ -60,12 +61,15 @@ def discover(spark: SparkSession, disallowed: Iterable[str] = ()) -> Schema:
     return Schema(TableName(d.name, t.name) for d in spark.catalog.listDatabases() if d.name not in skip for t in spark.catalog.listTables(d.name) if not t.isTemporary)
 
 
+def allowed_tables(tables: DataFrame, disallowed: Iterable[str] = (), column: str = "qualified_table_name") -> DataFrame:
+    """The tables that are in no system or disallowed keyspace."""
+    return tables.where(~F.substring_index(column, ".", 1).isin(sorted(excluded(disallowed))))
+
+
 def intersect_frame(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersect(b)
 
 
 def difference_frame(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, columns..) of what one side alone has."""
-    from pyspark.sql import functions as F
-
     return a.subtract(b).select(F.lit("left").alias("side"), "*").union(b.subtract(a).select(F.lit("right").alias("side"), "*"))
