@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -14,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import remove
+
 #: Rows of one Arrow batch: texts can be long, so a batch of the default 10,000 rows could be gigabytes.
 BATCH_ROWS = 512
 
@@ -56,12 +59,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch space
-        pass
+    with contextlib.suppress(Exception):  # the session may be gone; the folder is scratch space
+        remove(spark, path)
 
 
 def all_cores(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
