@@ -64,14 +64,15 @@ def templates(spark: SparkSession) -> DataFrame:
 def _spans(docs: DataFrame, key: str, text: str, drift: int, coverage: float) -> DataFrame:
     """Verified spans, and for each text one row without a template, which says how many words it has and how often it is there.
 
-    So one scan gives both: after its pairs each text has one more that no words can make, and only that row has no template."""
-    worded = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), words(F.col(text)).alias("words"))
-    none = F.xxhash64(F.lit(""), F.lit(""))
-    grams = worded.select("id", "h", F.size("words").alias("n_words"), F.posexplode(F.concat(_pairs(F.col("words")), F.array(none))).alias("place", "pair"))
+    So one scan gives both: an empty word ends each text, and its pair, which no other word can make, has no template."""
+    ended = F.concat(words(F.col(text)), F.array(F.lit("")))
+    worded = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), ended.alias("words"))
+    none = F.xxhash64(F.lit(""), F.lit(None).cast("string"))
+    grams = worded.select("id", "h", F.posexplode(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))).alias("place", "pair"))
     own = templates(docs.sparkSession)
     extra = docs.sparkSession.range(1).select(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("phrase"), F.lit(1).alias("pairs"), F.lit(0).alias("at"), none.alias("pair"))
     hits = grams.join(F.broadcast(own.union(extra)), "pair")  # the templates are constants
-    by = ["id", "h", "n_words", "template", "label", "phrase", "pairs"]
+    by = ["id", "h", "template", "label", "phrase", "pairs"]
     diagonals = hits.withColumn("diagonal", F.col("place") - F.col("at")).groupBy(*by, "diagonal").agg(F.collect_set("at").alias("seen"), F.count(F.lit(1)).alias("times"))
     diagonals = diagonals.where("phrase is null or not phrase or size(seen) = pairs")
     row = Window.partitionBy("id", "h", "template").orderBy("diagonal")
@@ -80,7 +81,7 @@ def _spans(docs: DataFrame, key: str, text: str, drift: int, coverage: float) ->
     merged = merged.groupBy(*by, "group").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.max("times").alias("times"))
     score = F.size("seen") / F.col("pairs")
     first, last = F.greatest(F.col("low") + F.array_min("seen"), F.lit(0)), F.col("high") + F.array_max("seen") + 1
-    return merged.select("id", "h", "n_words", "template", "label", "phrase", first.cast("bigint").alias("first_word"), last.cast("bigint").alias("last_word"), score.alias("score"), "times").where(F.col("score") >= coverage)
+    return merged.select("id", "h", "template", "label", "phrase", first.cast("bigint").alias("first_word"), last.cast("bigint").alias("last_word"), score.alias("score"), "times").where(F.col("score") >= coverage)
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int = 3, coverage: float = 0.7) -> DataFrame:
@@ -88,7 +89,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int =
 
     ``drift``: words by which neighbouring diagonals of one span may differ; ``coverage``: least share of a notice.
     """
-    return _spans(docs, key, text, drift, coverage).where("template >= 0").drop("n_words", "times")
+    return _spans(docs, key, text, drift, coverage).where("template >= 0").drop("times")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int = 3, coverage: float = 0.7) -> DataFrame:
@@ -98,9 +99,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", drift: int =
     start = F.when(base, F.col("first_word"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     real = F.col("template") >= 0
-    by_doc = found.groupBy("id", "h", "n_words").agg(
+    by_doc = found.groupBy("id", "h").agg(
+        F.max(F.when(~real, F.col("first_word"))).alias("n_words"),  # where the empty word stands
         F.count_if(base).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"), joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"),
         F.coalesce(F.max(F.when(real, F.col("score"))), F.lit(0.0)).alias("score"), F.max(F.when(~real, F.col("times"))).alias("times"),
     )
     each = by_doc.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))  # repeated rows each get theirs
-    return each.select(F.col("id").alias(key), F.col("n_words").cast("bigint").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return each.select(F.col("id").alias(key), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
