@@ -218,9 +218,10 @@ class NearDuplicates:
         rows, bands = self.rows, self.sketch.registers // self.rows
         # a bucket is named by the number of the band and its registers
         keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * 2 * rows + 1, F.lit(2 * rows))))
-        entries = nodes.select("node", F.explode(keys).alias("bucket"))
-        pivots = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        shared = scratch.stored(entries.join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
+        entries = nodes.select("node", "id", F.explode(keys).alias("bucket"))
+        # the smallest id is often what the others are copies of, and so more like all of them than they are among themselves
+        pivots = entries.groupBy("bucket").agg(F.min(F.struct("id", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        shared = scratch.stored(entries.drop("id").join(pivots, "bucket"), "buckets")  # only buckets that hold more than one set
         near = scratch.stored(self.estimated(shared.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), nodes), "pairs")
         family = scratch.stored(connected_components(near, scratch), "families")
 
