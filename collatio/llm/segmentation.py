@@ -107,7 +107,7 @@ class Known:
 class Pieces:
     """A piece vocabulary and the segmentation of texts over it."""
 
-    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 300_000):
+    def __init__(self, proto: bytes, unknown: float = 10.0, remember: int = 200_000, at_once: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
@@ -134,7 +134,7 @@ class Pieces:
         inner = any(MARK in names[i].lstrip(MARK) for i in plain)
         ends = any("\n" in names[i] for i in plain)
         self.parts = re.compile(r"[\s\S]+") if inner else re.compile(r" *[^ ]+| +") if ends else re.compile(r" *[^ \n]+|\n| +")
-        self.remember = remember
+        self.remember, self.at_once = remember, at_once
         self.forget()
 
     def forget(self) -> None:
@@ -291,9 +291,20 @@ class Pieces:
         return self.encode_many([text], n)[0]
 
     def encode_many(self, texts: list[str], n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
-        """The n best segmentations of each text."""
+        """The n best segmentations of each text; as many texts are worked on at once as have ``at_once`` characters."""
+        out, some, size = [], [], 0
+        for text in texts:
+            if some and size + len(text) > self.at_once:
+                out += self._encode_some(some, n)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        return out + (self._encode_some(some, n) if some else [])
+
+    def _encode_some(self, texts: list[str], n: int) -> list[list[tuple[float, np.ndarray]]]:
         if len(self.known.number) > self.remember:
             self.forget()
+            give_back()
         parts = [self.parts.findall(" " + t) if t else [] for t in texts]
         every = list(chain.from_iterable(parts))
         get = self.known.number.get

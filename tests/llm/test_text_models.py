@@ -3,6 +3,7 @@
 import heapq
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,6 +343,21 @@ def test_long_parts_are_searched_like_others(vocabulary, text):
     assert all(vocabulary.decode(ids.tolist()) == text.encode() for _, ids in got)
 
 
+def test_many_texts_take_little_more_memory_than_few(vocabulary):
+    words = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11, 17)) + str(i) for i in range(120_000)]
+    texts = [" ".join(words[i : i + 400]) for i in range(0, len(words), 400)]
+    vocabulary.forget()
+    expected = [vocabulary.encode(t, 2) for t in texts[:3]]
+    vocabulary.forget()
+    tracemalloc.start()
+    got = vocabulary.encode_many(texts, 2)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - kept < 60e6, (peak, kept)
+    assert [[(score, ids.tolist()) for score, ids in g] for g in got[:3]] == [[(score, ids.tolist()) for score, ids in e] for e in expected]
+    vocabulary.forget()
+
+
 def test_what_is_remembered_is_bounded():
     small = segmentation.Pieces(segmentation.model_bytes(), remember=50)
     texts = [f"some w{i} words x{i * 7}" for i in range(400)]
