@@ -72,11 +72,24 @@ def all_cores(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < cores * least_bytes else df
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """What is written meanwhile has its shuffle files deleted when it is written, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +113,8 @@ class Scratch:
             self.release()
         self.number += 1
         path = f"{self.root}/{self.number}-{name}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -204,7 +204,7 @@ def deal_shorter(blocks: DataFrame, longer: DataFrame, length: int, bits: int, f
 def totals_of(dealt: DataFrame, length: int, least: int) -> DataFrame:
     """For each block and bucket, in the order of the block's keys: training counts of the whole corpus (0 for n-grams
     that do not reach ``least``), whether the block owns the n-gram, how many n-grams go on from it, and how much of its
-    count does not; for words, in rows with a null block, the number of distinct training words."""
+    count they take, which the longest do not have; for words, in rows with a null block, the number of distinct training words."""
 
     def total(key, table):
         parts = [unpack(k) for k in table.column("keys").to_pylist()]
@@ -219,7 +219,7 @@ def totals_of(dealt: DataFrame, length: int, least: int) -> DataFrame:
         sums = []
         for end, part in zip(ends, parts, strict=True):
             mine = index[end - len(part) : end]
-            sums.append(squeeze(np.concatenate((counts[mine], owned[end - len(part) : end], following[mine], (counts - used)[mine]))))
+            sums.append(squeeze(np.concatenate((counts[mine], owned[end - len(part) : end], following[mine], used[mine]))))
         blocks, distinct = table.column("block").to_pylist(), [0] * len(parts)
         if length == 1:
             blocks, sums, distinct = [*blocks, None], [*sums, b""], [*distinct, int((counts > 0).sum())]
@@ -229,9 +229,11 @@ def totals_of(dealt: DataFrame, length: int, least: int) -> DataFrame:
 
 
 def returned(found: pa.Table) -> np.ndarray:
-    """The four rows of totals of one block and length, over all buckets."""
+    """The rows of totals of one block and length, over all buckets; for the last, how much of the count does not go on."""
     parts = sorted(zip(found.column("bucket").to_pylist(), found.column("sums").to_pylist(), strict=True))
-    return np.concatenate([unsqueeze(s).reshape(4, -1) for _, s in parts], axis=1).astype(np.int64) if parts else np.zeros((4, 0), np.int64)
+    out = np.concatenate([unsqueeze(s).reshape(4, -1) for _, s in parts], axis=1).astype(np.int64) if parts else np.zeros((4, 0), np.int64)
+    out[3] = out[0] - out[3]
+    return out
 
 
 def frequent_words(blocks: DataFrame, bits: int, least: int, share: float):

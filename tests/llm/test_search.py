@@ -1,12 +1,15 @@
 """Near duplicates, decontamination, nearest neighbours against brute force."""
 
+import gc
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from collatio.llm import decontamination, graph_index
+from collatio.llm.common import Scratch
 from collatio.llm.components import connected_components
 from collatio.llm.near_dup import NearDuplicates, SetSketch, Shingles
 from collatio.llm.queries import QUERIES
@@ -74,6 +77,31 @@ def test_blocks_of_a_family_give_the_same(spark):
     assert sorted(Small(width=2)(docs).collect()) == sorted(own(docs).collect())
 
 
+def test_only_links_that_join_leave_a_family(spark):
+    """Many components that are all alike: as many links as join them, not one for each two of them."""
+    words = np.arange(1, 101, dtype=np.uint64).tobytes()
+    member = spark.createDataFrame([(i, 0, i, 100) for i in range(120)], "node bigint, f bigint, c bigint, n bigint")
+    full = spark.createDataFrame([(i, words) for i in range(120)], "node bigint, elements binary")
+    links = [(r["u"], r["v"]) for r in NearDuplicates(width=2).within(member, full, 1 << 30, 1 << 30).collect()]
+    assert len(links) < 120
+    assert len(groups := {r["component"] for r in connected_components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}) == 1, groups
+
+
+def test_shuffles_go_when_a_table_is_stored(spark):
+    files = lambda: sum("shuffle_" in str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)  # files of the tests before
+    before, asked = files(), spark.conf.get(key)
+    scratch = Scratch(spark, "shuffles")
+    rows = spark.range(1000).repartition(7, "id")
+    kept = scratch.stored(rows, "rows", release=False)
+    assert files() <= before and spark.conf.get(key) == asked
+    assert kept.count() == rows.count() == 1000
+    scratch.drop()
+
+
 def test_groups_of_odd_rows(spark):
     rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (4, ""), (5, "word " * 40000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("id", "n", "regs", "node", "component", "kept_", "f")})
