@@ -12,7 +12,7 @@ members are estimated against the bucket's pivot, and pairs that may pass join i
 belong to another family than its pivot are estimated against the bucket's members of further families, so every two
 sets that share a bucket are in one family or have been estimated. In a family each member is verified against one
 likely neighbour, and the members outside its largest component are then counted against all of it exactly, in blocks
-of bounded bytes that hold an inverted index, from which only links between components leave.
+of bounded bytes that hold an inverted index, from which only links leave that join components not yet joined there.
 
 Defined results: null or empty texts, and texts without a word, have an empty set, link with nothing and stay; a text
 with fewer words than a shingle is one shingle; repeated rows each get a row; rows with a null id are never linked and
@@ -266,14 +266,15 @@ class NearDuplicates:
         own = member.join(plan, "f").join(full, "node")
         salt = lambda n: F.pmod(F.xxhash64("node"), n)
         left = own.where("c <> main").select("f", salt(F.col("nx")).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("m"), "node", "c", "elements")
-        anew = lambda c: F.col(c).alias(c)  # noqa: E731  else both sides of the cogroup hold the same columns
-        right = own.select(anew("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)).alias("x"), salt(F.col("nm")).alias("m"), anew("node"), anew("c"), anew("elements"))
+        again = lambda c: F.col(c).alias(c)  # noqa: E731  else both sides of the cogroup hold the same columns
+        right = own.select(again("f"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nx") - 1)).alias("x"), salt(F.col("nm")).alias("m"), again("node"), again("c"), again("elements"))
         def count(ours, theirs):
             sets = [np.frombuffer(e, np.uint64) for e in theirs.column("elements").to_pylist()]
             sizes = np.array([len(s) for s in sets])
             ids, parts = theirs.column("node").to_pylist(), theirs.column("c").to_pylist()
-            number = {c: i for i, c in enumerate(dict.fromkeys(parts))}
+            number = {c: i for i, c in enumerate(dict.fromkeys([*parts, *ours.column("c").to_pylist()]))}
             part_of = np.array([number[c] for c in parts])
+            joined = np.arange(len(number))  # the components of this block, by what links them so far
             u, v = [], []
             if len(sets):
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -285,10 +286,14 @@ class NearDuplicates:
                     spans = hi - lo
                     at = np.repeat(lo - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
                     both = np.bincount(owner[at], minlength=len(sets))
-                    passed = np.flatnonzero((100 * both >= percent * (len(e) + sizes - both)) & (part_of != number.get(c, -1)))
-                    _, first = np.unique(part_of[passed], return_index=True)  # one link for each component reached
-                    for i in passed[first]:
+                    passed = np.flatnonzero(100 * both >= percent * (len(e) + sizes - both))
+                    here = joined[number[c]]
+                    reached, first = np.unique(joined[part_of[passed]], return_index=True)
+                    anew = reached != here  # a link that joins nothing new does not leave, so there are fewer of them than components
+                    for i in passed[first[anew]]:
                         u.append(max(node, ids[i])), v.append(min(node, ids[i]))
+                    if anew.any():
+                        joined[np.isin(joined, reached)] = here
             return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         block = ["f", "x", "m"]
