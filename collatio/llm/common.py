@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import re
 import shutil
@@ -12,6 +13,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,12 +98,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def give_back() -> None:
     """In a Python worker: returns freed memory to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+#: What a worker keeps from task to task, by the operator that made it.
+KEPT: dict[str, dict] = {}
+
+
+def make_room(owner: str) -> None:
+    for name, kept in KEPT.items():
+        if name != owner:
+            kept.clear()
+
+
+def lean(run, owner: str = ""):
+    """run (batches to batches, in a Python worker) so that a worker, which lives on, holds little between tasks.
+
+    What operators other than ``owner`` keep goes before the first batch, memory that the task has freed after the last."""
+
+    @functools.wraps(run)
+    def task(batches):
+        make_room(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 class Scratch:
     """Intermediate tables of one run of an operator, dropped together when its result is stored."""
 

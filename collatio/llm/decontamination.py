@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, all_cores, as_bytes, bounded_batches
+from .common import Scratch, all_cores, as_bytes, bounded_batches, lean
 
 _PUNCTUATION = bytes.maketrans(bytes(i for i in range(128) if not chr(i).isalnum()), b" " * sum(not chr(i).isalnum() for i in range(128)))
 _SENTENCE = re.compile(rb"(?:[.!?\n]|\xe3\x80\x82|\xef\xbc[\x81\x9f])+\s*")
@@ -179,7 +179,7 @@ def _tokens(docs: DataFrame, text: str, latent: Latent, scratch: Scratch) -> Dat
             own = [slots[numbered(numbers, raw)].astype(kind) for raw in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.itemsize for x in own], pa.int32())], ["slots", "bytes"])
 
-    return scratch.stored(all_cores(docs.select(as_bytes(F.col(text)).alias("raw"))).mapInArrow(run, "slots binary, bytes int"), "words")
+    return scratch.stored(all_cores(docs.select(as_bytes(F.col(text)).alias("raw"))).mapInArrow(lean(run), "slots binary, bytes int"), "words")
 
 
 def _pass(tokens: DataFrame, latent: Latent, add, width: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def _pass(tokens: DataFrame, latent: Latent, add, width: int) -> np.ndarray:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([i // piece for i in at], pa.int32()), pa.array([task] * len(at), pa.int64()), pa.array([total[i : i + piece].tobytes() for i in at], pa.binary())], ["piece", "task", "data"])
 
-    got = _summed(tokens.mapInArrow(run, "piece int, task bigint, data binary"))
+    got = _summed(tokens.mapInArrow(lean(run), "piece int, task bigint, data binary"))
     out = np.zeros((len(latent.weight), width))
     for k, data in got.items():
         out[k * piece : (k + 1) * piece] = data.reshape(-1, width)
@@ -225,7 +225,7 @@ def _needed(items: DataFrame, item_text: str, index: dict[bytes, int], seen: np.
                     found.update(common[np.argsort(seen[common], kind="stable")[:short]].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["row"])
 
-    got = items.select(as_bytes(F.col(item_text)).alias("raw")).mapInArrow(run, "row int").distinct()
+    got = items.select(as_bytes(F.col(item_text)).alias("raw")).mapInArrow(lean(run), "row int").distinct()
     return [r["row"] for r in got.collect()]
 
 
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
             found = Counter(w for raw in b.column(0).to_pylist() for w in set(words(raw)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "items"])
 
-    known = items.select(as_bytes(F.col(item_text)).alias("raw")).mapInArrow(slots, "word binary, items bigint").groupBy("word").agg(F.sum("items").alias("items"))
+    known = items.select(as_bytes(F.col(item_text)).alias("raw")).mapInArrow(lean(slots), "word binary, items bigint").groupBy("word").agg(F.sum("items").alias("items"))
     if known.count() > settings.max_words:
         raise ValueError(f"the benchmark has more than {settings.max_words} distinct words; raise Settings.max_words and give the driver more memory")
     vocabulary = sorted(bytes(r["word"]) for r in known.collect())
@@ -480,5 +480,5 @@ def find(docs: DataFrame, items: DataFrame, latent: Latent, text: str = "text",
             for b in batches:
                 yield pa.array(_search(latent_, items_, b.to_pylist()), typed)
 
-        found.append(F.arrow_udf(search, shape, F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(text))))
+        found.append(F.arrow_udf(lean(search), shape, F.ArrowUDFType.SCALAR_ITER)(as_bytes(F.col(text))))
     return all_cores(docs).withColumn(column, F.concat(*found) if len(found) > 1 else found[0])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import all_cores, bounded_batches, hash_below
+from .common import all_cores, bounded_batches, hash_below, lean
 
 UNDETERMINED = "und"
 
@@ -70,7 +70,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
         return LanguageModel({}, {}, **options)
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    rates = spark.createDataFrame([(r["lang"], min(1.0, 4 * rows_per_language / max(1, r["n"]))) for r in counts], "lang string, rate double")
+    # of an Arrow table: rows of a list would pass through Python workers of a kind of their own on every executor
+    rate = [min(1.0, 4 * rows_per_language / max(1, r["n"])) for r in counts]
+    rates = spark.createDataFrame(pa.table({"lang": pa.array([r["lang"] for r in counts], pa.string()), "rate": pa.array(rate, pa.float64())}))
     start = F.pmod("key", F.greatest(F.lit(1), F.length("text") - bytes_per_row)).cast("int") + 1  # anywhere in the text
     few = rows.join(F.broadcast(rates), "lang").where(hash_below(F.col("text"), F.col("rate")))  # one row for each language
     few = few.groupBy("lang", "key").agg(F.min(F.col("text").substr(start, F.lit(bytes_per_row))).alias("part"))
@@ -130,7 +132,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", column: s
                 score.append(1.0 if rest is None else 1.0 - 2.0 ** -(min(100.0, rest - got[best]) / 2))
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["lang_pred", "score", "margin"])
 
-    run = F.arrow_udf(guess, "struct<lang_pred:string,score:double,margin:double>", F.ArrowUDFType.SCALAR_ITER)
+    run = F.arrow_udf(lean(guess), "struct<lang_pred:string,score:double,margin:double>", F.ArrowUDFType.SCALAR_ITER)
     out = all_cores(docs).withColumn(column, run(F.when(has_letter(F.col(text)), F.col(text))))
     g = F.col(column)
     accepted = (g["lang_pred"] != UNDETERMINED) & (g["margin"] >= model.min_margin)

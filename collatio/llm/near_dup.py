@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, all_cores, as_bytes, bounded_batches, mix64, stored
+from .common import Scratch, all_cores, as_bytes, bounded_batches, lean, mix64, stored
 from .components import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -148,7 +148,7 @@ class NearDuplicates:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "h", "n", "s1", "s2", "regs"])
 
         rows = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw"), F.xxhash64(text).alias("h"))
-        return all_cores(rows).mapInArrow(make, f"id {kind}, h bigint, n bigint, s1 bigint, s2 bigint, regs binary")
+        return all_cores(rows).mapInArrow(lean(make), f"id {kind}, h bigint, n bigint, s1 bigint, s2 bigint, regs binary")
 
     def estimated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (u, v) whose registers allow the threshold."""
@@ -198,7 +198,7 @@ class NearDuplicates:
         some = F.broadcast(wanted.select(residue.alias("residue")).distinct())
         texts = docs.select(F.col(key).alias("id"), as_bytes(F.col(text)).alias("raw")).join(some, residue == some["residue"], "left_semi")
         texts = texts.join(wanted.select("node", "id", "s1", "s2"), "id").select("node", "raw", "s1", "s2")
-        return texts.mapInArrow(make, "node bigint, elements binary").where("elements is not null").dropDuplicates(["node"])
+        return texts.mapInArrow(lean(make), "node bigint, elements binary").where("elements is not null").dropDuplicates(["node"])
 
     def alike(self, a: str, b: str) -> Column:
         """Whether sizes and equal registers of two nodes allow the threshold: the same bound as ``estimated``, in the join."""

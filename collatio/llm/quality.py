@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_cores, as_bytes, bounded_batches, hash_below, sample_rate
+from .common import all_cores, as_bytes, bounded_batches, hash_below, lean, sample_rate
 
 WORD_BITS = 14
 WORDS = 1 << WORD_BITS
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             made = [make(raw, list(m)) for raw, *m in zip(*(b.column(i).to_pylist() for i in range(2, b.num_columns)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], ["k", "y", "idx", "val"])
 
-    got = sorted(rows.mapInArrow(features, f"k {dict(rows.dtypes)['k']}, y double, idx binary, val binary").collect(), key=lambda r: r["k"])
+    got = sorted(rows.mapInArrow(lean(features), f"k {dict(rows.dtypes)['k']}, y double, idx binary, val binary").collect(), key=lambda r: r["k"])
     sparse = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got]
     model = train(sparse, np.array([float(r["y"] >= 0.5) for r in got]), **options)
     model.metadata = tuple(metadata)
@@ -191,5 +191,5 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", colu
     def one(batches):
         yield from scores((b,) for b in batches)
 
-    run = F.arrow_udf(scores if model.metadata else one, "double", F.ArrowUDFType.SCALAR_ITER)
+    run = F.arrow_udf(lean(scores if model.metadata else one), "double", F.ArrowUDFType.SCALAR_ITER)
     return all_cores(docs).withColumn(column, run(*_inputs(text, model.metadata)))

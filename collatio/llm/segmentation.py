@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_cores, bounded_batches, give_back
+from .common import KEPT, all_cores, bounded_batches, give_back, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = float("inf")
 _BYTE = -1
-_READY: dict[str, Pieces] = {}
+_READY: dict[str, Pieces] = KEPT.setdefault("segmentation", {})
 
 
 class Tree:
@@ -408,10 +408,9 @@ def encode(docs: DataFrame, n: int = 4, text: str = "text", path: str = MODEL, c
                 yield pa.StructArray.from_arrays(fields, names)
         finally:  # a worker lives on; what this task has learnt of words would stay in its memory
             vocabulary.forget()
-            give_back()
 
     shape = f"struct<ids:array<int>,score:double,others:array<struct<score:double,ids:array<int>>>{',round_trip:boolean' if verify else ''}>"
-    return all_cores(docs).withColumn(column, F.arrow_udf(run, shape, F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("binary")))
+    return all_cores(docs).withColumn(column, F.arrow_udf(lean(run, "segmentation"), shape, F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("binary")))
 
 
 def digest(coded: DataFrame, key: str = "doc_id", column: str = "segmentation") -> DataFrame:
@@ -434,5 +433,5 @@ def decode(docs: DataFrame, ids: str, path: str = MODEL, column: str = "decoded"
             got = vocabulary.decode_many(b.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
             yield pa.array(got, pa.binary(), mask=b.is_null().to_numpy(zero_copy_only=False))
 
-    udf = F.arrow_udf(run, "binary", F.ArrowUDFType.SCALAR_ITER)
+    udf = F.arrow_udf(lean(run, "segmentation"), "binary", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(column, udf(F.col(ids)).cast("string"))

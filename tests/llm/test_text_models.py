@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from collatio.llm import language_id, lm_score, quality, segmentation
+from collatio.llm import common, language_id, lm_score, quality, segmentation
 from collatio.llm.common import held_out
 from collatio.llm.queries import QUERIES
 
@@ -382,3 +382,33 @@ def test_round_trips(spark, odd):
     assert others.where("decoded <> text").isEmpty()
     assert segmentation.encode(odd.limit(0)).count() == 0
     assert QUERIES["op6_sentencepiece"](spark, SF).where("not round_trip or round_trip is null").isEmpty()
+
+
+# memory of executors
+
+
+def test_languages_are_learnt_without_workers_for_rows_of_a_list(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "die Katze und der Hund", "de")], "doc_id bigint, text string, lang string")
+    docs = docs.localCheckpoint()
+
+    def refused(*args, **kwargs):
+        raise AssertionError("an RDD of Python rows starts Python workers of its own on every executor")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert sorted(language_id.fit(docs).dictionaries) == ["de", "en"]
+
+
+def test_workers_keep_nothing_of_other_operators(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    segmentation.pieces(segmentation.model_bytes())
+
+    def double(batches):
+        for b in batches:
+            yield 2 * b
+
+    assert list(common.lean(double, "segmentation")(iter([1, 2]))) == [2, 4] and segmentation._READY and given == [1]
+    task = common.lean(double)(iter([1, 2]))
+    assert next(task) == 2 and not segmentation._READY and given == [1]
+    task.close()  # a task that is ended early
+    assert given == [1, 1]
